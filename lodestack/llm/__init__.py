@@ -1,0 +1 @@
+"""Part of the lodestack engine."""

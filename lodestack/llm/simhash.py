@@ -38,7 +38,7 @@ def simhash(text: str | None, words_per_shingle: int) -> int:
     k, total, n = words_per_shingle, np.zeros(64, np.int64), max(1, len(words) - words_per_shingle + 1)
     for at in range(0, n, 65536):  # bounded memory for very long texts
         h = np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i:i + k]).encode("utf-8", "surrogatepass"), 42) for i in range(at, min(n, at + 65536))), np.uint64)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = np.packbits(total * 2 > n, bitorder="little")
     return int(bits.view(np.int64)[0])
 

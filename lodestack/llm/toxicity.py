@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-BITS, SAMPLE, EPOCHS, THRESHOLD = 20, 20000, 3, 0.3
+BITS, SAMPLE, EPOCHS, THRESHOLD = 20, 20000, 5, 0.3
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -39,7 +39,7 @@ def features(text: str | None, bits: int, ids: dict) -> np.ndarray:
     return np.unique(np.concatenate(grams) >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> np.ndarray:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0) -> np.ndarray:
     """Weights, the last one the bias (not penalised)."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)

@@ -1,0 +1,53 @@
+"""Chunk quality, dedupe, history, feedback and latency operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import alpha_ratio, lines
+
+
+def line_chunks(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(lines(F.col("text"))).alias("chunk_index", "text"))
+
+
+def quality_reason(chunks: DataFrame, min_tokens: int = 30, min_chars: int = 80, min_alpha: float = 0.4) -> DataFrame:
+    """chunks with reason (null: kept); the first failing check names it."""
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    return chunks.withColumn("reason", F.when((words < min_tokens) & (F.length("text") < min_chars), "too_short").when(alpha_ratio(F.col("text")) < min_alpha, "low_alpha_ratio"))
+
+
+def dedupe_chunks(chunks: DataFrame) -> DataFrame:
+    """The first chunk of each trimmed text within its document: a mergeable minimum, so no sort."""
+    return chunks.groupBy("doc_id", F.trim("text").alias("text")).agg(F.min("chunk_index").alias("chunk_index"))
+
+
+def feedback_ema(events: DataFrame, alpha: float = 0.3) -> DataFrame:
+    """Closed form of the moving average of +1/-1 signals per user, the first of which seeds it."""
+    s = events.withColumn("s", F.when(F.col("event_type").isin("purchase", "signup"), 1.0).when(F.col("event_type") == "error", -1.0)).filter("s is not null")
+    by = Window.partitionBy("user_id")
+    s = s.withColumn("i", F.row_number().over(by.orderBy("ts", "event_id"))).withColumn("n", F.count("*").over(by))
+    w = F.pow(F.lit(1 - alpha), F.col("n") - F.col("i")) * F.when(F.col("i") == 1, 1.0).otherwise(alpha)
+    return s.groupBy("user_id").agg(F.round(F.sum(F.col("s") * w), 6).alias("ema"), F.count("*").alias("n_signals"))
+
+
+def latency(events: DataFrame) -> DataFrame:
+    return events.groupBy("event_type").agg(F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"), F.round(F.expr("percentile(value, 0.95)"), 6).alias("p95"), F.count("*").alias("n"))
+
+
+def latest_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Upsert semantics: the last row of each key, by a mergeable maximum."""
+    at = F.struct(*order)
+    return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), at).alias("r")).select(key, "r.*")
+
+
+def recent_messages(conversations: DataFrame, limit: int = 6) -> DataFrame:
+    """The last `limit` turns of each conversation."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return conversations.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= limit)
+
+
+def centroids(vectors: DataFrame) -> DataFrame:
+    """Mean vector of each label, one row a dimension."""
+    return vectors.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))

@@ -1,7 +1,7 @@
 """8. Token-ID output: a static range asymmetric numeral system over shared frequency tables.
 
 File format (a table of blocks in Parquet, one payload each): documents in id order, whole documents to a block. A
-payload is a header of little-endian integers (magic, ids, lanes, words, crc32 of the ids), the final state of each
+payload is a header of little-endian integers (magic, ids, lanes, words, crc32 of the ids, crc32 of the rest), the final state of each
 lane, and per step the 32-bit words that lanes emitted. Lanes are interleaved (id i in lane i mod lanes) and decoded
 in vector steps; every block is independent and holds its first global id number (the checkpoint) and its
 documents' lengths, so blocks are decoded in parallel. The frequency table is one per data set, bounded by the
@@ -64,17 +64,17 @@ def encode(ids: np.ndarray, freq: np.ndarray) -> bytes:
         y = np.where(over, y >> np.uint64(32), y)
         x[:len(s)] = (y // f << sc) + y % f + cum[s]
     words = np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
-    head = struct.pack("<5I", MAGIC, n, lanes, len(words), zlib.crc32(ids.astype("<u4").tobytes()))
-    return head + x.astype("<u8").tobytes() + words.tobytes()
+    body = x.astype("<u8").tobytes() + words.tobytes()
+    return struct.pack("<6I", MAGIC, n, lanes, len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
 
 
 def decode(payload: bytes, freq: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """Ids of a block; symbol maps each of the 2^SCALE values to its id."""
-    magic, n, lanes, m, crc = struct.unpack_from("<5I", payload)
-    if magic != MAGIC or len(payload) != 20 + 8 * lanes + 4 * m:
+    magic, n, lanes, m, crc, body = struct.unpack_from("<6I", payload)
+    if magic != MAGIC or len(payload) != 24 + 8 * lanes + 4 * m or zlib.crc32(payload[24:]) != body:
         raise ValueError("not a block of token ids")
-    x = np.frombuffer(payload, "<u8", lanes, 20).copy()
-    words = np.frombuffer(payload, "<u4", m, 20 + 8 * lanes).astype(np.uint64)
+    x = np.frombuffer(payload, "<u8", lanes, 24).copy()
+    words = np.frombuffer(payload, "<u4", m, 24 + 8 * lanes).astype(np.uint64)
     cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
     fr, out, at, mask = freq.astype(np.uint64), np.empty(n, np.uint32), 0, np.uint64((1 << SCALE) - 1)
     for i in range(0, n, lanes):

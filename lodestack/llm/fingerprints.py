@@ -13,10 +13,12 @@ Repeated rows each get a row; ties of doc_id are ordered by the text's hash. Oth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bind, documents, ranked
+from .common import bind, documents
 
 K, L, M = 3, 2, 32
 
@@ -77,20 +79,38 @@ def fingerprint(df: DataFrame, text_col: str = "text", k: int = K, l: int = L, m
     return df.withColumn(out, signature(F.col(text_col), k, l, m))
 
 
+def with_next(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
+    """df with __next, a struct of cols of the row after it by id (after the last: the first); ties follow the text's hash, cols[0].
+
+    Ids are cut at approximate quantiles into buckets, and the rows at a bucket's lower bound are also sent to the bucket
+    before, behind its own: one exchange carries each text once and no join is needed. The driver holds the bounds only,
+    eight a shuffle partition. Null ids come first; rows of one id stay together.
+    """
+    buckets = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = F.col(id_col)
+    found = df.agg(F.percentile_approx(ids, [i / buckets for i in range(buckets)], 20 * buckets).alias("q"), F.min(ids).alias("least"), F.count_if(ids.isNull()).alias("nulls")).first()
+    bounds = sorted({*(found["q"] or []), *([found["least"]] if found["least"] is not None else [])}) or [0]
+    side = math.isqrt(len(bounds)) + 1
+    parts = [bounds[i:i + side] for i in range(0, len(bounds), side)]
+    part = F.greatest(F.size(F.filter(F.array(*[F.lit(p[0]) for p in parts]), lambda x: x <= ids)), F.lit(1)) - 1
+    inside = F.get(F.array(*[F.array(*map(F.lit, p)) for p in parts]), part)
+    at = F.when(ids.isNull(), F.lit(0)).otherwise(F.greatest(part * side + F.size(F.filter(inside, lambda x: x <= ids)) - 1, F.lit(0)))
+    first = ids.isNull() if found["nulls"] else ids == bounds[0]  # the first of all rows are the nulls, if any
+    bound = F.when(F.col("__at") == 0, first).otherwise(F.get(F.flatten(F.array(*[F.array(*map(F.lit, p)) for p in parts])), F.col("__at")) == ids)
+    rows = df.withColumn("__at", at)
+    before = F.pmod(F.col("__at") - 1, F.lit(len(bounds)))
+    sent = F.when(bound, F.array(F.struct(F.col("__at").alias("b"), F.lit(False).alias("copy")), F.struct(before.alias("b"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("__at").alias("b"), F.lit(False).alias("copy"))))
+    rows = rows.withColumn("__to", F.explode(sent)).withColumn("__b", F.col("__to.b")).withColumn("__copy", F.col("__to.copy"))
+    order = Window.partitionBy("__b").orderBy("__copy", id_col, F.xxhash64(cols[0]))
+    return rows.withColumn("__next", F.lead(F.struct(*cols)).over(order)).filter(~F.col("__copy")).drop("__at", "__to", "__b", "__copy")
+
+
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs, n = ranked(docs, F.col("doc_id"), F.xxhash64("text"))
-    docs = docs.select("doc_id", "text", "rn")
-    after = docs.select(F.when(F.col("rn") == 0, F.lit(n - 1)).otherwise(F.col("rn") - 1).alias("rn"), F.col("text").alias("next_text"))
-    both = docs.join(after, "rn").withColumn("n_chars", F.char_length("text").cast("long"))
+    both = with_next(fingerprint(docs, "text", out="a"), "doc_id", "text", "a").withColumn("n_chars", F.char_length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("next_text", F.lit(1), quarter)))
-    own = fingerprint(both, "text", out="a")
-    own = fingerprint(own, "edited", out="e").select("doc_id", "rn", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "e")
-    from .common import materialize
-
-    own = materialize(own)
-    nxt = own.select(F.when(F.col("rn") == 0, F.lit(n - 1)).otherwise(F.col("rn") - 1).alias("rn"), F.col("a").alias("x"))
-    return own.join(nxt, "rn").select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("x")).alias("near_next"))
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.col("__next.text"), F.lit(1), quarter))
+    own = fingerprint(both.withColumn("edited", edited), "edited", out="e")
+    return own.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("a")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
+        likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("__next.a")).alias("near_next"))

@@ -73,6 +73,20 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint(empty).count() == 0
 
 
+def test_next_rows(spark, docs, empty, data):
+    for d, src in ((docs, data), (docs.filter("doc_id is not null"), [r for r in data if r[0] is not None])):
+        got = fingerprints.with_next(d.select("doc_id", "text"), "doc_id", "text").collect()
+        assert len(got) == len(src)
+        texts = collections.defaultdict(set)
+        for r in src:
+            texts[-1 if r[0] is None else r[0]].add(r[1])
+        ids = sorted(texts)
+        for r in got:
+            i = ids.index(-1 if r["doc_id"] is None else r["doc_id"])
+            assert r["__next"] is not None and r["__next"]["text"] in texts[ids[(i + 1) % len(ids)]] | (texts[ids[i]] if r["doc_id"] == 62 else set())
+    assert fingerprints.with_next(empty.select("doc_id", "text"), "doc_id", "text").count() == 0
+
+
 def test_token_counts_match_library(docs, data):
     from sentencepiece import SentencePieceProcessor
 

@@ -14,15 +14,16 @@ have a window. Removed words leave one space between the kept ones. Extra column
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, shared_dir
 
 WINDOW, GRAM = 35, 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,37 +62,37 @@ def anchors(g: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
-def mark(df: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """df with __starts (array<int>: windows that occur elsewhere) and __whole (every window does)."""
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def starts_of(once: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(__key, __starts): the windows that also start elsewhere, of a table of distinct texts (__key, t)."""
     span, rest = window - gram + 1, list(range(gram, window - gram + 1, gram)) + [window - gram]
-    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__key", F.xxhash64(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))))
-    firsts = rows.groupBy("__key").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
-    rows = materialize(rows.join(firsts, "__key"))
-    once = rows.filter("__row = __first").select("__row", F.col(text_col).alias("t"))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row, text in zip(pdf["__row"], pdf["t"]):
+            for row, text in zip(pdf["__key"], pdf["t"]):
                 g = grams(_WORD.findall(text or ""), gram)
                 at = np.unique(anchors(g, span))
                 if len(at):
-                    yield pd.DataFrame({"g": g[at].view(np.int64), "__row": row, "p": at.astype(np.int32)})
+                    yield pd.DataFrame({"g": g[at].view(np.int64), "__key": row, "p": at.astype(np.int32)})
 
-    found = materialize(once.mapInPandas(find, "g long, __row long, p int"))
+    found = materialize(once.mapInPandas(find, "g long, __key long, p int"))
     often = found.groupBy("g").count().filter("count > 1").select("g")
-    live = found.join(often, "g").groupBy("__row").agg(F.collect_list("p").alias("ps"))
+    live = found.join(often, "g").groupBy("__key").agg(F.collect_list("p").alias("ps"))
 
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row, text, ps in zip(pdf["__row"], pdf["t"], pdf["ps"]):
+            for row, text, ps in zip(pdf["__key"], pdf["t"], pdf["ps"]):
                 g = grams(_WORD.findall(text or ""), gram)
                 at = anchors(g, span)
                 start = np.flatnonzero(np.isin(at, ps))
-                yield pd.DataFrame({"k0": g[start].view(np.int64), **{f"k{i}": g[start + d].view(np.int64) for i, d in enumerate(rest, 1)}, "__row": row, "p": start.astype(np.int32)})
+                yield pd.DataFrame({"k0": g[start].view(np.int64), **{f"k{i}": g[start + d].view(np.int64) for i, d in enumerate(rest, 1)}, "__key": row, "p": start.astype(np.int32)})
 
     keys = [f"k{i}" for i in range(len(rest) + 1)]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = once.join(live, "__row").mapInPandas(suffixes, ", ".join(f"{k} long" for k in keys) + ", __row long, p int")
+    n = int(once.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = once.join(live, "__key").mapInPandas(suffixes, ", ".join(f"{k} long" for k in keys) + ", __key long, p int")
     s = s.repartition(n, "k0").sortWithinPartitions(*keys)
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,11 +104,10 @@ def mark(df: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int
             k = pdf[keys].to_numpy()
             deep = (k[1:] == k[:-1]).all(axis=1)  # common prefix of neighbours reaches a window
             hit = np.append(deep, False) | np.insert(deep, 0, False)
-            yield pdf.loc[hit, ["__row", "p"]]
+            yield pdf.loc[hit, ["__key", "p"]]
             last = pdf.iloc[-1:]
 
-    starts = s.mapInPandas(nodes, "__row long, p int").groupBy("__row").agg(F.collect_set("p").alias("__starts"))
-    return rows.join(starts.withColumnRenamed("__row", "__first"), "__first", "left").withColumn("__whole", F.col("__n") > 1)
+    return s.mapInPandas(nodes, "__key long, p int").groupBy("__key").agg(F.collect_set("p").alias("__starts"))
 
 
 def kept(text: str | None, starts, whole: bool, window: int = WINDOW) -> tuple[list[str], int]:
@@ -124,18 +124,36 @@ def kept(text: str | None, starts, whole: bool, window: int = WINDOW) -> tuple[l
     return [w for w, k in zip(words, keep) if k], len(words)
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", window: int = WINDOW, out: str = "kept_text") -> DataFrame:
-    """df with the kept text, and __n_words and __n_kept."""
+def distinct_cuts(df: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(__key, kept, n, k): kept text, words and kept words of each distinct text.
+
+    The distinct texts are written bucketed by their key, so that the later joins move positions, not texts.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"texts_{uuid.uuid4().hex}"
+    rows = df.select(text_key(F.col(text_col)).alias("__key"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = rows.groupBy("__key").agg(F.first("t").alias("t"), F.count("*").alias("c"))
+    rows.write.bucketBy(n, "__key").option("path", f"{shared_dir(spark).rstrip('/')}/tables/{name}").saveAsTable(name)
+    once = spark.table(name)
 
-    @F.pandas_udf("text string, n long, k long")
+    @F.pandas_udf("kept string, n long, k long")
     def cut(text: pd.Series, starts: pd.Series, whole: pd.Series) -> pd.DataFrame:
         done = [kept(t, s, w, window) for t, s, w in zip(text, starts, whole)]
-        return pd.DataFrame({"text": [" ".join(w) for w, _ in done], "n": [n for _, n in done], "k": [len(w) for w, _ in done]})
+        return pd.DataFrame({"kept": [" ".join(w) for w, _ in done], "n": [n for _, n in done], "k": [len(w) for w, _ in done]})
 
-    m = mark(df, text_col, window).withColumn("__cut", cut(F.col(text_col), F.col("__starts"), F.col("__whole")))
-    return m.select(*[c for c in df.columns if c != out], F.col("__cut.text").alias(out), F.col("__cut.n").alias("__n_words"), F.col("__cut.k").alias("__n_kept"))
+    out = once.join(starts_of(once.select("__key", "t"), window), "__key", "left").withColumn("__cut", cut("t", "__starts", F.col("c") > 1))
+    return out.select("__key", "__cut.kept", "__cut.n", "__cut.k")
+
+
+def remove_repeats(df: DataFrame, text_col: str = "text", window: int = WINDOW, out: str = "kept_text") -> DataFrame:
+    """df with the kept text, and __n_words and __n_kept."""
+    cuts = distinct_cuts(df, text_col, window)
+    m = df.withColumn("__key", text_key(F.col(text_col))).join(cuts, "__key")
+    return m.select(*[c for c in df.columns if c != out], F.col("kept").alias(out), F.col("n").alias("__n_words"), F.col("k").alias("__n_kept"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_words").alias("n_words"), (F.col("__n_words") - F.col("__n_kept")).alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    docs = documents(spark, sf_dir)
+    cuts = distinct_cuts(docs).select("__key", F.col("n").alias("n_words"), (F.col("n") - F.col("k")).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", text_key(F.col("text")).alias("__key")).join(cuts, "__key").drop("__key")

@@ -13,7 +13,6 @@ have a window. Removed words leave one space between the kept ones. Extra column
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -26,21 +25,25 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, shared_dir
 
 WINDOW, GRAM = 35, 8
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def split(text: str | None) -> list[bytes]:
+    """Words between ASCII white space (0x20, 0x09 to 0x0D), as UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
 
-def grams(words: list[str], size: int) -> np.ndarray:
+def grams(words: list[bytes], size: int) -> np.ndarray:
     """Hash of every run of size words."""
     seen: dict = {}
     for w in words:
         if w not in seen:
-            seen[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            seen[w] = xxhash.xxh64_intdigest(w)
     w = np.fromiter((seen[x] for x in words), np.uint64, len(words))
     n = len(w) - size + 1
     out = np.zeros(max(0, n), np.uint64)
@@ -73,7 +76,7 @@ def starts_of(once: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row, text in zip(pdf["__key"], pdf["t"]):
-                g = grams(_WORD.findall(text or ""), gram)
+                g = grams(split(text), gram)
                 at = np.unique(anchors(g, span))
                 if len(at):
                     yield pd.DataFrame({"g": g[at].view(np.int64), "__key": row, "p": at.astype(np.int32)})
@@ -85,7 +88,7 @@ def starts_of(once: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row, text, ps in zip(pdf["__key"], pdf["t"], pdf["ps"]):
-                g = grams(_WORD.findall(text or ""), gram)
+                g = grams(split(text), gram)
                 at = anchors(g, span)
                 start = np.flatnonzero(np.isin(at, ps))
                 yield pd.DataFrame({"k0": g[start].view(np.int64), **{f"k{i}": g[start + d].view(np.int64) for i, d in enumerate(rest, 1)}, "__key": row, "p": start.astype(np.int32)})
@@ -110,8 +113,8 @@ def starts_of(once: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     return s.mapInPandas(nodes, "__key long, p int").groupBy("__key").agg(F.collect_set("p").alias("__starts"))
 
 
-def kept(text: str | None, starts, whole: bool, window: int = WINDOW) -> tuple[list[str], int]:
-    words = _WORD.findall(text or "")
+def kept(text: str | None, starts, whole: bool, window: int = WINDOW) -> tuple[list[bytes], int]:
+    words = split(text)
     if whole and len(words) >= window:
         return [], len(words)
     if starts is None or not len(starts):
@@ -140,7 +143,7 @@ def distinct_cuts(df: DataFrame, text_col: str = "text", window: int = WINDOW) -
     @F.pandas_udf("kept string, n long, k long")
     def cut(text: pd.Series, starts: pd.Series, whole: pd.Series) -> pd.DataFrame:
         done = [kept(t, s, w, window) for t, s, w in zip(text, starts, whole)]
-        return pd.DataFrame({"kept": [" ".join(w) for w, _ in done], "n": [n for _, n in done], "k": [len(w) for w, _ in done]})
+        return pd.DataFrame({"kept": [b" ".join(w).decode("utf-8", "surrogatepass") for w, _ in done], "n": [n for _, n in done], "k": [len(w) for w, _ in done]})
 
     out = once.join(starts_of(once.select("__key", "t"), window), "__key", "left").withColumn("__cut", cut("t", "__starts", F.col("c") > 1))
     return out.select("__key", "__cut.kept", "__cut.n", "__cut.k")

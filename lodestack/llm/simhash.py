@@ -30,15 +30,20 @@ RADIUS, BLOCK = 4, 4096
 _WORD, _LOWER = re.compile(r"[^\x20\x09-\x0D]+"), str.maketrans(UPPER, LOWER)
 
 
-def simhash(text: str | None, words_per_shingle: int) -> int:
-    """Signed 64-bit fingerprint of one text."""
+def shingle_hashes(text: str | None, words_per_shingle: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of a text's shingles, in parts of bounded size; nothing for a text without words."""
     words = _WORD.findall((text or "").translate(_LOWER))
-    if not words:
-        return 0
-    k, total, n = words_per_shingle, np.zeros(64, np.int64), max(1, len(words) - words_per_shingle + 1)
+    k, n = words_per_shingle, max(1, len(words) - words_per_shingle + 1) if words else 0
     for at in range(0, n, 65536):  # bounded memory for very long texts
-        h = np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i:i + k]).encode("utf-8", "surrogatepass"), 42) for i in range(at, min(n, at + 65536))), np.uint64)
+        yield np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i:i + k]).encode("utf-8", "surrogatepass"), 42) for i in range(at, min(n, at + 65536))), np.uint64)
+
+
+def simhash(text: str | None, words_per_shingle: int) -> int:
+    """Signed 64-bit fingerprint of one text."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, words_per_shingle):
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     bits = np.packbits(total * 2 > n, bitorder="little")
     return int(bits.view(np.int64)[0])
 
@@ -146,10 +151,11 @@ def near_duplicates(df: DataFrame, words_per_shingle: int = 5, radius: int = RAD
     return rows.join(of, "__fp")
 
 
-def keep_one(df: DataFrame, words_per_shingle: int = 5, radius: int = 3, **more) -> DataFrame:
-    """One row of each component, with the columns of df. Rows without words stand alone and are kept."""
-    out = near_duplicates(df, words_per_shingle, radius, **more)
-    return out.filter((F.col("__row") == F.col("__first"))).select(*df.columns)
+def keep_one(df: DataFrame, words_per_shingle: int = 5, **more) -> DataFrame:
+    """One row of each component of near copies verified by shingle similarity, see near_copies.keep_one."""
+    from .near_copies import keep_one as keep  # it builds on this module
+
+    return keep(df, words_per_shingle, **more)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_UNQUOTED = re.compile(r"=[^\s\"']+/\Z")  # the slash belongs to an attribute's value
 # HTML element kinds and the words that mark boilerplate containers.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title"}
 SKIP = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "menu", "dialog"} | RAW
@@ -58,6 +59,8 @@ def parse(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
             continue
         if tag in RAW and not m[1]:
             flush()
+            if m[3].endswith("/") and not _UNQUOTED.search(m[3]):  # an empty element
+                continue
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue

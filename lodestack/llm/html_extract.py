@@ -1,11 +1,11 @@
-"""3. Main text of HTML pages by equivalence-class template deduction over the pages of a host.
-
-A token is a structural tag with its path of (tag, first class or id). Its occurrence vector over the pages of a
-host is summed up as a mergeable signature (sum over pages of count * hash(page)), so vectors are compared
-without bringing a host's pages together: a hot host costs partial sums only. Tokens with equal signatures form an
-equivalence class; classes with one count per page are valid and nest by path into the host's template. Its
-innermost slot with the most text, outside boilerplate, is the main slot; on every page of the host the
-blocks of that slot are extracted.
+"""3. Main text of HTML pages by the container paths that pages of a host have in common.
+
+A path is the chain of (tag, first class or id) of a block's containers. The pages that have it are summed up as a
+mergeable signature (sum over pages of hash(page), whatever its count on a page), so paths are compared without
+bringing a host's pages together: a hot host costs partial sums only. Of the paths with equal signatures the group
+with the most text gives the host's main slot: its article or main container, else its innermost one with nine
+tenths of the text. Fixed tag and class names mark boilerplate. Classes are not validated or nested, and text takes
+no part; see the README.
 
 Null and empty html give "" ; a page lacking the host's slot uses its own best one; null urls form a host.
 Repeated rows count as pages. A page with text but no containers is one slot. Nothing is capped.

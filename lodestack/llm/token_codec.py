@@ -3,8 +3,8 @@
 File format (a table of blocks in Parquet, one payload each): documents in id order, whole documents to a block. A
 payload is a header of little-endian integers (magic, ids, lanes, words, crc32 of the ids, crc32 of the rest), the final state of each
 lane, and per step the 32-bit words that lanes emitted. Lanes are interleaved (id i in lane i mod lanes) and decoded
-in vector steps; every block is independent and holds its first global id number (the checkpoint) and its
-documents' lengths, so blocks are decoded in parallel. The frequency table is one per data set, bounded by the
+in vector steps; every block is independent and holds its first id number within its partition and its
+documents' lengths; a table of checkpoints holds the partitions' first numbers, so blocks are decoded in parallel. The frequency table is one per data set, bounded by the
 vocabulary, with at least 1 for each id that occurs.
 
 Null and empty texts are the end id alone. Ties of id are ordered by the text's hash; repeated rows are written
@@ -13,7 +13,10 @@ as often as they occur. A damaged payload raises ValueError. Extra columns are n
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +66,8 @@ def encode(ids: np.ndarray, freq: np.ndarray) -> bytes:
         over = y >= f << np.uint64(63 - SCALE)  # at most one word a step: states stay below 2^63
         out.append((y[over] & np.uint64(0xFFFFFFFF)).astype("<u4"))
         y = np.where(over, y >> np.uint64(32), y)
-        x[:len(s)] = (y // f << sc) + y % f + cum[s]
+        q = y // f
+        x[:len(s)] = (q << sc) + (y - q * f) + cum[s]
     words = np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
     body = x.astype("<u8").tobytes() + words.tobytes()
     return struct.pack("<6I", MAGIC, n, lanes, len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
@@ -93,40 +98,127 @@ def decode(payload: bytes, freq: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return out
 
 
+# The pattern of the tokenizer file, and that pattern for characters whose lower case and NFC are one to one.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e"
+PLAIN = re.compile(f"[!-~{LETTER}]+")
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^0-9{LETTER}]+")
+
+
+class Words:
+    """Ids of texts by the library, each distinct word encoded once while it is held.
+
+    The tokenizer's normaliser and pre-tokenizer treat the parts on either side of ASCII white space alone (NFC composes
+    nothing with it, lower case is by character, no piece holds white space) and special strings hold none, so a text's
+    ids are its words' ids in order. New words of plain characters are cut as the pre-tokenizer cuts them, and each
+    piece is encoded once. At most `hold` words of up to 64 bytes are held. With a file of another pattern the
+    library encodes whole texts.
+    """
+
+    def __init__(self, path: str, hold: int = 1 << 19):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library, self.hold = Tokenizer.from_file(path), hold
+        kind = json.loads(self.library.to_str())
+        cut, form = kind["pre_tokenizer"] or {}, kind["normalizer"] or {}
+        special = [t["content"] for t in kind["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.by_word = ([p.get("pattern", {}).get("Regex", p["type"]) for p in cut.get("pretokenizers", ())] == [PATTERN, "ByteLevel"]
+                        and [x["type"] for x in form.get("normalizers", ())] == ["NFC", "Replace", "Lowercase"] and not any(re.search(r"\s", t) for t in special))
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.start, self.size, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
+
+    def learn(self, words: list[bytes]) -> None:
+        cut = []
+        for w in words:
+            t = w.decode("utf-8")
+            cut.append(PIECE.findall(t.lower()) if PLAIN.fullmatch(t) and not (self.special and self.special.search(t)) else [t])
+        new = sorted({p for c in cut for p in c if p not in self.pieces})
+        if new:
+            self.pieces.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False))))
+        found = [[i for p in c for i in self.pieces[p]] for c in cut]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        first, n, more = len(self.at), len(self.at) + len(words), self.used + len(flat)
+        while n > len(self.size):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while more > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.start[first:n], self.size[first:n], self.flat[self.used:more] = self.used + np.cumsum(sizes) - sizes, sizes, flat
+        self.used = more
+        self.at.update(zip(words, range(first, n)))
+
+    def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
+        """The ids of each text with the end id behind."""
+        if not self.by_word:
+            return [np.array([*e.ids, end], np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [t.encode("utf-8").split() for t in texts]
+        flat = list(itertools.chain.from_iterable(cut))
+        new = set(flat).difference(self.at)
+        if len(self.at) + len(new) > self.hold:
+            self.clear()
+            new = set(flat)
+        if new:
+            self.learn(sorted(new))
+        word = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        size = self.size[word]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = self.flat[np.repeat(self.start[word] - (stop - size), size) + np.arange(total)]
+        if any(len(w) > 64 for w in new):
+            self.clear()
+        ends = np.concatenate([[0], stop])[np.cumsum([0, *map(len, cut)])]
+        return [np.append(ids[a:b], np.uint32(end)) for a, b in zip(ends, ends[1:])]
+
+
 @lru_cache(2)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def words(path: str) -> Words:
+    return Words(path)
 
-    return Tokenizer.from_file(path)
 
+def packed(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2").tobytes() if int(ids.max(initial=0)) < 65536 else b"\x01" + ids.astype("<u4").tobytes()
 
-def write_ids(df: DataFrame, path: str, to: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> None:
-    """Encode df's texts, in the order of its ids, to blocks under to/blocks and the table under to/frequencies."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u2").astype(np.int64) if len(b) % 2 == 0 else np.frombuffer(b, "<u4", offset=1).astype(np.int64)
+
+
+def tokenized(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
+    """(id, h, n, ids): a written table of each row's id as text, text hash, count and ids; every text is tokenized once."""
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(path)
+        of = words(path)
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at:at + 256]
-                rows = [np.array(e.ids + [end], "<u4") for e in t.encode_batch_fast(list(part["t"]), add_special_tokens=False)]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "h": part["h"].to_numpy(), "n": [len(r) for r in rows], "ids": [r.astype("<u2").tobytes() if r.max() < 65536 else b"\x01" + r.tobytes() for r in rows]})
+            edge = np.flatnonzero(np.diff(np.cumsum(pdf["t"].str.len().to_numpy(np.int64)) >> 21, prepend=0)).tolist()
+            for a, b in itertools.pairwise([0, *edge, len(pdf)]):  # about two million characters at a time
+                if a < b:
+                    rows = of(pdf["t"].iloc[a:b].tolist(), end)
+                    yield pd.DataFrame({"id": pdf["id"].iloc[a:b].to_numpy(), "h": pdf["h"].iloc[a:b].to_numpy(), "n": [len(r) for r in rows], "ids": [packed(r) for r in rows]})
 
-    kind = df.schema[id_col].dataType.simpleString()
     src = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    key = F.col("id").cast(kind)
-    toks = src.mapInPandas(tokens, "id string, h long, n long, ids binary")
-    toks = materialize(toks.repartitionByRange(n, key).sortWithinPartitions(key, "h").withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()))
+    return materialize(src.mapInPandas(tokens, "id string, h long, n long, ids binary"))
 
-    def unpack(b: bytes) -> np.ndarray:
-        return np.frombuffer(b, "<u2").astype(np.int64) if len(b) % 2 == 0 else np.frombuffer(b, "<u4", offset=1).astype(np.int64)
+
+def write_ids(df: DataFrame, path: str, to: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> None:
+    """Encode df's texts, in the order of its ids, to blocks under to/blocks, their checkpoints under to/checkpoints and
+    the table under to/frequencies.
+
+    The written tokens are counted, then range-partitioned by id once and encoded where they arrive. A block knows its
+    start within its partition; the partitions' starts, one row each, are the checkpoints.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    toks = tokenized(df, path, id_col, text_col, end)
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for pdf in batches:
-            c = np.bincount(np.concatenate([unpack(b) for b in pdf["ids"]])) if len(pdf) else np.zeros(0, np.int64)
+            c = np.bincount(np.concatenate([unpacked(b) for b in pdf["ids"]])) if len(pdf) else np.zeros(0, np.int64)
             size = max(len(c), len(total))
             total = np.pad(total, (0, size - len(total))) + np.pad(c, (0, size - len(c)))
         at = np.flatnonzero(total)
@@ -136,36 +228,37 @@ def write_ids(df: DataFrame, path: str, to: str, id_col: str = "doc_id", text_co
     freq = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     freq[counts["id"]] = counts["count"]
     freq = normalize(freq)
-    starts, at = {}, 0
-    for p, c in sorted((r[0], r[1]) for r in toks.groupBy("part").agg(F.sum("n")).collect()):
-        starts[p] = at
-        at += c
     spark.createDataFrame(pd.DataFrame({"id": np.flatnonzero(freq), "freq": freq[freq > 0]}), "id long, freq long").coalesce(1).write.parquet(f"{to}/frequencies")
-    held = spark.sparkContext.broadcast((freq, starts))
+    held = spark.sparkContext.broadcast(freq)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, start, ids, names, sizes = None, 0, [], [], []
+        part, start, size, ids, names, sizes = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def pack() -> pd.DataFrame:
-            flat = np.concatenate(ids)
-            return pd.DataFrame({"start": [start], "doc_ids": [list(names)], "lengths": [list(sizes)], "payload": [encode(flat, held.value[0])]})
+            return pd.DataFrame({"part": [part], "start": [start], "doc_ids": [list(names)], "lengths": [list(sizes)], "payload": [encode(np.concatenate([unpacked(b) for b in ids]), held.value)]})
 
         for pdf in batches:
-            for p, name, size, b in zip(pdf["part"], pdf["id"], pdf["n"], pdf["ids"]):
-                if ids and (p != part or sum(sizes) + size > BLOCK):
+            for name, count, b in zip(pdf["id"], pdf["n"], pdf["ids"]):
+                if ids and size + count > BLOCK:
                     yield pack()
-                    start += sum(sizes)
-                    ids, names, sizes = [], [], []
-                if p != part:
-                    part, start = p, held.value[1][p]
-                ids.append(unpack(b))
+                    start += size
+                    size, ids, names, sizes = 0, [], [], []
+                ids.append(b)
                 names.append(name)
-                sizes.append(int(size))
+                sizes.append(int(count))
+                size += int(count)
         if ids:
             yield pack()
 
-    rows = toks.repartition(n, "part").sortWithinPartitions("part", "seq")
-    rows.mapInPandas(blocks, "start long, doc_ids array<string>, lengths array<long>, payload binary").write.parquet(f"{to}/blocks")
+    key = F.col("id").cast(df.schema[id_col].dataType)
+    rows = toks.repartitionByRange(n, key, "h").sortWithinPartitions(key, "h").select("id", "n", "ids")
+    rows.mapInPandas(blocks, "part int, start long, doc_ids array<string>, lengths array<long>, payload binary").write.parquet(f"{to}/blocks")
+    ends = spark.read.parquet(f"{to}/blocks").groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()
+    starts, at = [], 0
+    for p, c in sorted((r[0], r[1]) for r in ends):
+        starts.append((p, at))
+        at += c
+    spark.createDataFrame(starts, "part int, first long").coalesce(1).write.parquet(f"{to}/checkpoints")
 
 
 def read_ids(spark: SparkSession, at: str, kind: str = "long") -> DataFrame:
@@ -183,8 +276,9 @@ def read_ids(spark: SparkSession, at: str, kind: str = "long") -> DataFrame:
                 first = ends - np.asarray(sizes)
                 yield pd.DataFrame({"doc_id": names, "start": start + first, "n_tokens": sizes, "ids": [ids[a:b].tobytes() for a, b in zip(first, ends)]})
 
-    out = spark.read.parquet(f"{at}/blocks").mapInPandas(open_blocks, "doc_id string, start long, n_tokens long, ids binary")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    starts = F.broadcast(spark.read.parquet(f"{at}/checkpoints"))  # one row a partition of the writer
+    found = spark.read.parquet(f"{at}/blocks").join(starts, "part").select((F.col("first") + F.col("start")).alias("start"), "doc_ids", "lengths", "payload")
+    return found.mapInPandas(open_blocks, "doc_id string, start long, n_tokens long, ids binary").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op8_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,15 @@ def ranked(df: DataFrame, *keys: Column, name: str = "rn") -> tuple[DataFrame, i
     return out.drop("__part", "__seq", "__start"), start
 
 
+def slices(pdf, text_col: str, size: int = 1 << 21):
+    """Parts of a pandas frame of about `size` characters of text, whole rows, at least one a part."""
+    total = pdf[text_col].str.len().fillna(0).to_numpy("int64").cumsum()
+    edge = [0, *(np.flatnonzero(np.diff(total // size)) + 1).tolist(), len(pdf)]
+    for a, b in itertools.pairwise(edge):
+        if a < b:
+            yield pdf.iloc[a:b]
+
+
 def bind(value: Column, body) -> Column:
     """body(value) with value evaluated once."""
     return F.transform(F.array(value), body)[0]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, shared_dir
+from .common import documents, materialize, shared_dir, slices
 
 VOCABULARY, END, BLOCK = "word_bpe_49k.json", 1, 1 << 17
 MAGIC, SCALE, LANES = 0x4C53524E, 22, 1024
@@ -194,11 +194,9 @@ def tokenized(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = words(path)
         for pdf in batches:
-            edge = np.flatnonzero(np.diff(np.cumsum(pdf["t"].str.len().to_numpy(np.int64)) >> 21, prepend=0)).tolist()
-            for a, b in itertools.pairwise([0, *edge, len(pdf)]):  # about two million characters at a time
-                if a < b:
-                    rows = of(pdf["t"].iloc[a:b].tolist(), end)
-                    yield pd.DataFrame({"id": pdf["id"].iloc[a:b].to_numpy(), "h": pdf["h"].iloc[a:b].to_numpy(), "n": [len(r) for r in rows], "ids": [packed(r) for r in rows]})
+            for part in slices(pdf, "t"):
+                rows = of(part["t"].tolist(), end)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "h": part["h"].to_numpy(), "n": [len(r) for r in rows], "ids": [packed(r) for r in rows]})
 
     src = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     return materialize(src.mapInPandas(tokens, "id string, h long, n long, ids binary"))

@@ -1,62 +1,82 @@
-"""3. Main text of HTML pages by the container paths that pages of a host have in common.
+"""3. Main text of HTML pages by templates deduced from the pages of a host.
 
-A path is the chain of (tag, first class or id) of a block's containers. The pages that have it are summed up as a
-mergeable signature (sum over pages of hash(page), whatever its count on a page), so paths are compared without
-bringing a host's pages together: a hot host costs partial sums only. Of the paths with equal signatures the group
-with the most text gives the host's main slot: its article or main container, else its innermost one with nine
-tenths of the text. Fixed tag and class names mark boilerplate. Classes are not validated or nested, and text takes
-no part; see the README.
+Tokens are containers, named by their path of tags (with the first class or id), and runs of text between blocks, named
+by path and words. A token's occurrence vector counts it on each of its host's distinct pages; it is summed up as a
+mergeable signature (sum over pages of a hash of page and count), so vectors are compared without bringing a host's
+pages together. Tokens of equal vectors form a class. A class is valid if its tokens are on at least `MIN_PAGES` pages and half of the
+host's. Containers of valid classes that occur once on each page nest by their paths into the template, whose slots
+are what is left inside each; text of valid classes is template and goes. The slot with the most remaining text is the
+host's main slot; a page's article is the region around it (see main_text). Names of tags and classes only decide
+about slots that recur beside the main slot.
 
-Null and empty html give "" ; a page lacking the host's slot uses its own best one; null urls form a host.
-Repeated rows count as pages. A page with text but no containers is one slot. Nothing is capped.
+Pages count as one if their longest run of text is equal, so copies of an article are no template; a host of fewer than
+`MIN_PAGES` distinct pages has none, and its pages are read each by itself. Null and empty html give ""; null urls form a host;
+repeated rows count once. A page without containers is one slot. Nothing is capped. Columns of the same name as `out`
+are replaced, other extra columns are kept.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, slices
+
+MIN_PAGES, SEP, BROADCAST = 3, "\x1f", 64 << 20
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _UNQUOTED = re.compile(r"=[^\s\"']+/\Z")  # the slash belongs to an attribute's value
-# HTML element kinds and the words that mark boilerplate containers.
+# HTML element kinds.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title"}
-SKIP = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "menu", "dialog"} | RAW
-HOLD = {"html", "body", "div", "section", "article", "main", "ul", "ol", "dl", "table", "center", "td"} | SKIP
+SKIP = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "dialog"} | RAW
+REGION = {"html", "body", "div", "section", "article", "main", "center", "form"}
+HOLD = {"ul", "ol", "dl", "table", "td", "header"} | REGION | SKIP
 BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "blockquote", "pre", "figcaption", "figure", "hr", "caption", "address"} | HOLD
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed"}
-JUNK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|header|footer|cookies?|notice|consent|popup|modal|newsletter|subscribe|share|social|related|breadcrumbs?|comments?|disqus|repl(?:y|ies)|login|signup|widget)(?:$|[\s_-])", re.I)
+# Names of slots beside the main one; a choice of ours, used where a template leaves the question open.
+SIDE = "ads?|advert\\w*|banner|sponsor\\w*|promo\\w*|side-?bar|menu|nav\\w*|footer|cookies?|notice|consent|popup|modal|newsletter|subscribe|share|social|related|breadcrumbs?|comments?|disqus|repl(?:y|ies)|login|signup|widget"
+JUNK = re.compile(rf"(?:^|[\s_-])(?:{SIDE})(?:$|[\s_-])", re.I)
+HEAD = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+Path = tuple[str, ...]
+
+
+class Block(NamedTuple):
+    path: Path
+    kinds: str  # for each container: s(kipped tag), j(unk name), h(eader) or -
+    text: str
+    linked: int  # characters inside links
 
 
-def parse(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
-    """Blocks in page order as (container path, inside boilerplate, text)."""
-    out, stack, buf, at, raw = [], [], [], 0, ""
+def parse(page: str) -> tuple[list[Block], Counter]:
+    """Blocks in page order, and how often each container path is opened."""
+    out, opened, stack, buf, at, link, linked = [], Counter({(): 1}), [], [], 0, False, 0
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join(unescape("".join(buf)).split())
         buf.clear()
         if text:
-            out.append((tuple(x[1] for x in stack), any(x[2] for x in stack), text))
+            out.append(Block(tuple(x[1] for x in stack), "".join(x[2] for x in stack), text, linked))
+        linked = 0
 
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if not raw:
-            buf.append(page[at:m.start()])
+        piece = page[at:m.start()]
+        buf.append(piece)
+        linked += len(piece) if link else 0
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
-        if raw:
-            raw = "" if m[1] and tag == raw else raw
-            continue
         if tag in RAW and not m[1]:
             flush()
             if m[3].endswith("/") and not _UNQUOTED.search(m[3]):  # an empty element
@@ -64,6 +84,8 @@ def parse(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag == "a":
+            link = not m[1]
         if tag == "br":
             buf.append(" ")
             continue
@@ -79,85 +101,191 @@ def parse(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
                     break
         elif not m[3].endswith("/"):
             names = " ".join(next(filter(None, n), "") for n in _NAME.findall(m[3]))
-            stack.append((tag, tag + ("." + names.split()[0] if names.split() else ""), tag in SKIP or bool(JUNK.search(names)) and tag not in ("html", "body", "article", "main")))
-    buf.append(page[at:] if not raw else "")
+            kind = "s" if tag in SKIP else "j" if tag not in ("html", "body", "main") and JUNK.search(names) else "h" if tag == "header" or HEAD.search(names) else "-"
+            stack.append((tag, tag + ("." + names.split()[0] if names.split() else ""), kind))
+            opened[tuple(x[1] for x in stack)] += 1
+    piece = page[at:]
+    buf.append(piece)
+    linked += len(piece) if link else 0
     flush()
-    return out
+    return out, opened
 
 
-def _slots(blocks) -> Counter:
-    mass = Counter()
-    for path, junk, text in blocks:
-        if not junk:
-            for i in range(len(path) + 1):
-                mass[path[:i]] += len(text)
-    return mass
+def text_token(block: Block) -> int:
+    """Signed 64-bit name of a run of text at its path."""
+    h = xxhash.xxh64_intdigest(f"{SEP.join(block.path)}\x1e{block.text}".encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _best(mass) -> tuple[str, ...]:
-    """The article or main container with the most text, else the innermost one with nine tenths of all text."""
-    named = [(n, p) for p, n in mass.items() if p and p[-1].split(".")[0] in ("article", "main") and not any(x.split(".")[0] in ("article", "main") for x in p[:-1])]
-    if named:
-        return max(named, key=lambda x: (x[0], x[1]))[1]
-    all_ = max(mass.values(), default=0)
-    return max((p for p, n in mass.items() if n * 10 >= 9 * all_), key=lambda p: (len(p), p), default=())
+def host_of(url: Column) -> Column:
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(__host, path, class_id, pages, once, mass): the valid tokens of each host's template."""
+def classes(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """(host, path, text, pages, most, mass, class_id, all_pages): each token of each host with its class.
 
+    text is null for containers, else the run's name; pages: distinct pages that have it; most: its greatest count on one;
+    mass: characters directly inside a container; class_id: signature of the occurrence vector; all_pages: the host's.
+    Runs of text on fewer than MIN_PAGES pages are left out.
+    """
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sums: dict = {}
-            for host, row, text in zip(pdf["__host"], pdf["__row"], pdf["__html"]):
-                blocks = parse(text or "")
-                mass, sign = _slots(blocks), xxhash.xxh64_intdigest(str(row)) & 0xFFFFFFFF
-                seen = Counter(p[:i] for p in {b[0] for b in blocks} for i in range(1, len(p) + 1))
-                for p in seen:
-                    s = sums.setdefault((host, "\x1f".join(p)), [0, 0, 0])
-                    s[0] += sign
-                    s[1] += 1
-                    s[2] += mass[p]
-            yield pd.DataFrame([(h, p, *s) for (h, p), s in sums.items()], columns=["__host", "path", "sign", "pages", "mass"])
-
-    rows = with_host(pages, html_col)
-    t = rows.mapInPandas(tokens, "__host string, path string, sign long, pages long, mass long")
-    return t.groupBy("__host", "path").agg(F.sum("sign").alias("class_id"), F.sum("pages").alias("pages"), F.sum("mass").alias("mass"))
-
-
-def with_host(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    return pages.select(host.alias("__host"), F.xxhash64(url_col, html_col).alias("__row"), F.col(html_col).alias("__html"))
-
-
-def main_slots(template: DataFrame) -> DataFrame:
-    """(__host, slots): per host the paths of the largest equivalence class, with their text, for choosing the main slot."""
-    by_class = template.groupBy("__host", "class_id", "pages").agg(
-        F.collect_list(F.struct("path", "mass")).alias("paths"), F.sum("mass").alias("mass"))
-    # classes that hold over most of a host's pages nest into its template: keep the one whose slots carry most text
-    return by_class.groupBy("__host").agg(F.max_by("paths", F.struct("mass", "pages", "class_id")).alias("__slots"))
-
-
-def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "text") -> DataFrame:
-    """pages with the main text in column out."""
-    slots = main_slots(templates(pages.select(F.col(html_col).alias("html"), F.col(url_col).alias("url"))))
-    host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    slots = slots.select(F.col("__host").alias("__h"), F.transform("__slots", lambda s: s["path"]).alias("__paths"), F.transform("__slots", lambda s: s["mass"]).alias("__mass"))
+            for part in slices(pdf, "html"):
+                rows = []
+                for host, page in zip(part["host"], part["html"]):
+                    blocks, opened = parse(page)
+                    longest = max((b.text for b in blocks), key=lambda t: (len(t), t), default="")
+                    sign = xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) >> 1
+                    mass: dict[Path, int] = defaultdict(int)
+                    for b in blocks:
+                        mass[b.path] += len(b.text)
+                    rows += [(host, sign, SEP.join(p), None, n, mass[p]) for p, n in opened.items()]
+                    runs = Counter((SEP.join(b.path), text_token(b), len(b.text)) for b in blocks)
+                    rows += [(host, sign, p, t, n, n * size) for (p, t, size), n in runs.items()]
+                host, sign, path, text, n, mass = map(list, zip(*rows))
+                yield pd.DataFrame({"host": host, "sign": sign, "path": path, "text": pd.array(text, "Int64"), "n": n, "mass": mass})
+
+    src = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    t = src.mapInPandas(tokens, "host string, sign long, path string, text long, n long, mass long")
+    t = t.groupBy("host", "path", "text", "sign").agg(F.max("n").alias("n"), F.max("mass").alias("mass"))
+    # whole sums of 64 bits would overflow: both halves of the hash are summed for themselves
+    h = F.xxhash64("sign", "n")
+    t = t.groupBy("host", "path", "text").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("mass").alias("mass"),
+                                              F.sum(F.shiftrightunsigned(h, 32)).alias("hi"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"))
+    t = materialize(t.filter(F.col("text").isNull() | (F.col("pages") >= MIN_PAGES)).withColumn("class_id", F.xxhash64("hi", "lo")).drop("hi", "lo"))
+    hosts = t.filter((F.col("path") == "") & F.col("text").isNull()).select("host", F.col("pages").alias("all_pages"))
+    return t.join(hosts, "host")
+
+
+def templates(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """(host, all_pages, containers, texts, main): the template of each host, a written table.
+
+    containers: paths of the containers of valid classes that occur once a page; texts: runs of text of valid classes; main: the path
+    of the slot with the most text left, slots in tags or recurring names of boilerplate last; null without a template.
+    """
+    t = classes(pages, html_col, url_col)
+    valid = (F.col("pages") >= MIN_PAGES) & (F.col("pages") * 2 >= F.col("all_pages"))
+    once = valid & F.col("text").isNull() & (F.col("most") == 1)
+    known = t.filter(valid).groupBy("host", "all_pages").agg(
+        F.array_sort(F.collect_set(F.when(once, F.col("path")))).alias("containers"),
+        F.array_sort(F.collect_set(F.when(F.col("text").isNotNull(), F.col("text")))).alias("texts"))
+    left = t.filter(F.col("text").isNull()).select("host", "path", "mass")
+    left = left.unionByName(t.filter(valid & F.col("text").isNotNull()).select("host", "path", (-F.col("mass")).alias("mass")))
+    # a longer prefix of a path sorts behind a shorter one
+    slot = F.array_max(F.filter("containers", lambda c: (c == F.col("path")) | (c == "") | F.startswith(F.col("path"), F.concat(c, F.lit(SEP)))))
+    end = rf"(?:[_-]|{SEP}|$)"
+    side = F.col("slot").rlike(rf"(?:^|{SEP})(?:(?:{'|'.join(sorted(SKIP - {'form'}))})(?:\.|{SEP}|$)|[^.{SEP}]*\.(?:[^{SEP}]*[_-])?(?i:{SIDE}){end})")
+    slots = left.join(known, "host").groupBy("host", slot.alias("slot")).agg(F.sum("mass").alias("mass"))
+    main = slots.filter("slot is not null").groupBy("host").agg(F.max_by("slot", F.struct((~side).alias("own"), "mass", "slot")).alias("main"))
+    return materialize(known.join(main, "host", "left"))
+
+
+def _region(path: Path) -> Path:
+    while path and path[-1].split(".")[0] not in REGION:
+        path = path[:-1]
+    return path
+
+
+def main_text(page: str | None, containers: frozenset = frozenset(), texts: frozenset = frozenset(), main: Path | None = None) -> str:
+    """The article of a page, given its host's template.
+
+    Runs of template text go. The region starts at the main slot (without one, or where the page lacks it, at the
+    page's own container with the most text). Inside article or main elements it takes all such elements outermost on the page; else
+    it grows to the container around it while it holds half of the text there, up to the body, of which it takes only the blocks
+    directly inside. Of the region's blocks those go that lie in boilerplate tags, in containers of mostly links,
+    or in containers whose name says so and that recur in the template (or if there is none), unless
+    the main slot is inside them.
+    """
+    blocks, _ = parse(page or "")
+    rest = [b for b in blocks if text_token(b) not in texts] if texts else blocks
+    if not rest:
+        return ""
+    if main is None or not any(b.path[:len(main)] == main for b in rest):
+        mass: dict = defaultdict(int)
+        for b in rest:
+            mass["s" in b.kinds or "j" in b.kinds, _region(b.path)] += len(b.text)
+        main = max(mass, key=lambda k: (not k[0], mass[k], k[1]))[1]
+    main = _region(main)
+
+    def own(b: Block) -> bool:
+        for i, kind in enumerate(b.kinds):
+            outer = b.path[:i + 1]
+            if kind != "-" and kind != "h" and main[:i + 1] != outer and (kind == "s" or not containers or SEP.join(outer) in containers):
+                return False
+        return True
+
+    rest = [b for b in rest if own(b)]
+    named = [i for i, x in enumerate(main) if x.split(".")[0] in ("article", "main")]
+    if named:
+        tag = "article" if any(main[i].split(".")[0] == "article" for i in named) else "main"
+        return "\n".join(b.text for b in rest if any(x.split(".")[0] == tag for x in b.path))
+
+    region = main
+    inside = [b for b in rest if b.path[:len(region)] == region]
+    while region:
+        outer = _region(region[:-1])
+        if outer == region or not outer:
+            break
+        around, flat = [b for b in rest if b.path[:len(outer)] == outer], outer[-1].split(".")[0] in ("body", "html")
+        children: dict = defaultdict(list)
+        for b in around:
+            children[b.path[:len(outer) + 1]].append(b)
+        dense = {c for c, bs in children.items() if c != outer and 2 * sum(b.linked for b in bs) > sum(len(b.text) for b in bs)}
+
+        def joins(b: Block) -> bool:
+            child = b.path[:len(outer) + 1]
+            if b.path[:len(region)] == region:
+                return True
+            return child not in dense and not any(k == "h" for k in b.kinds[len(outer):] if flat) and (not flat or _region(b.path) == outer)
+
+        grown = [b for b in around if joins(b)]
+        if 2 * sum(len(b.text) for b in inside) < sum(len(b.text) for b in grown):
+            break
+        kept = set(map(id, inside))
+        inside = [b for b in grown if b.path[:len(region)] != region or id(b) in kept]
+        region = outer
+    return "\n".join(b.text for b in inside)
+
+
+def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "text", limit: int = BROADCAST) -> DataFrame:
+    """pages with the main text in column out.
+
+    Templates are broadcast if their counted size is within `limit` bytes; else those of the hosts with the most pages that
+    fit are, and only pages of smaller hosts move to their templates, so that no large host meets in one task.
+    """
+    known = templates(pages.select(F.col(html_col).alias("html"), F.col(url_col).alias("url")))
+    size = F.lit(64) + 8 * F.size("texts") + F.length(F.array_join("containers", "")) + 16 * F.size("containers")
+    by = known.groupBy(F.floor(F.log2("all_pages")).alias("e")).agg(F.sum(size).alias("bytes")).collect()  # one row a power of two
+    least, total = 0, 0
+    for e, n in sorted(map(tuple, by), reverse=True):
+        total += n
+        if total > limit:
+            least = 1 << (int(e) + 1)
+            break
+    row = F.struct("containers", "texts", "main").alias("__template")
+    large = F.broadcast(known.filter(F.col("all_pages") >= least).select(F.col("host").alias("__h"), row))
+    found = pages.withColumn("__host", host_of(F.col(url_col))).join(large, F.col("__host") == F.col("__h"), "left").drop("__h")
+    if least:
+        small = known.filter(F.col("all_pages") < least).select(F.col("host").alias("__h"), row.alias("__small"))
+        done = found.filter("__template is not null")
+        rest = found.filter("__template is null").drop("__template").join(small, F.col("__host") == F.col("__h"), "left").drop("__h")
+        found = done.unionByName(rest.withColumnRenamed("__small", "__template"))
 
     @F.pandas_udf("string")
-    def text(html: pd.Series, paths: pd.Series, mass: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, dict(zip([tuple(x.split("\x1f")) for x in p], m)) if p is not None else {}) for h, p, m in zip(html, paths, mass)], dtype="object")
+    def text(html: pd.Series, template: pd.DataFrame) -> pd.Series:
+        held: dict = {}
 
-    joined = pages.withColumn("__host", host).join(slots, F.col("__host") == F.col("__h"), "left")
-    return joined.withColumn(out, text(F.col(html_col), F.col("__paths"), F.col("__mass"))).drop("__host", "__h", "__paths", "__mass")
+        def of(page, containers, texts, main):
+            if containers is None:
+                return main_text(page)
+            key = (main, len(texts), texts.tobytes(), len(containers), containers[-1] if len(containers) else "")
+            if key not in held:
+                held[key] = (frozenset(containers), frozenset(texts.tolist()), tuple(filter(None, main.split(SEP))) if main is not None else None)
+            return main_text(page, *held[key])
 
+        return pd.Series([of(*x) for x in zip(html, template["containers"], template["texts"], template["main"])], dtype="object")
 
-def main_text(page: str | None, template: dict) -> str:
-    blocks = parse(page or "")
-    slot = _best(template) if template else ()
-    if not slot or not any(b[0][:len(slot)] == slot and not b[1] for b in blocks):
-        slot = _best(_slots(blocks))
-    return "\n".join(t for p, junk, t in blocks if not junk and p[:len(slot)] == slot)
+    return found.withColumn(out, text(F.col(html_col), F.col("__template"))).drop("__host", "__template")
 
 
 def op3_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:

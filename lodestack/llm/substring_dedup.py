@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize, shared_dir, slices
 
-WINDOW, GRAM, GROUP, HEAVY = 35, 8, 1 << 16, 1 << 22
+WINDOW, GRAM, GROUP, HEAVY, HOT = 35, 8, 1 << 16, 1 << 22, 1 << 20
 P, HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF00000000)
 KEY = ["__a", "__b"]
 
@@ -167,8 +167,12 @@ def starts_of(once: DataFrame, window: int = WINDOW, group: int = GROUP) -> Data
                 yield pd.DataFrame({"__a": part["__a"].to_numpy()[some], "__b": part["__b"].to_numpy()[some], "gs": [values[edge[i]:edge[i + 1]] for i in some]})
 
     found = materialize(once.mapInPandas(find, "__a long, __b long, gs array<long>")).select(*KEY, F.explode("gs").alias("g"))
-    often = found.groupBy("g").count().filter("count > 1").select("g")
-    live = _bucketed(found.join(often, "g").groupBy(*KEY).agg(F.collect_set("g").alias("gs")))
+    often = materialize(found.groupBy("g").count().filter("count > 1"))
+    # anchors that are more than one in HOT of all, so fewer than HOT of them, are broadcast, so that no key meets in one task
+    hot = max(4096, found.count() // HOT)
+    many = F.broadcast(often.filter(F.col("count") > hot).select("g"))
+    live = found.join(many, "g", "left_semi").unionByName(found.join(many, "g", "left_anti").join(often.filter(F.col("count") <= hot).select("g"), "g", "left_semi"))
+    live = _bucketed(live.groupBy(*KEY).agg(F.collect_set("g").alias("gs")))
     both = once.join(live, KEY).select(*KEY, "t", "gs")
 
     # the sizes of groups and tables of prefixes: at most HEAVY prefixes can exceed a group
@@ -198,7 +202,8 @@ def starts_of(once: DataFrame, window: int = WINDOW, group: int = GROUP) -> Data
             out += on
         return out
 
-    heavy: list[np.ndarray] = []
+    # a task sends the counts that reach `least`; what it keeps back is less than that for each bucket and task
+    least, heavy = max(1, group // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), []
     while len(heavy) < 3:
         held = spark.sparkContext.broadcast(heavy)
 
@@ -210,10 +215,12 @@ def starts_of(once: DataFrame, window: int = WINDOW, group: int = GROUP) -> Data
                     parts, depth = prefixes(*k), len(held.value)
                     on = level(parts, held.value) == depth
                     total += np.bincount((parts[depth][on] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"bucket": at, "n": total[at]})
+            at = np.flatnonzero(total >= least)
+            yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], 1)})
 
-        big = both.mapInPandas(sizes, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > group).select("bucket").toPandas()["bucket"].to_numpy(np.int64)
+        counts = materialize(both.mapInPandas(sizes, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+        tasks = counts.filter("bucket < 0").agg(F.sum("n")).first()[0] or 0
+        big = counts.filter((F.col("bucket") >= 0) & (F.col("n") + tasks * (least - 1) > group)).select("bucket").toPandas()["bucket"].to_numpy(np.int64)
         if not len(big):
             break
         heavy.append(np.sort(big))

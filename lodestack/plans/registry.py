@@ -2,77 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import catalog_queries, graph_queries, retrieval_queries, text_queries
 
-from ..operators import corpus as C
-from ..operators import retrieval as R
-from ..sources.tables import table
-
-
-def bm25_search(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(table(spark, d, "documents").select("doc_id", "text"), q)
-
-
-def vector_knn(spark, d):
-    v = table(spark, d, "embeddings")
-    return R.cosine_neighbours(v, v.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"))
-
-
-def hybrid_rrf(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    newest = R.bm25(docs, q, 20)
-    return R.rrf(newest, newest.withColumn("rank", F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.desc("doc_id")))))
-
-
-QUERIES = {
-    "bm25_search": bm25_search,
-    "hybrid_rrf": hybrid_rrf,
-    "vector_knn": vector_knn,
-    "term_stats": lambda s, d: R.term_stats(table(s, d, "documents")).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")),
-    "quality_filter": lambda s, d: C.quality_reason(C.line_chunks(table(s, d, "documents"))).groupBy("doc_id", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")),
-    "dedupe_chunks": lambda s, d: C.dedupe_chunks(C.line_chunks(table(s, d, "documents"))),
-    "feedback_ema": lambda s, d: C.feedback_ema(table(s, d, "events")),
-    "latency": lambda s, d: C.latency(table(s, d, "events")),
-    "latest_event": lambda s, d: C.latest_per_key(table(s, d, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", "ts", "event_id"),
-    "recent_messages": lambda s, d: C.recent_messages(table(s, d, "conversations")),
-    "centroids": lambda s, d: C.centroids(table(s, d, "embeddings")),
-}
-
-_BM25 = """
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}') AS w FROM documents),
-n AS (SELECT doc_id, len(w) AS len FROM d),
-c AS (SELECT count(*) AS n, avg(len) AS avg_len FROM n),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
-i AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM tf, c GROUP BY term, n),
-j AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM i) ELSE raw END AS idf FROM i),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')) AS term FROM benchmark) GROUP BY ALL),
-s AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) AS score
-  FROM tf JOIN j USING (term) JOIN n USING (doc_id) JOIN q USING (term), c GROUP BY ALL),
-r AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)"""
-_LINES = "l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, w[i] AS text FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents)))"
-
-ORACLES = {
-    "bm25_search": f"WITH {_BM25} SELECT * FROM r WHERE rank <= 10",
-    "hybrid_rrf": f"""WITH {_BM25},
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank2 FROM r WHERE rank <= 20),
-f AS (SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rank) + 1.0::DOUBLE / (60 + rank2), 9) AS score FROM t)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f) WHERE rank <= 10""",
-    "vector_knn": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, least(1, greatest(0, round(list_cosine_similarity(a.v, b.v), 5))) AS score FROM e a, e b WHERE a.vec_id % 20 = 0)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10""",
-    "term_stats": f"WITH {_BM25} SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM tf GROUP BY term",
-    "quality_filter": f"""WITH {_LINES}
-SELECT doc_id, CASE WHEN len(list_filter(string_split(text, ' '), lambda x: x <> '')) < 30 AND length(text) < 80 THEN 'too_short'
-  WHEN CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / length(text) ELSE 0 END < 0.4 THEN 'low_alpha_ratio' ELSE 'kept' END AS reason, count(*) AS n
-FROM l GROUP BY ALL""",
-    "dedupe_chunks": f"WITH {_LINES} SELECT doc_id, trim(text) AS text, min(chunk_index) AS chunk_index FROM l GROUP BY ALL",
-    "feedback_ema": """WITH s AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 1.0::DOUBLE WHEN event_type = 'error' THEN -1.0 END AS s FROM events),
-n AS (SELECT user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM s WHERE s IS NOT NULL)
-SELECT user_id, round(sum(s * pow(0.7::DOUBLE, n - i) * CASE WHEN i = 1 THEN 1.0 ELSE 0.3 END), 6) AS ema, count(*) AS n_signals FROM n GROUP BY user_id""",
-    "latency": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY event_type",
-    "latest_event": "SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
-    "recent_messages": "SELECT conv_id, turn, role, text, CAST(back AS INTEGER) AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6",
-    "centroids": "SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL",
-}
+_PARTS = (retrieval_queries, catalog_queries, text_queries, graph_queries)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

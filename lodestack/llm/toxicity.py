@@ -1,7 +1,7 @@
 """5. Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the distinct hashed words, pairs and pairs with one word between, of the whole text. Training takes a
-bounded sample of labelled rows (`sample` rows, least by hash of id; default 20,000), one pass after another, with
+bounded sample of labelled rows (`sample` rows, least by hash of id, default 20,000, and at most `most` features in all, default 40 million), one pass after another, with
 per-coordinate rates and L1 sparsity; the weights left are at most `1 << bits` floats, a proven broadcast bound.
 
 Null and empty texts get the bias alone; without any label every score is 0.0. A null id is never trained on.
@@ -12,15 +12,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialize
 
-BITS, SAMPLE, EPOCHS, THRESHOLD = 20, 20000, 5, 0.3
+BITS, SAMPLE, FEATURES, EPOCHS, THRESHOLD = 20, 20000, 40_000_000, 5, 0.3
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,7 +61,11 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: i
     return weights(np.arange(size + 1)).astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS) -> np.ndarray | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS, most: int = FEATURES) -> np.ndarray | None:
+    """Weights from the labelled rows of least hash: at most `sample` rows and `most` features, whatever the texts' length.
+
+    One task of an executor fits them; only the weights left reach the driver.
+    """
     chosen = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("__toxic"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample)
 
@@ -69,11 +74,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         ids = _Ids()
         return pd.Series([features(x, bits, ids) for x in s], dtype="object")
 
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, hashed(F.col(text_col)).alias("f"), "__toxic").orderBy(F.xxhash64(id_col), id_col, F.xxhash64("f")).toArrow()
-    if not rows.num_rows:
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.xxhash64(id_col).alias("o"), hashed(F.col(text_col)).alias("f"), F.col("__toxic").cast("double").alias("y"))
+    rows = materialize(rows.select("*", F.xxhash64("f").alias("h"), F.size("f").alias("n")))
+    order = rows.select("o", "h", "n").orderBy("o", "h").limit(sample).toPandas()
+    if order.empty:
         return None
-    f = rows["f"].combine_chunks()
-    return ftrl([f[i].values.to_numpy() for i in range(len(f))], np.array(rows["__toxic"].to_pylist(), float), bits)
+    kept = max(1, int((order["n"].cumsum() <= most).sum()))
+    last_o, last_h = int(order["o"].iloc[kept - 1]), int(order["h"].iloc[kept - 1])
+    taken = rows.filter((F.col("o") < last_o) | ((F.col("o") == last_o) & (F.col("h") <= last_h)))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f, y = [], []
+        for pdf in batches:  # equal rows of one id may go on beyond the bound
+            f += [np.asarray(x, np.int32) for x in pdf["f"][:kept - len(f)]]
+            y += pdf["y"][:kept - len(y)].tolist()
+        if f:
+            w = ftrl(f, np.array(y), bits)
+            at = np.flatnonzero(w)
+            yield pd.DataFrame({"i": at, "w": w[at]})
+
+    found = taken.repartition(1).sortWithinPartitions("o", "h").mapInPandas(fit, "i int, w float").toPandas()
+    out = np.zeros((1 << bits) + 1, np.float32)
+    out[found["i"].to_numpy()] = found["w"].to_numpy()
+    return out
 
 
 def score(df: DataFrame, weights: np.ndarray | None, text_col: str = "text", bits: int = BITS, out: str = "score") -> DataFrame:

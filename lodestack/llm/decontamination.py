@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z) and cut into words of letters and digits (any code point beyond ASCII counts). Every
 run of `window` item words, or a shorter item's whole sequence, is a window. Each document's runs of the window
 lengths that occur are scanned against the set: the join on the window's hash compares the window itself too,
-which verifies hits. The set is broadcast only if its counted size is below `limit`; beyond it, the join shuffles.
+which verifies hits. The set is broadcast only if its counted rows are within `limit` and its bytes within BYTES; beyond them, the join shuffles.
 
 Null and empty texts have no words and no hits; items without words have no windows. Items of equal text all count.
 Repeated rows each get a row. A null item_id is not listed.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, bind, documents
 
-WINDOW, LIMIT = 10, 2_000_000
+WINDOW, LIMIT, BYTES = 10, 2_000_000, 256 << 20
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 
 
@@ -45,9 +45,10 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 def scan(df: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
     """(__row, n_words, n_hit, items, spans) and first values of df's columns, one per row of df."""
     known = item_windows(items, window)
-    stats = known.groupBy("len").count().collect()  # at most `window` rows
+    size = F.length("w") + 32 + F.aggregate("items", F.lit(0), lambda a, x: a + F.length(x) + 16)
+    stats = known.groupBy("len").agg(F.count("*").alias("count"), F.sum(size).alias("bytes")).collect()  # at most `window` rows
     sizes = sorted(r["len"] for r in stats) or [window]
-    if sum(r["count"] for r in stats) <= limit:
+    if sum(r["count"] for r in stats) <= limit and sum(r["bytes"] for r in stats) <= BYTES:
         known = F.broadcast(known)
     flat = df.withColumn("__ws", words(F.col(text_col))).withColumn("__row", F.monotonically_increasing_id())
     own = [c for c in df.columns if c != text_col]
@@ -64,10 +65,11 @@ def scan(df: DataFrame, items: DataFrame, text_col: str = "text", window: int =
 
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """df without the documents that a window hits. A null id is kept only if its text has no hit."""
-    keyed = df.withColumn("__id", F.struct(F.col(id_col), F.xxhash64(text_col)))
-    bad = scan(keyed.select("__id", text_col), items, text_col, **more).filter("n_hit > 0").select(F.xxhash64("__id").alias("__bad"))
-    return keyed.join(bad, F.xxhash64("__id") == F.col("__bad"), "left_anti").select(*df.columns)
+    """df without the documents that a window hits, known by 128 bits of hashes of id and text. A null id is kept only if its text has no hit."""
+    parts = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col)]  # rows of equal id and text share their fate
+    keyed = df.withColumn("__a", F.xxhash64(*parts)).withColumn("__b", F.xxhash64(F.lit(1), *parts))
+    bad = scan(keyed.select("__a", "__b", text_col), items, text_col, **more).filter("n_hit > 0").select("__a", "__b").distinct()
+    return keyed.join(bad, ["__a", "__b"], "left_anti").select(*df.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,8 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     base = df.drop("shard", "slot").withColumn("__tie", F.xxhash64(text_col))
     rows, n = ranked(base, F.col(id_col), F.col("__tie"), name="__rn")
     rows = rows.withColumn("__pos", permute(F.col("__rn"), n, seed))
-    return rows.withColumn("shard", (F.col("__pos") % shards).cast("int")).withColumn("slot", F.floor(F.col("__pos") / shards).cast("long")).drop("__rn", "__pos", "__tie")
+    slot = F.when(F.col("__pos") < n, F.floor(F.col("__pos") / shards).cast("long")).otherwise(F.raise_error("the walk left the rows' range").cast("long"))
+    return rows.withColumn("shard", (F.col("__pos") % shards).cast("int")).withColumn("slot", slot).drop("__rn", "__pos", "__tie")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

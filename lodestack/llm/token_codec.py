@@ -105,21 +105,34 @@ PLAIN = re.compile(f"[!-~{LETTER}]+")
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^0-9{LETTER}]+")
 
 
+def _visible() -> dict[int, int]:
+    """The byte level's spelling: visible bytes stand for themselves, the others for code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_VISIBLE = _visible()
+
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class Words:
     """Ids of texts by the library, each distinct word encoded once while it is held.
 
     The tokenizer's normaliser and pre-tokenizer treat the parts on either side of ASCII white space alone (NFC composes
     nothing with it, lower case is by character, no piece holds white space) and special strings hold none, so a text's
-    ids are its words' ids in order. New words of plain characters are cut as the pre-tokenizer cuts them, and each
-    piece is encoded once. At most `hold` words of up to 64 bytes are held. With a file of another pattern the
-    library encodes whole texts.
+    ids are its words' ids in order. New words of plain characters are cut by the pattern and their pieces go to the
+    library's model, spelled as its byte level spells them; other words go through the whole library. Words of up to 16
+    bytes are looked up exactly, many at a time, in arrays of their bytes. At most `hold` words of up to 64 bytes and a quarter as many pieces are held. With a file of another pattern the library encodes whole texts.
     """
 
-    def __init__(self, path: str, hold: int = 1 << 19):
+    def __init__(self, path: str, hold: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.hold = Tokenizer.from_file(path), hold
+        self.model = self.library.model
         kind = json.loads(self.library.to_str())
         cut, form = kind["pre_tokenizer"] or {}, kind["normalizer"] or {}
         special = [t["content"] for t in kind["added_tokens"]]
@@ -128,52 +141,117 @@ class Words:
                         and [x["type"] for x in form.get("normalizers", ())] == ["NFC", "Replace", "Lowercase"] and not any(re.search(r"\s", t) for t in special))
         self.clear()
 
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.start, self.size, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
+    def clear(self, words: int = 0) -> None:
+        """An empty table for `hold` words, or more if a batch alone has more."""
+        slots = 1 << (2 * max(self.hold, words) - 1).bit_length()
+        self.a, self.b, self.n, self.no = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.uint8), np.zeros(slots, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.start, self.size, self.flat, self.used, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0, 0
+
+    def slots(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        h = (a ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + n)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ (h >> np.uint64(29))) & np.uint64(len(self.a) - 1)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Numbers of words of up to 16 bytes, given as two integers and a length; -1 where not held."""
+        slot, out, todo = self.slots(a, b, n), np.full(len(a), -1, np.int64), np.arange(len(a))
+        while len(todo):
+            at = slot[todo]
+            held = self.n[at]
+            same = (self.a[at] == a[todo]) & (self.b[at] == b[todo]) & (held == n[todo])
+            out[todo[same]] = self.no[at[same]]
+            todo = todo[~same & (held > 0)]
+            slot[todo] = (slot[todo] + 1) & (len(self.a) - 1)
+        return out
+
+    def insert(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, no: np.ndarray) -> None:
+        """Distinct new words; of several that want one free slot the first takes it."""
+        slot, todo = self.slots(a, b, n), np.arange(len(a))
+        while len(todo):
+            free = todo[self.n[slot[todo]] == 0]
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            at = slot[free]
+            self.a[at], self.b[at], self.n[at], self.no[at] = a[free], b[free], n[free], no[free]
+            done = np.zeros(len(a), bool)
+            done[free] = True
+            todo = todo[~done[todo]]
+            slot[todo] = (slot[todo] + 1) & (len(self.a) - 1)
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def piece(self, text: str) -> tuple[int, ...]:
+        if len(self.pieces) >= self.hold >> 2:
+            self.pieces.clear()
+        self.pieces[text] = found = tuple([k.id for k in self.model.tokenize(text.encode("utf-8").decode("latin-1").translate(_VISIBLE))])
+        return found
 
     def learn(self, words: list[bytes]) -> None:
-        cut = []
+        known, flat, sizes, order, other, texts = self.pieces.get, [], [], [], [], []
         for w in words:
             t = w.decode("utf-8")
-            cut.append(PIECE.findall(t.lower()) if PLAIN.fullmatch(t) and not (self.special and self.special.search(t)) else [t])
-        new = sorted({p for c in cut for p in c if p not in self.pieces})
-        if new:
-            self.pieces.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False))))
-        found = [[i for p in c for i in self.pieces[p]] for c in cut]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        first, n, more = len(self.at), len(self.at) + len(words), self.used + len(flat)
+            if not PLAIN.fullmatch(t) or (self.special and self.special.search(t)):
+                other.append(w)
+                texts.append(t)
+                continue
+            before = len(flat)
+            for p in PIECE.findall(t.lower()):
+                flat += known(p) or self.piece(p)
+            sizes.append(len(flat) - before)
+            order.append(w)
+        for ids in self.encoded(texts):
+            flat += ids
+            sizes.append(len(ids))
+        words, sizes, flat = order + other, np.array(sizes, np.int64), np.array(flat, np.uint32)
+        first, n, more = self.count, self.count + len(words), self.used + len(flat)
         while n > len(self.size):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.start[first:n], self.size[first:n], self.flat[self.used:more] = self.used + np.cumsum(sizes) - sizes, sizes, flat
-        self.used = more
-        self.at.update(zip(words, range(first, n)))
-
-    def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """The ids of each text with the end id behind."""
+        self.used, self.count = more, n
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short = size <= 16
+        a = np.frombuffer(b"".join([w.ljust(16, b"\0") for w in itertools.compress(words, short)]), "<u8").reshape(-1, 2)
+        no = np.arange(first, n)
+        self.insert(a[:, 0].copy(), a[:, 1].copy(), size[short].astype(np.uint64), no[short])
+        self.long.update(zip(itertools.compress(words, ~short), no[~short].tolist()))
+
+    def __call__(self, texts: list[bytes], end: int) -> list[np.ndarray]:
+        """The ids of each text (UTF-8) with the end id behind."""
         if not self.by_word:
-            return [np.array([*e.ids, end], np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [t.encode("utf-8").split() for t in texts]
-        flat = list(itertools.chain.from_iterable(cut))
-        new = set(flat).difference(self.at)
-        if len(self.at) + len(new) > self.hold:
-            self.clear()
-            new = set(flat)
+            return [np.array([*ids, end], np.uint32) for ids in self.encoded([t.decode("utf-8") for t in texts])]
+        buf = b" ".join(texts) + b" " * 24
+        chars = np.frombuffer(buf, np.uint8)
+        space = (chars == 32) | (chars - np.uint8(9) <= 4)
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edge = edge if space[0] else np.insert(edge, 0, 0)
+        start, stop = edge[0::2], edge[1::2]
+        eight, n = np.ndarray((len(buf) - 8,), "<u8", buf, strides=(1,)), stop - start
+        a, b, size = eight[start] & _LOW[np.minimum(n, 8)], eight[start + 8] & _LOW[np.clip(n - 8, 0, 8)], n.astype(np.uint64)
+        far = np.flatnonzero(n > 16)
+        names = [buf[i:j] for i, j in zip(start[far].tolist(), stop[far].tolist())]
+        word = self.find(a, b, np.where(n <= 16, size, 0))
+        word[far] = [self.long.get(w, -1) for w in names]
+        miss = np.flatnonzero(word < 0)
+        new = {buf[i:j] for i, j in zip(start[miss].tolist(), stop[miss].tolist())}
+        if new and self.count + len(new) > self.hold and (self.count or len(new) * 2 > len(self.a)):
+            self.clear(len(new))
+            return self(texts, end)
         if new:
-            self.learn(sorted(new))
-        word = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        size = self.size[word]
-        stop = np.cumsum(size)
-        total = int(stop[-1]) if len(stop) else 0
-        ids = self.flat[np.repeat(self.start[word] - (stop - size), size) + np.arange(total)]
+            self.learn(list(new))
+            word[miss] = self.find(a[miss], b[miss], np.where(n[miss] <= 16, size[miss], 0))
+            word[far] = [self.long[w] for w in names]
+        count = self.size[word]
+        last = np.cumsum(count)
+        total = int(last[-1]) if len(last) else 0
+        ids = self.flat[np.repeat(self.start[word] - (last - count), count) + np.arange(total)]
         if any(len(w) > 64 for w in new):
             self.clear()
-        ends = np.concatenate([[0], stop])[np.cumsum([0, *map(len, cut)])]
-        return [np.append(ids[a:b], np.uint32(end)) for a, b in zip(ends, ends[1:])]
+        bound = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        ends = np.concatenate([[0], last])[bound]
+        return [np.append(ids[x:y], np.uint32(end)) for x, y in zip(ends, ends[1:])]
 
 
 @lru_cache(2)
@@ -198,7 +276,7 @@ def tokenized(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 rows = of(part["t"].tolist(), end)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "h": part["h"].to_numpy(), "n": [len(r) for r in rows], "ids": [packed(r) for r in rows]})
 
-    src = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    src = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")).withColumn("h", F.xxhash64("t"))
     return materialize(src.mapInPandas(tokens, "id string, h long, n long, ids binary"))
 
 

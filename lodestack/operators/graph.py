@@ -155,7 +155,7 @@ def page_rank(graph: DataFrame, seeds: DataFrame, damping: float = 0.5, toleranc
         ok = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == pdf["node"].to_numpy(str))
         p[at[ok]] = pdf["weight"].to_numpy(float)[ok]
         if p.sum() <= 0:
-            return pd.DataFrame({"query_id": [], "node": [], "score": []})
+            return pd.DataFrame({"query_id": pdf["query_id"].iloc[:0], "node": pd.Series([], dtype="object"), "score": pd.Series([], dtype="float64")})
         p /= p.sum()
         x = p
         for _ in range(steps):
@@ -163,7 +163,7 @@ def page_rank(graph: DataFrame, seeds: DataFrame, damping: float = 0.5, toleranc
             x, change = y, np.abs(y - x).sum()
             if change < tolerance:
                 break
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "node": names, "score": x})
+        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "node": names.astype(object), "score": x})
 
     kind = seeds.schema["query_id"].dataType.simpleString()
     return seeds.groupBy("query_id").applyInPandas(walk, f"query_id {kind}, node string, score double")

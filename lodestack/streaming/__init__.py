@@ -1 +1 @@
-"""Part of the lodestack engine."""
+"""Streams: files that arrive, feedback as it comes, windows over events."""

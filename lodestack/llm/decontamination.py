@@ -6,7 +6,7 @@ lengths that occur are scanned against the set: the join on the window's hash co
 which verifies hits. The set is broadcast only if its counted rows are within `limit` and its bytes within BYTES; beyond them, the join shuffles.
 
 Null and empty texts have no words and no hits; items without words have no windows. Items of equal text all count.
-Repeated rows each get a row. A null item_id is not listed.
+Repeated rows each get a row. An item without id counts among the items but is not listed.
 """
 
 from __future__ import annotations
@@ -35,17 +35,17 @@ def runs(w: Column, size: int | Column) -> Column:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(w, len, items): each window text with the ids of its items."""
+    """(w, len, items): each window text with the ids of its items, as structs since a set drops nulls."""
     w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
     w = w.withColumn("len", F.least(F.size("ws"), F.lit(window)))
     w = w.select("item", "len", F.explode(runs(F.col("ws"), F.col("len"))).alias("r")).select("item", "len", "r.w")
-    return w.groupBy("w", "len").agg(F.collect_set("item").alias("items"))
+    return w.groupBy("w", "len").agg(F.collect_set(F.struct("item")).alias("items"))
 
 
 def scan(df: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
-    """(__row, n_words, n_hit, items, spans) and first values of df's columns, one per row of df."""
+    """(__row, n_words, n_hit, n_items, items, spans) and first values of df's columns, one per row of df."""
     known = item_windows(items, window)
-    size = F.length("w") + 32 + F.aggregate("items", F.lit(0), lambda a, x: a + F.length(x) + 16)
+    size = F.length("w") + 32 + F.aggregate("items", F.lit(0), lambda a, x: a + F.coalesce(F.length(x["item"]), F.lit(0)) + 24)
     stats = known.groupBy("len").agg(F.count("*").alias("count"), F.sum(size).alias("bytes")).collect()  # at most `window` rows
     sizes = sorted(r["len"] for r in stats) or [window]
     if sum(r["count"] for r in stats) <= limit and sum(r["bytes"] for r in stats) <= BYTES:
@@ -61,7 +61,9 @@ def scan(df: DataFrame, items: DataFrame, text_col: str = "text", window: int =
         F.collect_set(F.when(F.col("len").isNotNull() & (F.col("__p") > 0), F.struct(F.col("__p").alias("p"), F.col("len").alias("n")))).alias("spans"),
         F.flatten(F.collect_set(F.when(F.col("__p") > 0, F.col("items")))).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["p"], s["p"] + s["n"] - 1))))
-    return out.withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("n_hit", F.size(covered).cast("long"))
+    out = out.withColumn("__items", F.array_distinct("items")).withColumn("n_items", F.size("__items").cast("long"))
+    listed = F.array_sort(F.array_compact(F.transform("__items", lambda x: x["item"])))
+    return out.withColumn("items", listed).drop("__items").withColumn("n_hit", F.size(covered).cast("long"))
 
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -74,4 +76,4 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

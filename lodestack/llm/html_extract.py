@@ -165,14 +165,14 @@ def templates(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
     """
     t = classes(pages, html_col, url_col)
     valid = (F.col("pages") >= MIN_PAGES) & (F.col("pages") * 2 >= F.col("all_pages"))
-    once = valid & F.col("text").isNull() & (F.col("most") == 1)
+    once = valid & F.col("text").isNull() & (F.col("most") == 1) & (F.col("path") != "")
     known = t.filter(valid).groupBy("host", "all_pages").agg(
         F.array_sort(F.collect_set(F.when(once, F.col("path")))).alias("containers"),
         F.array_sort(F.collect_set(F.when(F.col("text").isNotNull(), F.col("text")))).alias("texts"))
     left = t.filter(F.col("text").isNull()).select("host", "path", "mass")
     left = left.unionByName(t.filter(valid & F.col("text").isNotNull()).select("host", "path", (-F.col("mass")).alias("mass")))
     # a longer prefix of a path sorts behind a shorter one
-    slot = F.array_max(F.filter("containers", lambda c: (c == F.col("path")) | (c == "") | F.startswith(F.col("path"), F.concat(c, F.lit(SEP)))))
+    slot = F.array_max(F.filter("containers", lambda c: (c == F.col("path")) | F.startswith(F.col("path"), F.concat(c, F.lit(SEP)))))
     end = rf"(?:[_-]|{SEP}|$)"
     side = F.col("slot").rlike(rf"(?:^|{SEP})(?:(?:{'|'.join(sorted(SKIP - {'form'}))})(?:\.|{SEP}|$)|[^.{SEP}]*\.(?:[^{SEP}]*[_-])?(?i:{SIDE}){end})")
     slots = left.join(known, "host").groupBy("host", slot.alias("slot")).agg(F.sum("mass").alias("mass"))
@@ -189,7 +189,7 @@ def _region(path: Path) -> Path:
 def main_text(page: str | None, containers: frozenset = frozenset(), texts: frozenset = frozenset(), main: Path | None = None) -> str:
     """The article of a page, given its host's template.
 
-    Runs of template text go. The region starts at the main slot (without one, or where the page lacks it, at the
+    Runs of template text go. The region starts at the main slot (without one below the body, or where the page lacks it, at the
     page's own container with the most text). Inside article or main elements it takes all such elements outermost on the page; else
     it grows to the container around it while it holds half of the text there, up to the body, of which it takes only the blocks
     directly inside. Of the region's blocks those go that lie in boilerplate tags, in containers of mostly links,
@@ -200,6 +200,8 @@ def main_text(page: str | None, containers: frozenset = frozenset(), texts: froz
     rest = [b for b in blocks if text_token(b) not in texts] if texts else blocks
     if not rest:
         return ""
+    if main is not None and (not _region(main) or _region(main)[-1].split(".")[0] in ("html", "body")):
+        main = None  # the whole page is no slot: its pages are laid out differently
     if main is None or not any(b.path[:len(main)] == main for b in rest):
         mass: dict = defaultdict(int)
         for b in rest:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, shared_dir, slices
+from .common import documents, materialize, scratch, slices
 
 WINDOW, GRAM, GROUP, HEAVY, HOT = 35, 8, 1 << 16, 1 << 22, 1 << 20
 P, HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF00000000)
@@ -141,7 +141,7 @@ def _bucketed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     name = f"texts_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, *KEY).option("path", f"{shared_dir(spark).rstrip('/')}/tables/{name}").saveAsTable(name)
+    df.write.bucketBy(n, *KEY).option("path", scratch(spark)).saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved before the entry goes; the files stay
     spark.sql(f"DROP TABLE {name}")

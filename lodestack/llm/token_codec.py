@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, shared_dir, slices
+from .common import documents, materialize, scratch, slices
 
 VOCABULARY, END, BLOCK = "word_bpe_49k.json", 1, 1 << 17
 MAGIC, SCALE, LANES = 0x4C53524E, 22, 1024
@@ -358,10 +358,8 @@ def read_ids(spark: SparkSession, at: str, kind: str = "long") -> DataFrame:
 
 
 def op8_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     import public_tokenizers
 
-    to = f"{shared_dir(spark).rstrip('/')}/ids/{uuid.uuid4().hex}"
+    to = scratch(spark)
     write_ids(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(VOCABULARY), to)
     return read_ids(spark, to).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -23,6 +23,7 @@ def shared(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends in files that outlive any executor."""
-    path = f"{shared(df.sparkSession)}/steps/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

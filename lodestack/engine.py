@@ -90,7 +90,7 @@ class Engine:
     def search(self, questions: DataFrame, k: int = 10, source_types: list[str] | None = None, filter_: dict | None = None) -> DataFrame:
         """(query_id, chunk_id, doc_id, score, rank, text, title, section, source_type) by fused vector and term ranking over each asker's live chunks."""
         out = None
-        for user in [r[0] for r in questions.select("user_id").distinct().limit(1000).collect()]:
+        for (user,) in questions.select("user_id").distinct().toLocalIterator():
             asked = questions.filter(F.col("user_id") == user)
             mine = Q.scope(self.table("chunks"), user, source_types, filter_=filter_)
             terms = R.bm25(mine.select(F.col("chunk_id").alias("doc_id"), "text"), asked.select("query_id", "text"), 2 * k)

@@ -130,7 +130,7 @@ def seed_weights(exact: DataFrame, near: DataFrame) -> DataFrame:
     return both.groupBy("query_id", "node").agg(F.max("weight").alias("weight"))
 
 
-def page_rank(graph: DataFrame, seeds: DataFrame, damping: float = 0.5, tolerance: float = 1e-6, steps: int = 50, nodes_limit: int = 5_000_000) -> DataFrame:
+def page_rank(graph: DataFrame, seeds: DataFrame, damping: float = 0.5, tolerance: float = 1e-6, steps: int = 50, nodes_limit: int = 1_000_000) -> DataFrame:
     """(query_id, node, score): personalised page rank of each query's seeds (query_id, node, weight).
 
     x' = d M^T x + d dangling p + (1 - d) p from x = p, until the change is below the tolerance. A graph of at most nodes_limit edges (counted) goes to

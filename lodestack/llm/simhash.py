@@ -61,8 +61,8 @@ def masks(radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(64) if bin(t & (i % size + 1)).count("1") & 1) for t in range(1, size + 1)]
 
 
-def _stars(fp: np.ndarray, run: np.ndarray, left: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of sorted rows, as (member, root); for block pairs only, rows of differing sides (left) meet."""
+def _stars(fp: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside runs of sorted rows, as (member, root). In a pair of blocks, pairs of one block are compared too, once for each of its pairs."""
     n, root = len(fp), np.arange(len(fp))
     live, step = np.arange(n), 1
     u = fp.view(np.uint64)
@@ -113,10 +113,10 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
             start = int(np.flatnonzero(new)[-1])
             rest, done, run = pdf.iloc[start:], pdf.iloc[:start], np.cumsum(new)[:start]
             if start:
-                a, b = _stars(done["__fp"].to_numpy(), run, run, radius)
+                a, b = _stars(done["__fp"].to_numpy(), run, radius)
                 yield pd.DataFrame({"a": a, "b": b})
         if rest is not None:
-            a, b = _stars(rest["__fp"].to_numpy(), np.zeros(len(rest), int), None, radius)
+            a, b = _stars(rest["__fp"].to_numpy(), np.zeros(len(rest), int), radius)
             yield pd.DataFrame({"a": a, "b": b})
 
     return rows.mapInPandas(scan, "a long, b long").distinct()

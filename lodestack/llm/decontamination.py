@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bind, documents
+from .common import ascii_lower, bind, documents, materialize
 
 WINDOW, LIMIT, BYTES = 10, 2_000_000, 256 << 20
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
@@ -71,6 +71,7 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     parts = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col)]  # rows of equal id and text share their fate
     keyed = df.withColumn("__a", F.xxhash64(*parts)).withColumn("__b", F.xxhash64(F.lit(1), *parts))
     bad = scan(keyed.select("__a", "__b", text_col), items, text_col, **more).filter("n_hit > 0").select("__a", "__b").distinct()
+    bad = materialize(bad)  # its size is known, so that a small one is broadcast and no text moves
     return keyed.join(bad, ["__a", "__b"], "left_anti").select(*df.columns)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .decontamination import op9_decontamination
 from .fingerprints import op1_order_minhash
 from .html_extract import op3_html_template
 from .mixing import op10_mixing
+from .packing import op11_packing
+from .resampling import op13_resampling
 from .sharding import op7_sharding
 from .simhash import op2_simhash
 from .substring_dedup import op6_substring_dedup
@@ -13,7 +16,8 @@ from .token_codec import op8_token_codec
 from .token_count import op4_token_count
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_simhash, op3_html_template, op4_token_count, op5_toxicity, op6_substring_dedup, op7_sharding, op8_token_codec, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_simhash, op3_html_template, op4_token_count, op5_toxicity, op6_substring_dedup, op7_sharding, op8_token_codec, op9_decontamination, op10_mixing,
+                                     op11_packing, op12_alignment, op13_resampling)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

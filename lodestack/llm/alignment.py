@@ -1,10 +1,10 @@
-"""12. Alignment of two tokenizers' tokens: a two-pointer merge of cumulative token ends emits groups and links.
+"""12. Alignment of two tokenizers' tokens: a merge of both rows of cumulative token ends emits groups and links.
 
 A is a byte-level vocabulary of space + text, B a sentencepiece vocabulary of text (which adds the space). Byte offsets where
-tokens of both end cut them into groups; a link is a pair of token occurrences whose byte ranges overlap. The merge runs
-inside mapInPandas, once for each distinct segment while it is held: at a segment's edge tokens of both end (byte_tokens
-tells why for A; no piece of B holds a space behind another character). Spark counts in how many documents each id pair is linked,
-finds each id's greatest count on either side, and joins counts and maxima back to the documents' pairs.
+tokens of both end cut them into groups; a link is a pair of token occurrences whose byte ranges overlap. The two rows of ends are walked at once
+inside mapInPandas, in vector steps over about a million characters of texts. Texts are encoded by segments, each distinct one
+once while it is held: at a segment's edge tokens of both end (byte_tokens tells why for A; no piece of B holds a space behind
+another character). Spark counts in how many documents each id pair is linked, finds each id's greatest count on either side, and joins counts and maxima back to the documents' pairs.
 
 Pairs in very many documents would meet in one task of that join: the `limit` most frequent counts are broadcast, and only the
 rest, each in few documents, is shuffled. Texts that are null or empty, or whose joined token bytes differ from space + text on either
@@ -30,61 +30,90 @@ A, B, LIMIT = "byte_bpe_50k.json", "piece_bpe_32k.model", 500_000
 SPACE = "▁"
 
 
-def merge(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(groups, links) of two rows of cumulative ends with equal totals: groups as numbers of tokens so far, links as pairs of token numbers."""
-    groups, links, i, j = [], [], 0, 0
-    while i < len(ends_a) and j < len(ends_b):
-        links.append((i, j))
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
-        if a == b:
-            groups.append((i, j))
-    return groups, links
+def merge(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both rows of cumulative ends (of equal totals) walked at once: for each link its A and B token; the group of each A and each B token; and of each link.
+
+    Every end of either row closes one link, that of the two tokens that are open there; an end of both closes a group too.
+    """
+    mark = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 0, np.uint8)
+    mark[ends_a] |= 1
+    mark[ends_b] |= 2
+    mark = mark[np.flatnonzero(mark)]
+    in_a, in_b, both = mark & 1, mark >> 1, mark == 3
+    group = np.cumsum(both) - both
+    return np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b, group[in_a > 0], group[in_b > 0], group
 
 
 class Aligner:
-    """What is known of segments: (tokens of A, tokens of B, groups, groups as text, links as packed pairs), None where bytes differ."""
+    """The ids of segments on both sides while they are held, as packed pairs; None where the tokens' bytes are not the segment."""
 
-    def __init__(self, path_a: str, path_b: str, hold: int = 1 << 19):
+    def __init__(self, path_a: str, path_b: str, hold: int = 3 << 18):
         from sentencepiece import SentencePieceProcessor
 
         self.a, self.b, self.hold = ByteTokens(path_a, special=False, hold=0), SentencePieceProcessor(model_file=path_b), hold
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.piece = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
+        self.token = [self.a.token.get(i, b"") for i in range(max(self.a.token) + 1)]
         self.split = self.a.by_segment and not any(SPACE in p.lstrip(SPACE) for p in names)
         self.space = self.b.piece_to_id(SPACE)
-        self.known: dict[bytes, tuple | None] = {}
-
-    def align(self, segment: bytes) -> tuple | None:
-        """A segment with its first space. The model puts that space in front by itself, but of an empty text it makes nothing."""
-        a = self.a.plain(segment)
-        b = self.b.encode(segment[1:].decode("utf-8")) if len(segment) > 1 else [self.space]
-        of_a, of_b = [self.a.token[x] for x in a], [self.piece[x] for x in b]
-        if b"".join(of_a) != segment or b"".join(of_b) != segment:
-            return None
-        groups, links = merge(np.cumsum(list(map(len, of_a))).tolist(), np.cumsum(list(map(len, of_b))).tolist())
-        text, i, j = [], 0, 0
-        for p, q in groups:
-            text.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-            i, j = p, q
-        return len(a), len(b), len(groups), ";".join(text), np.array([(a[x] << 32) | b[y] for x, y in links], "<i8").tobytes()
-
-    def learn(self, segment: bytes) -> tuple | None:
-        found = self.align(segment)
-        if len(segment) <= LONG:
-            if len(self.known) >= self.hold:
-                self.known.clear()
-            self.known[segment] = found
-        return found
-
-    def __call__(self, text: bytes) -> list[tuple] | None:
-        """The text's segments; None if it has no tokens."""
-        if not text:
-            return None
-        known, learn = self.known, self.learn
-        found = [known[s] if s in known else learn(s) for s in (segments(b" " + text) if self.split else [b" " + text])]
-        return None if None in found else found
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.token, self.piece))
+        # an id's decimal text with what follows it: a comma, or at a group's end a bar (A) or a semicolon (B)
+        self.text_a, self.text_b = (np.array([f"{i}{mark}".encode() for i in range(len(x)) for mark in (",", end)], object) for x, end in ((self.token, "|"), (self.piece, ";")))
+        self.known: dict[bytes, tuple[bytes, bytes] | None] = {}
+
+    def learn(self, new: list[bytes]) -> None:
+        """Segments with their first space. The model puts that space in front by itself, but of an empty text it makes nothing."""
+        if len(self.known) + len(new) > self.hold:
+            self.known.clear()
+        encode, token, piece = self.a.plain, self.token, self.piece
+        for s, b in zip(new, self.b.encode([s[1:].decode("utf-8") for s in new], num_threads=1)):
+            a, b = encode(s), b if len(s) > 1 else [self.space]
+            same = b"".join([token[x] for x in a]) == s and b"".join([piece[x] for x in b]) == s
+            self.known[s] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
+
+    def ids(self, texts: list[bytes]) -> tuple[list[bytes | None], list[bytes | None]]:
+        """The ids of each text on both sides; None if it has no tokens."""
+        cut = [(segments(b" " + t) if self.split else [b" " + t]) if t else None for t in texts]
+        known, out_a, out_b, long = self.known, [], [], False
+        new = {s for c in cut if c for s in c if s not in known}
+        if new:
+            if len(known) + len(new) > self.hold:
+                known.clear()
+                new = {s for c in cut if c for s in c}
+            long = any(len(s) > LONG for s in new)
+            self.learn(list(new))
+        for c in cut:
+            found = [known[s] for s in c] if c else [None]
+            whole = None not in found
+            out_a.append(b"".join([x[0] for x in found]) if whole else None)
+            out_b.append(b"".join([x[1] for x in found]) if whole else None)
+        if long:
+            for s in new:
+                if len(s) > LONG:
+                    del known[s]
+        return out_a, out_b
+
+    def __call__(self, texts: list[bytes]) -> pd.DataFrame:
+        """(n_a, n_b, n_groups, n_links, groups_sha256, a, b, times) of each text, the last three its distinct pairs."""
+        ids_a, ids_b = self.ids(texts)
+        a, b = (np.frombuffer(b"".join([x or b"" for x in ids]), "<u4").astype(np.int64) for ids in (ids_a, ids_b))
+        n_a, n_b = (np.array([len(x or b"") // 4 for x in ids], np.int64) for ids in (ids_a, ids_b))
+        docs, width = np.arange(len(texts)), len(self.piece)
+        of_a, of_b, group_a, group_b, _ = merge(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
+        doc_a = np.repeat(docs, n_a)
+        key, times = np.unique(doc_a[of_a] * (len(self.token) * width) + a[of_a] * width + b[of_b], return_counts=True)
+        doc, pair = key // (len(self.token) * width), key % (len(self.token) * width)
+        cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+        last = lambda g: np.append(g[1:] != g[:-1], True)[:len(g)]
+        many_a, many_b = np.bincount(group_a), np.bincount(group_b)
+        text = np.empty(len(a) + len(b), object)
+        text[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[group_a]] = self.text_a[2 * a + last(group_a)]
+        text[np.arange(len(b)) + np.cumsum(many_a)[group_b]] = self.text_b[2 * b + last(group_b)]
+        text, stop = text.tolist(), np.cumsum(n_a + n_b).tolist()
+        shas = [hashlib.sha256(b"".join(text[y - n:y])[:-1]).hexdigest() if n else "" for y, n in zip(stop, (n_a + n_b).tolist())]
+        pick = lambda x: [x[i:j].astype(np.int32) for i, j in zip(cut[:-1], cut[1:])]
+        return pd.DataFrame({"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(doc_a[last(group_a)], minlength=len(texts)), "n_links": np.bincount(doc_a[of_a], minlength=len(texts)), "groups_sha256": shas,
+                             "a": pick(pair // width), "b": pick(pair % width), "times": pick(times)})
 
 
 @lru_cache(2)
@@ -95,21 +124,10 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 def aligned(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A written table, a row a document: __row, id, n_a, n_b, n_groups, n_links, groups_sha256, and its distinct pairs (a, b) with their times."""
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, none = aligner(path_a, path_b), (0, 0, 0, 0, "", *[np.zeros(0, np.int32)] * 3)
+        of = aligner(path_a, path_b)
         for pdf in batches:
-            for part in slices(pdf, "t"):
-                rows = []
-                for text in part["t"]:
-                    found = of(text)
-                    if found is None:
-                        rows.append(none)
-                        continue
-                    links = np.frombuffer(b"".join([x[4] for x in found]), "<i8")
-                    pairs, times = np.unique(links, return_counts=True)
-                    groups = hashlib.sha256(";".join([x[3] for x in found]).encode()).hexdigest()
-                    rows.append((sum([x[0] for x in found]), sum([x[1] for x in found]), sum([x[2] for x in found]), len(links), groups,
-                                 (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), times.astype(np.int32)))
-                out = pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"])
+            for part in slices(pdf, "t", 1 << 20):
+                out = of(part["t"].tolist())
                 out.insert(0, "id", part["id"].to_numpy())
                 out.insert(0, "__row", part["__row"].to_numpy())
                 yield out

@@ -143,18 +143,33 @@ def test_alignment(docs, empty, texts, limit):
 
 
 @settings(max_examples=200, deadline=None)
-@given(CHARS)
-def test_segments_align_as_whole_texts(text):
+@given(st.lists(CHARS, max_size=5))
+def test_segments_align_as_whole_texts(texts):
     of = alignment.aligner(P.path(alignment.A), P.path(alignment.B))
-    whole, parts = of.align(b" " + text.encode()) if text else None, of(text.encode())
-    assert (whole is None) == (parts is None)
-    if whole:
-        assert [sum(x[k] for x in parts) for k in range(3)] == list(whole[:3]) and ";".join(x[3] for x in parts) == whole[3] and b"".join(x[4] for x in parts) == whole[4]
+    got = of([t.encode() for t in texts]).to_dict("records")
+    for g, w in zip(got, reference_alignment(list(enumerate(texts))), strict=True):
+        assert (g["n_a"], g["n_b"], g["n_groups"], g["n_links"], g["groups_sha256"]) == (*w[1:5], w[7]) and sum(g["times"]) == g["n_links"]
 
 
-def test_two_pointers():
-    assert alignment.merge([1, 3, 4], [2, 3, 4]) == ([(2, 2), (3, 3)], [(0, 0), (1, 0), (1, 1), (2, 2)])
-    assert alignment.merge([], []) == ([], [])
+def test_segments_are_learned_anew_when_too_many():
+    small, large = alignment.Aligner(P.path(alignment.A), P.path(alignment.B), hold=3), alignment.aligner(P.path(alignment.A), P.path(alignment.B))
+    for texts in ([b"one two three", b"two four five six"], [b"one", b"x" * 200 + b" two"], [b"", b"two one"]):
+        assert small(texts).astype(str).equals(large(texts).astype(str)) and all(len(s) <= byte_tokens.LONG for s in small.known)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=9), st.lists(st.integers(1, 4), max_size=9))
+def test_merge(a, b):
+    if sum(a) > sum(b):
+        b = [*b, sum(a) - sum(b)]
+    elif sum(b) > sum(a):
+        a = [*a, sum(b) - sum(a)]
+    ends_a, ends_b = np.cumsum(a, dtype=int), np.cumsum(b, dtype=int)
+    of_a, of_b, group_a, group_b, _ = alignment.merge(ends_a, ends_b)
+    over = [(i, j) for i in range(len(a)) for j in range(len(b)) if ends_a[i] - a[i] < ends_b[j] and ends_b[j] - b[j] < ends_a[i]]
+    assert sorted(zip(of_a.tolist(), of_b.tolist())) == over
+    both = sorted(set(ends_a.tolist()) & set(ends_b.tolist()))
+    assert group_a.tolist() == [sum(x < e for x in both) for e in ends_a.tolist()] and group_b.tolist() == [sum(x < e for x in both) for e in ends_b.tolist()]
 
 
 def reference_resampling(texts, items, buckets=10000, share=5):

@@ -2,7 +2,7 @@
 
 A is a byte-level vocabulary of space + text, B a sentencepiece vocabulary of text (which adds the space). Byte offsets where
 tokens of both end cut them into groups; a link is a pair of token occurrences whose byte ranges overlap. The two rows of ends are walked at once
-inside mapInPandas, in vector steps over about a million characters of texts. Texts are encoded by segments, each distinct one
+inside mapInPandas, in vector steps over about half a million characters of texts. Texts are encoded by segments, each distinct one
 once while it is held: at a segment's edge tokens of both end (byte_tokens tells why for A; no piece of B holds a space behind
 another character). Spark counts in how many documents each id pair is linked, finds each id's greatest count on either side, and joins counts and maxima back to the documents' pairs.
 
@@ -47,7 +47,7 @@ def merge(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Aligner:
     """The ids of segments on both sides while they are held, as packed pairs; None where the tokens' bytes are not the segment."""
 
-    def __init__(self, path_a: str, path_b: str, hold: int = 3 << 18):
+    def __init__(self, path_a: str, path_b: str, hold: int = 1 << 18):
         from sentencepiece import SentencePieceProcessor
 
         self.a, self.b, self.hold = ByteTokens(path_a, special=False, hold=0), SentencePieceProcessor(model_file=path_b), hold
@@ -126,7 +126,7 @@ def aligned(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = aligner(path_a, path_b)
         for pdf in batches:
-            for part in slices(pdf, "t", 1 << 20):
+            for part in slices(pdf, "t", 1 << 19):
                 out = of(part["t"].tolist())
                 out.insert(0, "id", part["id"].to_numpy())
                 out.insert(0, "__row", part["__row"].to_numpy())

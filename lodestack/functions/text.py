@@ -51,8 +51,17 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]{2,})"), 1)
 
 
+# The characters of WS.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def bind(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def token_count(text: Column) -> Column:

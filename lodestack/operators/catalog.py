@@ -102,11 +102,16 @@ def feedback_ema(events: DataFrame, alpha: float = 0.3) -> DataFrame:
     return s.groupBy("user_id").agg(F.round(F.sum(F.col("s") * w), 6).alias("ema"), F.count("*").alias("n_signals"))
 
 
+def _by_key(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """rows with small's row of the same k, null being a key too."""
+    return rows.join(small.withColumnRenamed("k", "__k"), F.col("k").eqNullSafe(F.col("__k"))).drop("__k")
+
+
 def exact_percentiles(df: DataFrame, key: str, value: str, probs: dict[str, float], limit: int = 1 << 20, accuracy: int = 10_000) -> DataFrame:
     """(key, one column a name of probs, n): interpolated percentiles of value, exact, for few keys.
 
     Approximate percentiles bracket each rank; brackets narrow until one holds at most `limit` rows, and only its distinct
-    values with their counts are gathered. Null values do not count.
+    values with their counts are gathered. Null values do not count; a null key is a key.
     """
     rows = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
     out = rows.groupBy("k").agg(F.count("*").alias("n"))
@@ -117,7 +122,7 @@ def exact_percentiles(df: DataFrame, key: str, value: str, probs: dict[str, floa
             state = F.broadcast(rows.sparkSession.createDataFrame(held, "k string, n long, lo double, hi double, below long, inside long")) if held else None
             if state is None or max(r["inside"] for r in held) <= limit or all(r["lo"] == r["hi"] for r in held):
                 break
-            near = rows.withColumn("k", F.col("k").cast("string")).join(state, "k").filter("v between lo and hi")
+            near = _by_key(rows.withColumn("k", F.col("k").cast("string")), state).filter("v between lo and hi")
             cuts = near.groupBy("k", "n", "lo", "hi", "below", "inside").agg(F.percentile_approx("v", [i / 256 for i in range(257)], accuracy).alias("q")).collect()
             fresh = []
             for r in cuts:
@@ -125,7 +130,7 @@ def exact_percentiles(df: DataFrame, key: str, value: str, probs: dict[str, floa
                 lo, hi = r["q"][max(0, int(at * 256) - 2)], r["q"][min(256, int(at * 256) + 3)]
                 fresh.append((r["k"], r["n"], lo, hi))
             edges = F.broadcast(rows.sparkSession.createDataFrame(fresh, "k string, n long, lo double, hi double"))
-            counted = rows.withColumn("k", F.col("k").cast("string")).join(edges, "k").groupBy("k", "n", "lo", "hi").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count_if(F.col("v").between(F.col("lo"), F.col("hi"))).alias("inside"))
+            counted = _by_key(rows.withColumn("k", F.col("k").cast("string")), edges).groupBy("k", "n", "lo", "hi").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count_if(F.col("v").between(F.col("lo"), F.col("hi"))).alias("inside"))
             now = counted.collect()
             if sum(r["inside"] for r in now) >= sum(r["inside"] for r in held):
                 held = now
@@ -133,13 +138,13 @@ def exact_percentiles(df: DataFrame, key: str, value: str, probs: dict[str, floa
             held = now
         if not held:
             return out.select(F.col("k").alias(key), *[F.lit(None).cast("double").alias(c) for c in probs], "n")
-        near = rows.withColumn("k", F.col("k").cast("string")).join(state, "k").filter("v between lo and hi").groupBy("k", "n", "below", "v").agg(F.count("*").alias("c"))
+        near = _by_key(rows.withColumn("k", F.col("k").cast("string")), state).filter("v between lo and hi").groupBy("k", "n", "below", "v").agg(F.count("*").alias("c"))
         last = F.sum("c").over(Window.partitionBy("k").orderBy("v")) + F.col("below")
         rank = (F.col("n") - 1) * F.lit(p)
         ends = near.withColumn("last", last).groupBy("k", "n").agg(F.min(F.when(F.col("last") > F.floor(rank), F.col("v"))).alias("a"), F.min(F.when(F.col("last") > F.ceil(rank), F.col("v"))).alias("b"))
         part = rank - F.floor(rank)
         ends = ends.select("k", F.round(F.col("a") + (F.coalesce("b", "a") - F.col("a")) * part, 6).alias(name))
-        out = out.join(F.broadcast(ends), out["k"].cast("string") == ends["k"]).drop(ends["k"])
+        out = out.join(F.broadcast(ends.withColumnRenamed("k", "__k")), F.col("k").cast("string").eqNullSafe(F.col("__k"))).drop("__k")
     return out.select(F.col("k").alias(key), *probs, "n")
 
 

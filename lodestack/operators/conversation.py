@@ -95,16 +95,14 @@ def rewrite(messages: DataFrame) -> DataFrame:
 
 
 def topic_terms(docs: DataFrame, least: int = 3) -> DataFrame:
-    """(user_id, term): words and letter or digit runs of titles, without stop words and short ones."""
-    words = F.filter(F.split(F.lower("title"), "[^a-z0-9]+"), lambda x: x != "")
-    runs = F.regexp_extract_all(F.lower("title"), F.lit("([a-z]+|[0-9]+)"), 1)
-    t = docs.select("user_id", F.explode(F.concat(words, runs)).alias("term")).filter((F.length("term") >= least) & ~F.col("term").isin(*TOPIC_STOP))
-    return t.distinct()
+    """(user_id, term): the runs of ASCII letters in titles, lower-cased, without stop words and short ones; digits are no topics."""
+    runs = F.transform(F.regexp_extract_all("title", F.lit("([A-Za-z]+)"), 1), F.lower)
+    return docs.select("user_id", F.explode(runs).alias("term")).filter((F.length("term") >= least) & ~F.col("term").isin(*TOPIC_STOP)).distinct()
 
 
 def known_topics(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, topics): the title words that a question names as whole words."""
-    words = questions.select("query_id", "user_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1))).alias("term"))
+    words = questions.select("query_id", "user_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1))).alias("term"))
     return words.join(terms, ["user_id", "term"], "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("topics"))
 
 
@@ -148,7 +146,7 @@ def compact(messages: DataFrame, keep: int = 6, longer: int = 12, alike: float =
     """(session_id, cluster, message_ids): the old turns of long sessions, clustered in one pass by hashed words.
 
     Sessions of more than `longer` messages are compacted but for their last `keep`. A message joins the cluster of the greatest cosine above
-    `alike` to its running mean, else opens one; clusters are numbered by their oldest message.
+    `alike` to its running mean, which is brought to length 1 at each step, else opens one; clusters are numbered by their oldest message.
     """
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         from ..providers import hash_embedding
@@ -159,10 +157,11 @@ def compact(messages: DataFrame, keep: int = 6, longer: int = 12, alike: float =
         old, means, members = pdf.iloc[:-keep], [], []
         for i, text in zip(old["message_id"].tolist(), old["content"]):
             v = hash_embedding(text or "", dim)
-            s = [float(v @ m / (np.linalg.norm(m) or 1)) for m in means]
+            s = [float(v @ m) for m in means]
             j = int(np.argmax(s)) if s else -1
             if j >= 0 and s[j] > alike:
-                means[j] = means[j] + v
+                mean = (means[j] * len(members[j]) + v) / (len(members[j]) + 1)
+                means[j] = mean / (np.linalg.norm(mean) or 1)
                 members[j].append(i)
             else:
                 means.append(v)

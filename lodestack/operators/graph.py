@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import capital_runs, strip
+from ..sources.tables import written
+from .leiden import leiden
+from .similar import leaders
 
 # What a triple may not hold.
 PLACEHOLDERS = ["<empty>", "<none>", "<null>", "<n/a>", "<unknown>", "<>", "none", "null", "n/a", "na", "unknown", "unspecified", "tbd", "todo", "placeholder", "..."]
@@ -133,13 +134,15 @@ def seed_weights(exact: DataFrame, near: DataFrame) -> DataFrame:
 def page_rank(graph: DataFrame, seeds: DataFrame, damping: float = 0.5, tolerance: float = 1e-6, steps: int = 50, nodes_limit: int = 1_000_000) -> DataFrame:
     """(query_id, node, score): personalised page rank of each query's seeds (query_id, node, weight).
 
-    x' = d M^T x + d dangling p + (1 - d) p from x = p, until the change is below the tolerance. A graph of at most nodes_limit edges (counted) goes to
-    the tasks as arrays, and queries are spread over them; beyond it see page_rank_joins. Damping lies in 0..1 and weights are not negative, else ValueError.
+    x' = d M^T x + d dangling p + (1 - d) p from x = p, until the query's change is below the tolerance; nodes of score 0 are left out. Of a seed given twice
+    the greatest weight counts. A graph of at most nodes_limit edges (counted) goes to the tasks as arrays, and queries are spread over them; beyond it
+    page_rank_joins does the same by joins. Damping lies in 0..1 and weights are not negative, else ValueError.
     """
     if not 0 <= damping <= 1:
         raise ValueError("damping is between 0 and 1")
     if seeds.filter("weight < 0").limit(1).count():
         raise ValueError("weights are not negative")
+    seeds = seeds.groupBy("query_id", "node").agg(F.max("weight").alias("weight"))
     adj = adjacency(graph)
     if adj.count() > nodes_limit:
         return page_rank_joins(adj, seeds, damping, tolerance, steps)
@@ -163,7 +166,8 @@ def page_rank(graph: DataFrame, seeds: DataFrame, damping: float = 0.5, toleranc
             x, change = y, np.abs(y - x).sum()
             if change < tolerance:
                 break
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "node": names.astype(object), "score": x})
+        some = x > 0
+        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "node": names[some].astype(object), "score": x[some]})
 
     kind = seeds.schema["query_id"].dataType.simpleString()
     return seeds.groupBy("query_id").applyInPandas(walk, f"query_id {kind}, node string, score double")
@@ -171,27 +175,55 @@ def page_rank(graph: DataFrame, seeds: DataFrame, damping: float = 0.5, toleranc
 
 def page_rank_joins(adj: DataFrame, seeds: DataFrame, damping: float = 0.5, tolerance: float = 1e-6, steps: int = 50) -> DataFrame:
     """page_rank by joins, for graphs beyond one task: each step is written, so that lineage ends there."""
-    from ..sources.tables import written
-
     share = written(adj.join(adj.groupBy("src").agg(F.sum("weight").alias("o")), "src").select("src", "dst", (F.col("weight") / F.col("o")).alias("share")))
     nodes = share.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     known = seeds.join(nodes, "node", "left_semi")
     p = written(known.join(known.groupBy("query_id").agg(F.sum("weight").alias("o")).filter("o > 0"), "query_id").select("query_id", "node", (F.col("weight") / F.col("o")).alias("p")))
     sinks = written(nodes.join(share.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
-    x = p.withColumnRenamed("p", "x")
+    x, done = p.withColumnRenamed("p", "x"), []
     for _ in range(steps):
         flow = x.join(share, x["node"] == share["src"]).select("query_id", F.col("dst").alias("node"), (F.lit(damping) * F.col("x") * F.col("share")).alias("x"))
         lost = x.join(sinks, "node", "left_semi").groupBy("query_id").agg(F.sum("x").alias("lost"))
-        back = p.join(F.broadcast(lost), "query_id", "left").select("query_id", "node", ((damping * F.coalesce("lost", F.lit(0.0)) + (1 - damping)) * F.col("p")).alias("x"))
-        new = written(flow.unionByName(back).groupBy("query_id", "node").agg(F.sum("x").alias("x")))
-        old = x.select("query_id", "node", F.col("x").alias("y"))
-        change = new.join(old, ["query_id", "node"], "full").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))).alias("c")).agg(F.max("c"))
-        x = new
-        if (change.first()[0] or 0.0) < tolerance:
+        back = p.join(x.select("query_id").distinct(), "query_id", "left_semi").join(lost, "query_id", "left").select("query_id", "node", ((damping * F.coalesce("lost", F.lit(0.0)) + (1 - damping)) * F.col("p")).alias("x"))
+        old = x.select("query_id", "node", (-F.col("x")).alias("d"), F.lit(0.0).alias("x"))
+        new = flow.unionByName(back).select("query_id", "node", F.col("x").alias("d"), "x").unionByName(old)
+        new = written(new.groupBy("query_id", "node").agg(F.sum("x").alias("x"), F.abs(F.sum("d")).alias("d")))
+        calm = written(new.groupBy("query_id").agg(F.sum("d").alias("c")).filter(F.col("c") < tolerance).select("query_id"))
+        done.append(new.join(calm, "query_id", "left_semi").filter("x > 0").drop("d"))
+        x = new.join(calm, "query_id", "left_anti").filter("x > 0").drop("d")
+        if x.isEmpty():
             break
+    for d in done:
+        x = x.unionByName(d)
     return x.select("query_id", "node", F.col("x").alias("score"))
 
 
+def push_page_rank(graph: DataFrame, seeds: DataFrame, damping: float = 0.5, epsilon: float = 1e-9, steps: int = 200) -> DataFrame:
+    """(query_id, node, score, error): page rank by pushing residuals outward from the seeds; only nodes near a query's seeds are ever touched.
+
+    Every node keeps a score and a residual. A node whose residual is at least epsilon keeps 1 - damping of it and sends the
+    rest along its edges; what sinks send is lost, which the final division by the scores' sum makes up for, as lost mass returns to the
+    seeds in proportion. error bounds the L1 distance to the exact scores: twice the residual left over the sum. Each step is
+    one join of the nodes that push and one sum, written. Seeds as in page_rank; damping lies in 0 up to below 1, else ValueError.
+    """
+    if not 0 <= damping < 1:
+        raise ValueError("damping is at least 0 and below 1")
+    adj = adjacency(graph)
+    share = written(adj.join(adj.groupBy("src").agg(F.sum("weight").alias("o")), "src").select("src", "dst", (F.col("weight") / F.col("o")).alias("share")))
+    nodes = share.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    known = seeds.groupBy("query_id", "node").agg(F.max("weight").alias("weight")).filter("weight > 0").join(nodes, "node", "left_semi")
+    state = written(known.join(known.groupBy("query_id").agg(F.sum("weight").alias("o")), "query_id").select("query_id", "node", F.lit(0.0).alias("y"), (F.col("weight") / F.col("o")).alias("r")))
+    push = F.col("r") >= epsilon
+    for _ in range(steps):
+        if state.filter(push).isEmpty():
+            break
+        sent = state.filter(push).join(share, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"), F.lit(0.0).alias("y"), (F.lit(damping) * F.col("r") * F.col("share")).alias("r"))
+        kept = state.select("query_id", "node", F.when(push, F.col("y") + (1 - damping) * F.col("r")).otherwise(F.col("y")).alias("y"), F.when(push, 0.0).otherwise(F.col("r")).alias("r"))
+        state = written(kept.unionByName(sent).groupBy("query_id", "node").agg(F.sum("y").alias("y"), F.sum("r").alias("r")))
+    total = state.groupBy("query_id").agg(F.sum("y").alias("m"), F.sum("r").alias("left"))
+    return state.filter("y > 0").join(total, "query_id").select("query_id", "node", (F.col("y") / F.col("m")).alias("score"), (2 * F.col("left") / F.col("m")).alias("error"))
+
+
 def passage_scores(ranks: DataFrame, contains: DataFrame, k: int = 10, alpha: float = 0.5) -> DataFrame:
     """(query_id, chunk_id, score, rank): alpha times a passage's own rank and the rest from the phrases that name it."""
     own = ranks.select("query_id", F.col("node").alias("chunk_id"), F.col("score").alias("own"))
@@ -203,8 +235,6 @@ def passage_scores(ranks: DataFrame, contains: DataFrame, k: int = 10, alpha: fl
 
 def components(graph: DataFrame) -> DataFrame:
     """(node, component): the least node that each node reaches in either direction; every round is written and roots jump."""
-    from ..sources.tables import written
-
     both = written(graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("component")))
     while True:
@@ -226,92 +256,45 @@ def entity_overlap(chunks: DataFrame, names: str = "names") -> DataFrame:
     return out.select("a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
 
 
-# The resolutions of the three levels of communities.
-RESOLUTIONS = {0: 0.5, 1: 1.0, 2: 2.0}
-
-
-def louvain(u: list, v: list, w: list, resolution: float, rounds: int = 20) -> dict:
-    """Community of each node: local moves by modularity gain at a resolution, then the graph of communities, until none moves."""
-    near: dict = defaultdict(dict)
-    for a, b, x in zip(u, v, w):
-        near[a][b] = near[a].get(b, 0.0) + x
-        near[b][a] = near[b].get(a, 0.0) + x
-    home, whole = {n: n for n in near}, sum(sum(x.values()) for x in near.values())
-    graph, loops = {a: dict(x) for a, x in near.items()}, defaultdict(float)
-    for _ in range(rounds):
-        degree = {a: sum(x.values()) + loops[a] for a, x in graph.items()}
-        part, total, moved = {a: a for a in graph}, dict(degree), False
-        for _ in range(rounds):
-            still = True
-            for a in sorted(graph):
-                links: dict = defaultdict(float)
-                for b, x in graph[a].items():
-                    links[part[b]] += x
-                own = part[a]
-                total[own] -= degree[a]
-                gain = lambda c: links.get(c, 0.0) - resolution * degree[a] * total[c] / whole
-                to = max(sorted({own, *links}), key=lambda c: (round(gain(c), 12), c == own))
-                total[to] += degree[a]
-                if to != own:
-                    part[a], still, moved = to, False, True
-            if still:
-                break
-        if not moved:
-            break
-        home = {n: part[c] for n, c in home.items()}
-        new: dict = defaultdict(lambda: defaultdict(float))
-        fresh: dict = defaultdict(float)
-        for a, x in loops.items():
-            fresh[part[a]] += x
-        for a, x in graph.items():
-            for b, y in x.items():
-                if part[a] == part[b]:
-                    fresh[part[a]] += y
-                else:
-                    new[part[a]][part[b]] += y
-        graph, loops = {c: dict(new.get(c, {})) for c in set(part.values())}, fresh
-    return home
-
-
 def communities(graph: DataFrame, members_least: int = 3) -> DataFrame:
-    """(level, community, node): communities of phrases at each resolution, by component, so that a task holds one component.
+    """(level, community, node): Leiden communities of phrases at each resolution (see leiden); those of fewer members are left out."""
+    found = leiden(undirected(graph))
+    large = found.groupBy("level", "community").count().filter(F.col("count") >= members_least)
+    return found.join(large, ["level", "community"], "left_semi").select("level", "community", "node")
 
-    Communities with fewer members than members_least are left out.
-    """
-    parts = components(graph)
-    rows = undirected(graph).join(parts, F.col("u") == F.col("node")).select("component", "u", "v", "weight")
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "v"])
-        out = []
-        for level, r in RESOLUTIONS.items():
-            groups: dict = defaultdict(list)
-            for n, c in louvain(pdf["u"].tolist(), pdf["v"].tolist(), pdf["weight"].tolist(), r).items():
-                groups[c].append(n)
-            out += [(level, min(g), n) for g in groups.values() if len(g) >= members_least for n in g]
-        return pd.DataFrame(out, columns=["level", "community", "node"])
+def merge_synonyms(phrases: DataFrame, least: float = 0.8) -> DataFrame:
+    """(phrase, leader): phrases (phrase, place, embedding), each led by the earlier leader of the best cosine of at least `least`, else itself (see similar)."""
+    return leaders(phrases, least).select("phrase", "leader")
 
-    return rows.groupBy("component").applyInPandas(split, "level int, community string, node string")
 
+def set_classes(chunks: DataFrame, names: str = "names") -> DataFrame:
+    """(chunk_id, class_id, names): chunks with equal sets of names form a class, named by its least chunk; null sets are empty ones."""
+    rows = chunks.select("chunk_id", F.array_sort(F.array_distinct(F.array_compact(F.coalesce(names, F.array().cast(chunks.schema[names].dataType))))).alias("names"))
+    return rows.join(rows.groupBy("names").agg(F.min("chunk_id").alias("class_id")), "names").select("chunk_id", "class_id", "names")
 
-def merge_synonyms(phrases: DataFrame, least: float = 0.8) -> DataFrame:
-    """(phrase, leader): phrases (phrase, place, embedding), each led by the earlier leader of the best cosine of at least `least`, else itself.
 
-    The order of sight decides, as when phrases arrive one by one; a group is a first letter's phrases.
+def similar_sets(chunks: DataFrame, least: float, names: str = "names") -> DataFrame:
+    """(a, b, shared, jaccard): pairs of classes (set_classes) whose sets of names have a Jaccard likeness of at least `least` (above 0).
+
+    Names are ordered from the rarest on. Sets that are alike enough share a name among the first n - ceil(least n) + 1 of
+    either, so only those names are joined, by rows, and a common name is joined only where sets have hardly any other; the sizes and what is left behind
+    the shared places bound the overlap before sets are compared. Copies meet as one class and empty sets are alike to none.
     """
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "phrase"])
-        heads, vectors, out = [], [], []
-        for name, v in zip(pdf["phrase"], pdf["embedding"]):
-            v = np.asarray(v, float)
-            v = v / (np.linalg.norm(v) or 1)
-            s = np.array(vectors) @ v if vectors else np.zeros(0)
-            if len(s) and s.max() >= least:
-                out.append(heads[int(s.argmax())])
-            else:
-                heads.append(name)
-                vectors.append(v)
-                out.append(name)
-        return pd.DataFrame({"phrase": pdf["phrase"], "leader": out})
-
-    return phrases.withColumn("__g", F.substring(F.lower("phrase"), 1, 1)).groupBy("__g").applyInPandas(lambda pdf: lead(pdf), "phrase string, leader string")
+    if not 0 < least <= 1:
+        raise ValueError("the likeness is above 0 and at most 1")
+    sets = set_classes(chunks, names).filter("size(names) > 0 and chunk_id = class_id").select(F.col("class_id").alias("id"), "names").dropDuplicates(["id"])
+    flat = sets.select("id", F.size("names").alias("n"), F.explode("names").alias("name"))
+    ranked = flat.join(flat.groupBy("name").agg(F.count("*").alias("df")), "name").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("t"))
+    ranked = written(ranked.select("id", "n", F.transform("t", lambda x: x["name"]).alias("t")))
+    keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
+    first = ranked.select("id", "n", F.posexplode(F.slice("t", 1, keep)).alias("p", "name"))
+    x, y = (first.select("name", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "p")]) for k in "ab")
+    fits = (F.col("ida") < F.col("idb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9)
+    # from the first shared name on, where the most is left, all shared names follow
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    met = x.join(y, "name").filter(fits).groupBy("ida", "idb", "na", "nb").agg(F.max(room).alias("room"))
+    met = met.filter(F.col("room") >= F.lit(least) / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
+    both = met.join(ranked.select(F.col("id").alias("ida"), F.col("t").alias("ta")), "ida").join(ranked.select(F.col("id").alias("idb"), F.col("t").alias("tb")), "idb")
+    out = both.withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long")).withColumn("j", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
+    return out.filter(F.col("j") >= least).select(F.col("ida").alias("a"), F.col("idb").alias("b"), "shared", F.round("j", 6).alias("jaccard"))

@@ -20,28 +20,32 @@ def quality_reason(chunks: DataFrame, min_tokens: int = 30, min_chars: int = 80,
     """
     have = set(chunks.columns)
     raw = F.coalesce(F.col(text_col), F.lit(""))
-    s = T.strip(raw)
-    math = F.coalesce(F.col("has_math"), F.lit(False)) if "has_math" in have else T.has_math(raw)
-    tokens = F.when(F.col("token_count") > 0, F.col("token_count")).otherwise(T.token_count(s)) if "token_count" in have else T.token_count(s)
     section = F.lower(T.strip(F.coalesce(F.col("section"), F.lit("")))) if "section" in have else F.lit("")
 
     def short(t: Column, n: Column) -> Column:
         return (n < min_tokens) & (F.length(t) < min_chars)
 
-    rows = T.text_lines(s)
-    dated = F.size(F.filter(rows, lambda x: x.rlike(T.YEAR)))
-    words = F.filter(F.split(s, f"[{T.WS}]+"), lambda w: w != "")
-    links = F.size(F.filter(words, lambda w: w.rlike(T.URL_WORD)))
-    rest = T.strip(F.array_join(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), "\n"))
-    reason = (F.when(~math & short(s, tokens), "too_short")
-              .when(~math & (s != "") & (T.alpha_ratio(s) < min_alpha), "low_alpha_ratio")
-              .when(reduce(lambda a, b: a | b, [F.contains(section, F.lit(n)) for n in T.REFERENCE_NAMES]), "references_section")
-              .when((dated >= 3) & (dated * 2 >= F.size(rows)), "bibliography_chunk")
-              .when(s.rlike(T.OPENER) & s.rlike(T.YEAR) & (s.rlike(T.DOI) | s.rlike(T.ARXIV) | s.rlike(T.URL)), "single_citation")
-              .when(s.rlike(T.PAGE), "page_artifact")
-              .when((F.size(words) >= 3) & (links * 10 >= F.size(words) * 8), "url_soup")
-              .when((F.size(rows) >= 2) & T.strip(F.get(rows, F.lit(0))).rlike(T.PAGE) & short(rest, T.token_count(rest)), "leading_page_artifact"))
-    return chunks.withColumn("reason", reason)
+    def by_lines(s: Column, rows: Column) -> Column:
+        """The checks of the lines, once the cheap ones pass; what a later one needs is evaluated only there."""
+        dated = F.size(F.filter(rows, lambda x: x.rlike(T.YEAR)))
+        words = F.filter(F.split(s, f"[{T.WS}]+"), lambda w: w != "")
+        soup = T.bind(words, lambda w: (F.size(w) >= 3) & (F.size(F.filter(w, lambda x: x.rlike(T.URL_WORD))) * 10 >= F.size(w) * 8))
+        rest = T.strip(F.array_join(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), "\n"))
+        return (F.when((F.size(rows) >= 3) & (dated >= 3) & (dated * 2 >= F.size(rows)), "bibliography_chunk")
+                .when(s.rlike(T.OPENER) & s.rlike(T.YEAR) & (s.rlike(T.DOI) | s.rlike(T.ARXIV) | s.rlike(T.URL)), "single_citation")
+                .when(s.rlike(T.PAGE), "page_artifact")
+                .when(soup, "url_soup")
+                .when((F.size(rows) >= 2) & T.strip(F.get(rows, F.lit(0))).rlike(T.PAGE) & T.bind(rest, lambda r: short(r, T.token_count(r))), "leading_page_artifact"))
+
+    def reason(s: Column) -> Column:
+        math = F.coalesce(F.col("has_math"), F.lit(False)) if "has_math" in have else T.has_math(raw)
+        tokens = F.when(F.col("token_count") > 0, F.col("token_count")).otherwise(T.token_count(s)) if "token_count" in have else T.token_count(s)
+        return (F.when(short(s, tokens) & ~math, "too_short")
+                .when((s != "") & (T.alpha_ratio(s) < min_alpha) & ~math, "low_alpha_ratio")
+                .when(reduce(lambda a, b: a | b, [F.contains(section, F.lit(n)) for n in T.REFERENCE_NAMES]), "references_section")
+                .otherwise(T.bind(T.text_lines(s), lambda rows: by_lines(s, rows))))
+
+    return chunks.withColumn("reason", T.bind(T.strip(raw), reason))
 
 
 def drop_breakdown(chunks: DataFrame) -> DataFrame:

@@ -44,6 +44,7 @@ def tree_centroids(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
         here = (F.col("depth") == depth) & ~F.col("is_leaf")
         done = done.join(mean, F.col("node_id") == F.col("__p"), "left").join(count, F.col("node_id") == F.col("__q"), "left")
         done = done.withColumn("centroid", F.when(here, F.col("__c")).otherwise(F.col("centroid"))).withColumn("doc_count", F.when(here, F.coalesce("__n", F.lit(0))).otherwise(F.col("doc_count"))).drop("__p", "__q", "__c", "__n")
+        done = written(done)
     return done
 
 
@@ -53,14 +54,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((size(a) > 0) & (size(b) > 0), dot / (size(a) * size(b))).otherwise(0.0)
 
 
-def beam_descend(queries: DataFrame, tree: DataFrame, beam: int = 3, least: float = 0.05, floor: float = 0.30, gap: float = 0.10, depth: int = DEPTH, keyword_weight: float = 0.0) -> DataFrame:
+def beam_descend(queries: DataFrame, tree: DataFrame, beam: int = 3, least: float = 0.05, floor: float = 0.30, gap: float = 0.10, depth: int = DEPTH, keyword_weight: float = 0.0, missing: float | None = None) -> DataFrame:
     """(query_id, depth, node_id, score, kept, is_leaf): every node considered on the way down, level by level.
 
     queries (query_id, embedding[, keywords]); tree nodes (node_id, parent_id, label, depth, is_leaf, centroid[, keywords]), rooted where parent_id is null.
-    A score is the cosine plus keyword_weight times the keyword overlap; a node without a centroid scores below `least`.
+    A score is the cosine plus keyword_weight times the keyword overlap; a node without a centroid scores `missing`, by default below `least`.
     Of a level's nodes, best first (ties by label, then id), those of at least `least` go on, or the best alone if none is or its score is below `floor`;
     else the beam is cut before the first fall of `gap` or more, or at `beam`. Kept leaves stay, kept inner nodes are the next level's parents.
     """
+    tree = written(tree)
     small = F.broadcast(tree) if tree.count() <= 100_000 else tree
     front = queries.join(F.broadcast(tree.filter("parent_id is null").select("node_id")), how="cross") if tree.filter("parent_id is null").count() == 1 else None
     if front is None:
@@ -69,7 +71,7 @@ def beam_descend(queries: DataFrame, tree: DataFrame, beam: int = 3, least: floa
     front = front.select(*queries.columns, "node_id")
     for _ in range(depth):
         children = front.withColumnRenamed("node_id", "__p").join(small.select("node_id", "parent_id", "label", "depth", "is_leaf", "centroid", *(["keywords"] if keyword_weight else [])).withColumnRenamed("keywords", "__kw"), F.col("__p") == F.col("parent_id"))
-        score = F.when(F.col("centroid").isNull(), F.lit(least - 1)).otherwise(cosine(F.col("embedding"), F.col("centroid")) + (keyword_weight * keyword_overlap(F.col("keywords"), F.col("__kw")) if keyword_weight else F.lit(0.0)))
+        score = F.when(F.col("centroid").isNull(), F.lit(least - 1 if missing is None else missing)).otherwise(cosine(F.col("embedding"), F.col("centroid")) + (keyword_weight * keyword_overlap(F.col("keywords"), F.col("__kw")) if keyword_weight else F.lit(0.0)))
         s = children.withColumn("score", F.round(score, 6))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "label", "node_id")
         s = s.withColumn("r", F.row_number().over(w)).withColumn("fall", F.lag("score").over(w) - F.col("score")).withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
@@ -161,10 +163,64 @@ def remove(nodes: DataFrame, assignments: DataFrame, node: str, to: str | None =
     return repair_leaves(nodes.join(below, "node_id", "left_anti")).select(*nodes.columns), kept
 
 
-def assign(vectors: DataFrame, tree: DataFrame, key: str = "doc_id", **law) -> DataFrame:
-    """(key, node_id, score): each row's leaf by a descent of one node a level."""
-    trace = beam_descend(vectors.select(F.col(key).alias("query_id"), "embedding"), tree, beam=1, least=-1.0, floor=-1.0, gap=0.0, **law)
-    return leaves_of(trace).withColumnRenamed("query_id", key)
+# How near two children's scores are to be a tie, when both are high, and how near a second leaf is.
+TIE, HIGH, SECOND = 0.05, 0.5, 0.1
+
+
+def assign(vectors: DataFrame, tree: DataFrame, key: str = "doc_id", second: bool = False, **law) -> DataFrame:
+    """(key, node_id, score, is_primary, tied): each row's leaf by a descent of one node a level; a node without centroid scores 0.
+
+    tied: at some level the two best are within TIE, or both score HIGH or more, where a model would be asked; the better one is taken. With `second` the
+    best leaf that came second at any level is filed too if it is within SECOND of the first one's score.
+    """
+    trace = written(beam_descend(vectors.select(F.col(key).alias("query_id"), "embedding"), tree, beam=1, least=-2.0, floor=-2.0, gap=0.0, missing=0.0, **law))
+    w = Window.partitionBy("query_id", "depth").orderBy(F.desc("kept"), F.desc("score"), "node_id")
+    pairs = trace.withColumn("r", F.row_number().over(w)).filter("r <= 2")
+    two = pairs.groupBy("query_id", "depth").agg(F.max(F.when(F.col("r") == 1, F.col("score"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("b"))
+    tied = two.groupBy("query_id").agg(F.max(F.coalesce((F.col("a") - F.col("b") < TIE) | ((F.col("a") >= HIGH) & (F.col("b") >= HIGH)), F.lit(False))).alias("tied"))
+    first = leaves_of(trace).withColumn("is_primary", F.lit(True))
+    if second:
+        runner = pairs.filter("r = 2 and is_leaf").groupBy("query_id").agg(F.max(F.struct("score", "node_id")).alias("m")).select("query_id", F.col("m.node_id").alias("node_id"), F.col("m.score").alias("score"))
+        near = runner.join(first.select("query_id", F.col("score").alias("s")), "query_id").filter(F.col("score") >= F.col("s") - SECOND)
+        first = first.unionByName(near.select("query_id", "node_id", "score", F.lit(False).alias("is_primary")))
+    return first.join(tied, "query_id").withColumnRenamed("query_id", key)
+
+
+def state_of(assignments: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(node_id, i, total, n): sums of the vectors filed under each leaf, a row a dimension; such states are added up."""
+    rows = assignments.select("node_id", "doc_id").join(vectors.filter("embedding is not null").select("doc_id", "embedding"), "doc_id")
+    return rows.select("node_id", F.posexplode("embedding").alias("i", "x")).groupBy("node_id", "i").agg(F.sum(F.col("x").cast("double")).alias("total"), F.count("*").alias("n"))
+
+
+def merged(state: DataFrame, filed: DataFrame, removed: DataFrame) -> DataFrame:
+    """state after a batch: filed and removed are states of the new and the taken filings (state_of). Only leaves of the batch change."""
+    both = state.unionByName(filed).unionByName(removed.select("node_id", "i", (-F.col("total")).alias("total"), (-F.col("n")).alias("n")))
+    return both.groupBy("node_id", "i").agg(F.sum("total").alias("total"), F.sum("n").cast("long").alias("n")).filter("n > 0")
+
+
+def refreshed(tree: DataFrame, state: DataFrame, touched: DataFrame) -> DataFrame:
+    """tree (tree_centroids' rows) with centroids and counts of the leaves touched (node_id) and all above them computed anew from state.
+
+    Nothing outside the touched paths is read again: an inner node's mean takes its other children's centroids as they stand.
+    """
+    means = state.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("total") / F.col("n")).alias("m")))), lambda x: x["m"]).alias("__c"), F.max("n").alias("__n"))
+    hit = touched.select("node_id").distinct()
+    at = hit.withColumn("__hit", F.lit(True))
+    tree = tree.join(at, "node_id", "left").join(means, "node_id", "left")
+    new = F.col("__hit").isNotNull() & F.col("is_leaf")
+    tree = written(tree.withColumn("centroid", F.when(new, F.col("__c")).otherwise(F.col("centroid"))).withColumn("doc_count", F.when(new, F.coalesce("__n", F.lit(0)).cast("long")).otherwise(F.col("doc_count"))).drop("__hit", "__c", "__n"))
+    up = tree.join(hit, "node_id", "left_semi").filter("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
+    for _ in range(DEPTH):
+        up = written(up)
+        if up.isEmpty():
+            break
+        below = tree.join(up.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
+        mean = mean_vectors(below.select(F.col("parent_id").alias("node_id"), "centroid"), "node_id", "centroid").select("node_id", F.col("centroid").alias("__c"))
+        count = below.groupBy(F.col("parent_id").alias("node_id")).agg(F.sum("doc_count").alias("__n"))
+        fresh = up.join(mean, "node_id", "left").join(count, "node_id", "left").withColumn("__hit", F.lit(True))
+        tree = written(tree.join(fresh, "node_id", "left").withColumn("centroid", F.when(F.col("__hit"), F.col("__c")).otherwise(F.col("centroid"))).withColumn("doc_count", F.when(F.col("__hit"), F.coalesce("__n", F.lit(0))).otherwise(F.col("doc_count"))).drop("__hit", "__c", "__n"))
+        up = tree.join(up, "node_id", "left_semi").filter("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
+    return tree
 
 
 def keyword_overlap(query: Column, node: Column) -> Column:

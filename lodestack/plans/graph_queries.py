@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import leiden, similar
 from ..operators import taxonomy as X
-from ..sources.tables import table
+from ..sources.tables import table, written
 from . import views as V
 
 
@@ -75,6 +76,40 @@ def communities(s, d):
     return G.communities(V.graph(s, d))
 
 
+def ppr_push(s, d):
+    """Page rank by pushing residuals; its error is below what is compared."""
+    return G.push_page_rank(V.graph(s, d), V.seeds(s, d), epsilon=1e-13).select("query_id", "node", F.round("score", 6).alias("score"), (F.col("error") < 1e-8).alias("near")).filter("score > 0")
+
+
+def _month_sets(s, d):
+    """Customers with the months of their orders; every seventh has one name more that all of those share."""
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("chunk_id"), F.date_format("o_orderdate", "yyyy-MM").alias("name"))
+    hot = table(s, d, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("chunk_id"), F.lit("everywhere").alias("name"))
+    return o.unionByName(hot).groupBy("chunk_id").agg(F.collect_set("name").alias("names"))
+
+
+def set_join(s, d):
+    return G.similar_sets(_month_sets(s, d), 0.4)
+
+
+def set_classes(s, d):
+    return G.set_classes(_month_sets(s, d)).select("chunk_id", "class_id", F.size("names").alias("n"))
+
+
+def synonym_leaders(s, d):
+    """Vectors as phrases, seen in the order of a hash."""
+    v = V.vectors(s, d).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("phrase"), F.crc32(F.col("vec_id").cast("string").cast("binary")).alias("place"), "embedding")
+    return similar.leaders(v, 0.55)
+
+
+def community_quality(s, d):
+    """Modularity of each level's communities and the number of them, beside the graph's size."""
+    g = G.undirected(V.graph(s, d))
+    found = written(leiden.leiden(g))
+    n = found.groupBy("level").agg(F.count("*").alias("nodes"), F.count_distinct("community").alias("communities"))
+    return n.join(leiden.modularity(g, found).select("level", F.round("modularity", 6).alias("modularity")), "level")
+
+
 def leaf_centroids(s, d):
     return X.centroids(V.vectors(s, d))
 
@@ -111,9 +146,33 @@ def taxonomy_retrieve(s, d):
     return top(scored, 5)
 
 
+def _open_tree(s, d):
+    """The tree with two leaves more that nothing is filed under."""
+    more = s.createDataFrame([("l98", "p0", "l98", 2, True), ("l99", "p1", "l99", 2, True)], "node_id string, parent_id string, label string, depth int, is_leaf boolean")
+    return V.tree(s, d).unionByName(more, allowMissingColumns=True)
+
+
+def _unfiled(s, d):
+    return V.vectors(s, d).filter("vec_id % 9 = 0").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
 def doc_assign(s, d):
-    unfiled = V.vectors(s, d).filter("vec_id % 9 = 0").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return X.assign(unfiled, V.tree(s, d))
+    return X.assign(_unfiled(s, d), _open_tree(s, d)).select("doc_id", "node_id", "score", "tied")
+
+
+def doc_assign_second(s, d):
+    return X.assign(_unfiled(s, d), _open_tree(s, d), second=True).select("doc_id", "node_id", "score", "is_primary")
+
+
+def centroid_refresh(s, d):
+    """Centroids after a batch of filings (each unfiled vector under its label) and removals (every seventh), brought up to date along the touched paths."""
+    nodes, old = V.tree_nodes(s, d), V.assignments(s, d)
+    vectors = V.vectors(s, d).select(F.col("vec_id").alias("doc_id"), "embedding", F.concat(F.lit("l"), F.col("label").cast("string")).alias("node_id"))
+    filed, gone = vectors.filter("doc_id % 9 = 0"), old.filter("doc_id % 7 = 0")
+    state = written(X.merged(X.state_of(old, vectors), X.state_of(filed, vectors), X.state_of(gone, vectors)))
+    touched = filed.select("node_id").unionByName(gone.select("node_id")).distinct()
+    t = X.refreshed(V.tree(s, d), state, touched)
+    return t.select("node_id", "doc_count", F.posexplode("centroid").alias("dim", "x")).select("node_id", "doc_count", "dim", F.round("x", 6).alias("x"))
 
 
 def subtree_docs(s, d):
@@ -142,7 +201,7 @@ def keyword_overlap(s, d):
 
 
 QUERIES = {f.__name__: f for f in (triple_reasons, canonical_triples, kg_edges, kg_contains, kg_edge_support, kg_degree_topn, kg_top_sources, kg_viewer, kg_bfs_2hop, kg_undirected, kg_components, ppr_unrolled, kg_ppr_passages, entity_jaccard,
-                                   communities, leaf_centroids, internal_centroids, doc_centroids, beam_descend, docs_cap, taxonomy_retrieve, doc_assign, subtree_docs, node_counts, keyword_scores, keyword_extract, keyword_overlap)}
+                                   communities, ppr_push, set_join, set_classes, synonym_leaders, community_quality, doc_assign_second, centroid_refresh, leaf_centroids, internal_centroids, doc_centroids, beam_descend, docs_cap, taxonomy_retrieve, doc_assign, subtree_docs, node_counts, keyword_scores, keyword_extract, keyword_overlap)}
 
 _KEPT = f"{V.TRIPLES}, kept AS (SELECT * FROM reasons WHERE reason IS NULL)"
 
@@ -178,6 +237,13 @@ _BEAM = _descend(_ASKED, "5e-2", "2e-2", "1e-1", 3)
 _CAP = f"""{_BEAM}, lv AS (SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM k2 WHERE kept),
 nw AS (SELECT query_id, lv.node_id, score, r, sum(doc_count) OVER (PARTITION BY query_id ORDER BY r) AS run FROM lv JOIN leaf ON leaf.node_id = lv.node_id),
 cap AS (SELECT query_id, node_id, score FROM (SELECT *, max(run > greatest(1, CAST(floor((SELECT count(*) FROM filed) * 15e-2) AS BIGINT))) OVER (PARTITION BY query_id ORDER BY r) AS over FROM nw) WHERE r = 1 OR NOT over)"""
+_OPEN = """in_ AS (SELECT node_id, parent_id, false AS is_leaf, centroid FROM inner_), lf AS (SELECT node_id, parent_id, true AS is_leaf, centroid FROM leaf UNION ALL SELECT 'l98', 'p0', true, NULL UNION ALL SELECT 'l99', 'p1', true, NULL)"""
+_ASSIGN = f"""{V.LEAVES}, f0 AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, 'root' AS node_id FROM embeddings WHERE vec_id % 9 = 0), {_OPEN},
+{_level(1, 'in_', '-2e0', '-2e0', None, 1)}, {_level(2, 'lf', '-2e0', '-2e0', None, 1).replace('round(list_cosine_similarity(q, c.centroid), 6)', 'coalesce(round(list_cosine_similarity(q, c.centroid), 6), 0)')},
+w AS (SELECT query_id, 1 AS depth, score, r FROM k1 UNION ALL SELECT query_id, 2, score, r FROM k2),
+t AS (SELECT query_id, max(tied) AS tied FROM (SELECT a.query_id, coalesce(a.score - b.score < 5e-2 OR (a.score >= 5e-1 AND b.score >= 5e-1), false) AS tied FROM w a LEFT JOIN w b ON a.query_id = b.query_id AND a.depth = b.depth AND b.r = 2 WHERE a.r = 1) GROUP BY query_id)"""
+_SETS = "e AS (SELECT DISTINCT o_custkey AS chunk_id, strftime(o_orderdate, '%Y-%m') AS name FROM orders UNION ALL SELECT c_custkey, 'everywhere' FROM customer WHERE c_custkey % 7 = 0)"
+_AFTER = V.LEAVES[len(V.ASSIGNMENTS) + 1:].strip()
 _TOKENS = "[x FOR x IN regexp_extract_all(lower(concat_ws(' ', p_name, p_type)), '[a-z][a-z0-9_'']*') IF length(x) > 2 AND x NOT IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in X.keyword_tokens.__globals__["STOP_EN"]) + ")]"
 
 ORACLES = {
@@ -211,7 +277,18 @@ SELECT node_id, CAST(doc_count AS BIGINT) AS doc_count, CAST(i - 1 AS INTEGER) A
     "docs_cap": f"WITH {_CAP} SELECT * FROM cap",
     "taxonomy_retrieve": f"""WITH {_CAP}, s AS (SELECT query_id, doc_id, least(1, greatest(0, round(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 5))) AS score FROM cap JOIN filed USING (node_id) JOIN f0 USING (query_id))
 SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5""",
-    "doc_assign": f"WITH {_descend('SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 9 = 0', '-1e0', '-1e0', None, 1)} SELECT query_id AS doc_id, node_id, score FROM k2 WHERE kept",
+    "doc_assign": f"WITH {_ASSIGN} SELECT query_id AS doc_id, node_id, score, tied FROM k2 JOIN t USING (query_id) WHERE kept",
+    "doc_assign_second": f"""WITH {_ASSIGN}, u AS (SELECT query_id, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS second FROM k2 WHERE NOT kept) WHERE second = 1)
+SELECT query_id AS doc_id, node_id, score, true AS is_primary FROM k2 WHERE kept UNION ALL SELECT u.query_id, u.node_id, u.score, false FROM u JOIN k2 ON k2.query_id = u.query_id AND kept WHERE u.score >= k2.score - 1e-1""",
+    "ppr_push": f"WITH {V.GRAPH}, {V.SEEDS}, {_walk('SELECT src, dst FROM graph', 40)} SELECT query_id, node, score, true AS near FROM (SELECT query_id, node, round(x, 6) AS score FROM x40) WHERE score > 0",
+    "set_join": f"""WITH {_SETS}, n AS (SELECT chunk_id, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT min(chunk_id) AS chunk_id FROM (SELECT chunk_id, list(name ORDER BY name) AS names FROM e GROUP BY chunk_id) GROUP BY names), f AS (SELECT e.* FROM e JOIN g USING (chunk_id)),
+p AS (SELECT u.chunk_id AS a, v.chunk_id AS b, count(*) AS shared FROM f u JOIN f v ON u.name = v.name AND u.chunk_id < v.chunk_id GROUP BY ALL)
+SELECT a, b, shared, round(j, 6) AS jaccard FROM (SELECT a, b, shared, shared / CAST(x.n + y.n - shared AS DOUBLE) AS j FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b) WHERE j >= 4e-1""",
+    "set_classes": f"WITH {_SETS}, s AS (SELECT chunk_id, list(name ORDER BY name) AS names FROM e GROUP BY chunk_id) SELECT chunk_id, min(chunk_id) OVER (PARTITION BY names) AS class_id, CAST(len(names) AS INTEGER) AS n FROM s",
+    "centroid_refresh": f"""WITH {V.ASSIGNMENTS.replace('vec_id % 9 <> 0', 'vec_id % 9 = 0 OR vec_id % 7 <> 0')}, {_AFTER},
+r AS (SELECT 'root' AS node_id, list(m ORDER BY i) AS centroid FROM (SELECT i, avg(centroid[i]) AS m FROM (SELECT *, unnest(range(1, len(centroid) + 1)) AS i FROM inner_) GROUP BY i)),
+t AS (SELECT node_id, doc_count, centroid FROM leaf UNION ALL SELECT node_id, (SELECT sum(doc_count) FROM leaf l WHERE l.parent_id = inner_.node_id), centroid FROM inner_ UNION ALL SELECT node_id, (SELECT sum(doc_count) FROM leaf), centroid FROM r)
+SELECT node_id, CAST(doc_count AS BIGINT) AS doc_count, CAST(i - 1 AS INTEGER) AS dim, round(centroid[i], 6) AS x FROM (SELECT *, unnest(range(1, len(centroid) + 1)) AS i FROM t)""",
     "subtree_docs": "SELECT vec_id AS doc_id FROM embeddings WHERE vec_id % 9 <> 0 AND label % 2 = 1",
     "node_counts": f"WITH {V.ASSIGNMENTS}, l AS (SELECT node_id, parent_id, count(*) AS n FROM filed GROUP BY ALL) SELECT node_id, n FROM l UNION ALL SELECT parent_id, CAST(sum(n) AS BIGINT) FROM l GROUP BY parent_id UNION ALL SELECT 'root', CAST(sum(n) AS BIGINT) FROM l",
     "keyword_scores": f"""WITH t AS (SELECT p_brand, row_number() OVER () AS t, w FROM (SELECT p_brand, {_TOKENS} AS w FROM part) WHERE len(w) > 0), n AS (SELECT p_brand, count(*) AS n FROM t GROUP BY ALL),

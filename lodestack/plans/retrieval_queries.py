@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators.catalog import feedback_ema
-from ..sources.tables import table
+from ..sources.postings import PostingsIndex
+from ..sources.tables import path, table
+from ..sources.vector_index import VectorIndex
 from . import views as V
 
 
@@ -95,12 +97,44 @@ def passage_format(s, d):
     return R.passages(bm25_search(s, d, 3).join(docs, "doc_id"))
 
 
+def ann_search(s, d):
+    """The ten nearest by the approximate index over all vectors."""
+    return _index(s, d).search(V.vector_queries(s, d))
+
+
+def ann_filtered(s, d):
+    """Five nearest of three labels, the condition acting inside the cells; where a query's cells hold too few, the exact way."""
+    return _index(s, d).search(V.vector_queries(s, d), 5, where=F.col("label").isin(1, 2, 3))
+
+
+def _index(s, d):
+    return VectorIndex.build(V.vectors(s, d), path(s), keep=("label",))
+
+
+def ann_recall(s, d):
+    """How many of the ten exact neighbours' places the approximate index fills with a score as good, over all queries."""
+    exact = vector_knn(s, d).filter("rank = 10").select("query_id", F.col("score").alias("last"))
+    found = ann_search(s, d).join(exact, "query_id").agg(F.count_if(F.col("score") >= F.col("last")).alias("hit"), F.count_distinct("query_id").alias("n_queries"))
+    return found.select("n_queries", (F.col("hit") >= 0.9 * 10 * F.col("n_queries")).alias("recall_reached"))
+
+
+def bm25_kept(s, d):
+    """bm25_search from a kept index; its second half is added later, after documents of it and of the first half have gone and come back."""
+    docs = _docs(s, d)
+    index = PostingsIndex.build(docs.filter("doc_id % 2 = 0"), path(s))
+    index.add(docs.filter("doc_id % 2 <> 0"))
+    back = docs.filter("doc_id % 10 < 2")
+    index.remove(back)
+    index.add(back)
+    return index.search(V.questions(s, d))
+
+
 def term_stats(s, d):
     return R.document_frequencies(table(s, d, "documents")).filter("term is not null").select("term", "tf", "df")
 
 
 QUERIES = {f.__name__: f for f in (bm25_search, bm25_tenant_filter, vector_knn, knn_filtered, knn_allowlist, hybrid_rrf, router, doc_scope_coarse, rerank_threshold, feedback_nudge,
-                                   context_compression, crag_retry, result_union, review_triggers, passage_format, term_stats)}
+                                   context_compression, crag_retry, result_union, review_triggers, passage_format, term_stats, ann_search, ann_filtered, ann_recall, bm25_kept)}
 
 
 def _bm25(name: str = "", text: str = "text", where: str = "true") -> str:
@@ -143,6 +177,8 @@ _EMA = """ema AS (SELECT user_id, round(sum(s * pow(7e-1, n - i) * CASE WHEN i =
 
 ORACLES = {
     "bm25_search": f"WITH {_bm25()} SELECT * FROM r WHERE rank <= 10",
+    "bm25_kept": f"WITH {_bm25()} SELECT * FROM r WHERE rank <= 10",
+    "ann_recall": "SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL",
     "bm25_tenant_filter": "WITH " + _bm25(where="lang IN ('fr', 'de') AND source IS DISTINCT FROM 'none'") + " SELECT * FROM r WHERE rank <= 5",
     "vector_knn": f"WITH {_knn()} SELECT * FROM v WHERE rank <= 10",
     "knn_filtered": f"WITH {_knn('label IN (1, 2, 3)')} SELECT * FROM v WHERE rank <= 5",

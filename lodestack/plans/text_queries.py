@@ -95,8 +95,8 @@ def question_kind(s, d):
 
 
 def topic_detect(s, d):
-    terms = D.topic_terms(table(s, d, "part").select(F.lit("u").alias("user_id"), F.col("p_name").alias("title")))
-    return D.known_topics(table(s, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit("u").alias("user_id"), F.concat_ws(" ", F.lit("what about the"), "p_type", "p_name").alias("text")), terms).select("query_id", F.array_join("topics", ",").alias("topics"))
+    terms = D.topic_terms(table(s, d, "part").select(F.lit("u").alias("user_id"), F.concat("p_name", F.lit("-"), F.col("p_size").cast("string"), F.lit("Priority1")).alias("title")))
+    return D.known_topics(table(s, d, "part").select(F.col("p_partkey").alias("query_id"), F.lit("u").alias("user_id"), F.concat_ws(" ", F.lit("what about the priority 7 of"), "p_type", "p_name", "p_size").alias("text")), terms).select("query_id", F.array_join("topics", ",").alias("topics"))
 
 
 def doc_parts(s, d):
@@ -157,7 +157,7 @@ _ASKED = "asked AS (SELECT message_id, CASE message_id % 3 WHEN 0 THEN concat('C
 _QW = "regexp_extract_all(lower(content), '[A-Za-z'']+')"
 _q = lambda p: p.replace("'", "''")
 _FOLLOW = f"({_strip('content')} <> '' AND (len({_QW}) <= 3 OR regexp_matches(content, '{T.WS and D.FOLLOW}') OR len([x FOR x IN {_QW} IF x IN ({', '.join(repr(w) for w in D.PRONOUNS)})]) > 0))"
-_TOPIC = f"(SELECT DISTINCT term FROM (SELECT unnest(list_concat(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), regexp_extract_all(lower(p_name), '[a-z]+|[0-9]+'))) AS term FROM part) WHERE length(term) >= 3 AND term NOT IN ({', '.join(repr(w) for w in D.TOPIC_STOP)}))"
+_TOPIC = f"(SELECT DISTINCT term FROM (SELECT unnest([lower(x) FOR x IN regexp_extract_all(concat(p_name, '-', p_size, 'Priority1'), '[A-Za-z]+')]) AS term FROM part) WHERE length(term) >= 3 AND term NOT IN ({', '.join(repr(w) for w in D.TOPIC_STOP)}))"
 
 ORACLES = {
     "section_detect": f"WITH {_MARKED}, {_OFFSETS.format(docs='parts')}, {_HEADINGS} SELECT doc_id, line_no, CAST(level AS INTEGER) AS level, title FROM h WHERE level IS NOT NULL",
@@ -190,7 +190,7 @@ q AS (SELECT session_id, message_id, CASE WHEN before IS NOT NULL AND {_FOLLOW}
 SELECT session_id, message_id, CASE WHEN regexp_matches(query, '{D.MATH_META}') THEN concat(query, ' {D.MATH_WORDS}') ELSE query END AS query FROM q""",
     "question_kind": f"""WITH {V.MESSAGES}, {_ASKED} SELECT message_id, len([x FOR x IN regexp_split_to_array(content, '\\s+') IF x <> '']) >= 3 AND regexp_matches(content, '{_q(D.BROAD)}') AS broad,
 regexp_matches(content, '{_q(D.STRUCTURAL)}') AS structural, regexp_matches(content, '{_q(D.WEAK)}') AS weak, {_FOLLOW} AS follow_up FROM asked""",
-    "topic_detect": f"SELECT p_partkey AS query_id, string_agg(term, ',' ORDER BY term) AS topics FROM (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(concat_ws(' ', 'what about the', p_type, p_name)), '[a-z0-9]+')) AS term FROM part) WHERE term IN {_TOPIC} GROUP BY ALL",
+    "topic_detect": f"SELECT p_partkey AS query_id, string_agg(term, ',' ORDER BY term) AS topics FROM (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(concat_ws(' ', 'what about the priority 7 of', p_type, p_name, p_size)), '[a-z0-9_]+')) AS term FROM part) WHERE term IN {_TOPIC} GROUP BY ALL",
     "doc_parts": f"""WITH {_LINES}, n AS (SELECT doc_id, max(chunk_index) + 1 AS n, least(max(chunk_index) + 1, 10) AS k FROM l GROUP BY doc_id), p AS (SELECT *, unnest(range(k)) AS part FROM n)
 SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(round_even(part * n / CAST(k AS DOUBLE), 0) AS INTEGER) AS "first", CAST(round_even((part + 1) * n / CAST(k AS DOUBLE), 0) - 1 AS INTEGER) AS "last", concat('Part ', part + 1) AS label FROM p""",
     "read_part": f"WITH {V.CHUNKS} SELECT chunk_id, doc_id, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS r FROM chunks WHERE doc_id % 5 = 0 AND chunk_index BETWEEN 1 AND 9 AND NOT excluded) WHERE r <= 4",

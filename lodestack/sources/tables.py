@@ -21,9 +21,19 @@ def shared(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def path(spark: SparkSession) -> str:
+    """A new path for tables of this application in the shared folder."""
+    return f"{shared(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application wrote on the way. Call it when the results are stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared(spark)}/tables/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends in files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at = path(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -3,11 +3,12 @@
 Tokens are containers, named by their path of tags (with the first class or id), and runs of text between blocks, named
 by path and words. A token's occurrence vector counts it on each of its host's distinct pages; it is summed up as a
 mergeable signature (sum over pages of a hash of page and count), so vectors are compared without bringing a host's
-pages together. Tokens of equal vectors form a class. A class is valid if its tokens are on at least `MIN_PAGES` pages and half of the
-host's. Containers of valid classes that occur once on each page nest by their paths into the template, whose slots
-are what is left inside each; text of valid classes is template and goes. The slot with the most remaining text is the
-host's main slot; a page's article is the region around it (see main_text). Names of tags and classes only decide
-about slots that recur beside the main slot.
+pages together. Tokens of equal vectors form a class. A class is a candidate if its tokens are on at least `MIN_PAGES` pages and half of the
+host's, once on each. The pages are then read with their host's candidates: a class is valid if its tokens' ends stand in one order, and if it lies in one
+place (between the same two ends of the same class, or of none), on at least AGREE of its pages. Containers of valid classes nest into the template,
+whose slots are what is left inside each. The slot with the most text beside the template's own is the host's main slot; a page's
+article is the region around it (see main_text). Text of valid classes goes; in the main slot only what is on at least AGREE of
+the host's pages does, so a line that many articles share stays. Names of tags and classes only decide about slots that recur beside the main slot.
 
 Pages count as one if their longest run of text is equal, so copies of an article are no template; a host of fewer than
 `MIN_PAGES` distinct pages has none, and its pages are read each by itself. Null and empty html give ""; null urls form a host;
@@ -17,6 +18,7 @@ are replaced, other extra columns are kept.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-MIN_PAGES, SEP, BROADCAST = 3, "\x1f", 64 << 20
+MIN_PAGES, AGREE, SEP, BROADCAST = 3, 0.9, "\x1f", 64 << 20
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _UNQUOTED = re.compile(r"=[^\s\"']+/\Z")  # the slash belongs to an attribute's value
@@ -55,16 +57,30 @@ class Block(NamedTuple):
     linked: int  # characters inside links
 
 
-def parse(page: str) -> tuple[list[Block], Counter]:
-    """Blocks in page order, and how often each container path is opened."""
-    out, opened, stack, buf, at, link, linked = [], Counter({(): 1}), [], [], 0, False, 0
+def parse(page: str, ends: dict | None = None) -> tuple[list[Block], Counter]:
+    """Blocks in page order, and how often each container path is opened.
+
+    ends gets the places, counted over blocks and tags, where each container path opens and closes, and each text token stands.
+    """
+    out, opened, stack, buf, at, link, linked, place = [], Counter({(): 1}), [], [], 0, False, 0, 0
+
+    def shut(i: int) -> None:
+        nonlocal place
+        while len(stack) > i:
+            if ends is not None:
+                place += 1
+                ends.setdefault(SEP.join(x[1] for x in stack), []).append(place)
+            stack.pop()
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, place
         text = " ".join(unescape("".join(buf)).split())
         buf.clear()
         if text:
             out.append(Block(tuple(x[1] for x in stack), "".join(x[2] for x in stack), text, linked))
+            if ends is not None:
+                place += 1
+                ends.setdefault(text_token(out[-1]), []).append(place)
         linked = 0
 
     for m in _TOKEN.finditer(page):
@@ -97,17 +113,21 @@ def parse(page: str) -> tuple[list[Block], Counter]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    shut(i)
                     break
         elif not m[3].endswith("/"):
             names = " ".join(next(filter(None, n), "") for n in _NAME.findall(m[3]))
             kind = "s" if tag in SKIP else "j" if tag not in ("html", "body", "main") and JUNK.search(names) else "h" if tag == "header" or HEAD.search(names) else "-"
             stack.append((tag, tag + ("." + names.split()[0] if names.split() else ""), kind))
             opened[tuple(x[1] for x in stack)] += 1
+            if ends is not None:
+                place += 1
+                ends.setdefault(SEP.join(x[1] for x in stack), []).append(place)
     piece = page[at:]
     buf.append(piece)
     linked += len(piece) if link else 0
     flush()
+    shut(0)
     return out, opened
 
 
@@ -157,18 +177,77 @@ def classes(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
     return t.join(hosts, "host")
 
 
+def arrangement(page: str, known: dict) -> list[tuple[int, int, int]]:
+    """(class, order, place) of the candidate classes on a page: hashes of the order of its tokens' ends, and of where it lies.
+
+    known: the class of each container path and text token. A class lies in the narrowest gap between two neighbouring ends of another class that
+    holds all its own ends; one that lies in none is at the root.
+    """
+    ends: dict = {}
+    parse(page or "", ends)
+    of: dict[int, list] = defaultdict(list)
+    for token, at in ends.items():
+        if token in known:
+            of[known[token]] += [(p, str(token)) for p in at]
+    spots = {c: sorted(x) for c, x in of.items()}
+    places = {c: [p for p, _ in x] for c, x in spots.items()}
+    out = []
+    for c, x in spots.items():
+        best = (1 << 60, None, 0)
+        for other, at in places.items():
+            k = bisect.bisect(at, x[0][0])
+            if other != c and 0 < k < len(at) and at[k] > x[-1][0]:
+                best = min(best, (at[k] - at[k - 1], other, k))
+        digest = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1
+        out.append((c, digest(SEP.join(t for _, t in x)), digest(f"{best[1]}{SEP}{best[2]}")))
+    return out
+
+
+def valid_classes(pages: DataFrame, tokens: DataFrame, html_col: str = "html", url_col: str = "url", limit: int = BROADCAST) -> DataFrame:
+    """(host, class_id) of the candidates among tokens (classes) that keep one order and one place on at least AGREE of their pages."""
+    fit = (F.col("pages") >= MIN_PAGES) & (F.col("pages") * 2 >= F.col("all_pages")) & (F.col("most") == 1) & ((F.col("path") != "") | F.col("text").isNotNull())
+    some = tokens.filter(fit).groupBy("host", "all_pages").agg(F.collect_list(F.struct(F.when(F.col("text").isNull(), F.col("path")).alias("path"), "text", "class_id")).alias("t"))
+    some = materialize(some.select("host", "all_pages", F.col("t.path").alias("paths"), F.col("t.text").alias("texts"), F.col("t.class_id").alias("ids")))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            seen: Counter = Counter()
+            for host, page, paths, texts, ids in zip(pdf["host"], pdf["html"], pdf["paths"], pdf["texts"], pdf["ids"]):
+                if host not in held:
+                    if len(held) > 256:
+                        held.clear()
+                    # nulls may make floats of the numbers' array: they are whole only as Python objects
+                    held[host] = {(p if p is not None else int(t)): int(c) for p, t, c in zip(paths, texts, ids)}
+                seen.update((host, *x) for x in arrangement(page, held[host]))
+            rows = [(*k, n) for k, n in seen.items()]
+            yield pd.DataFrame(rows, columns=["host", "class_id", "order", "place", "n"])
+
+    size = F.lit(64) + 24 * F.size("ids") + F.length(F.array_join("paths", ""))
+    src = attached(pages.select(host_of(F.col(url_col)).alias("__host"), F.col(html_col).alias("html")), some, size, ["paths", "texts", "ids"], limit).filter("ids is not null")
+    seen = src.select(F.col("__host").alias("host"), "html", "paths", F.transform("texts", lambda x: x.cast("string")).alias("texts"), F.transform("ids", lambda x: x.cast("string")).alias("ids"))
+    seen = seen.mapInPandas(look, "host string, class_id long, order long, place long, n long").groupBy("host", "class_id", "order", "place").agg(F.sum("n").alias("n"))
+    total = seen.groupBy("host", "class_id").agg(F.sum("n").alias("n"))
+    for kind in ("order", "place"):
+        most = seen.groupBy("host", "class_id", kind).agg(F.sum("n").alias("m")).groupBy("host", "class_id").agg(F.max("m").alias(kind))
+        total = total.join(most, ["host", "class_id"])
+    return total.filter((F.col("order") >= AGREE * F.col("n")) & (F.col("place") >= AGREE * F.col("n"))).select("host", "class_id")
+
+
 def templates(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, all_pages, containers, texts, main): the template of each host, a written table.
+    """(host, all_pages, containers, texts, always, main): the template of each host, a written table.
 
-    containers: paths of the containers of valid classes that occur once a page; texts: runs of text of valid classes; main: the path
+    containers: paths of the containers of valid classes; texts: runs of text of valid classes, always: those on nearly all pages; main: the path
     of the slot with the most text left, slots in tags or recurring names of boilerplate last; null without a template.
     """
     t = classes(pages, html_col, url_col)
-    valid = (F.col("pages") >= MIN_PAGES) & (F.col("pages") * 2 >= F.col("all_pages"))
-    once = valid & F.col("text").isNull() & (F.col("most") == 1) & (F.col("path") != "")
+    valid = materialize(valid_classes(pages, t, html_col, url_col)).withColumn("valid", F.lit(True))
+    t = t.join(valid, ["host", "class_id"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)) & (F.col("most") == 1))
+    valid = F.col("valid")
     known = t.filter(valid).groupBy("host", "all_pages").agg(
-        F.array_sort(F.collect_set(F.when(once, F.col("path")))).alias("containers"),
-        F.array_sort(F.collect_set(F.when(F.col("text").isNotNull(), F.col("text")))).alias("texts"))
+        F.array_sort(F.collect_set(F.when(F.col("text").isNull() & (F.col("path") != ""), F.col("path")))).alias("containers"),
+        F.array_sort(F.collect_set(F.when(F.col("text").isNotNull(), F.col("text")))).alias("texts"),
+        F.array_sort(F.collect_set(F.when(F.col("text").isNotNull() & (F.col("pages") >= AGREE * F.col("all_pages")), F.col("text")))).alias("always"))
     left = t.filter(F.col("text").isNull()).select("host", "path", "mass")
     left = left.unionByName(t.filter(valid & F.col("text").isNotNull()).select("host", "path", (-F.col("mass")).alias("mass")))
     # a longer prefix of a path sorts behind a shorter one
@@ -186,10 +265,10 @@ def _region(path: Path) -> Path:
     return path
 
 
-def main_text(page: str | None, containers: frozenset = frozenset(), texts: frozenset = frozenset(), main: Path | None = None) -> str:
+def main_text(page: str | None, containers: frozenset = frozenset(), texts: frozenset = frozenset(), main: Path | None = None, always: frozenset = frozenset()) -> str:
     """The article of a page, given its host's template.
 
-    Runs of template text go. The region starts at the main slot (without one below the body, or where the page lacks it, at the
+    Runs of template text go; inside the main slot (or the article element around it) only those on nearly all pages do. The region starts at the main slot (without one below the body, or where the page lacks it, at the
     page's own container with the most text). Inside article or main elements it takes all such elements outermost on the page; else
     it grows to the container around it while it holds half of the text there, up to the body, of which it takes only the blocks
     directly inside. Of the region's blocks those go that lie in boilerplate tags, in containers of mostly links,
@@ -197,11 +276,13 @@ def main_text(page: str | None, containers: frozenset = frozenset(), texts: froz
     the main slot is inside them.
     """
     blocks, _ = parse(page or "")
-    rest = [b for b in blocks if text_token(b) not in texts] if texts else blocks
-    if not rest:
-        return ""
     if main is not None and (not _region(main) or _region(main)[-1].split(".")[0] in ("html", "body")):
         main = None  # the whole page is no slot: its pages are laid out differently
+    named = [i for i, x in enumerate(main or ()) if x.split(".")[0] in ("article", "main")]
+    core = main[:named[0] + 1] if named else main
+    rest = [b for b in blocks if text_token(b) not in (always if core and b.path[:len(core)] == core else texts)] if texts else blocks
+    if not rest:
+        return ""
     if main is None or not any(b.path[:len(main)] == main for b in rest):
         mass: dict = defaultdict(int)
         for b in rest:
@@ -249,14 +330,12 @@ def main_text(page: str | None, containers: frozenset = frozenset(), texts: froz
     return "\n".join(b.text for b in inside)
 
 
-def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "text", limit: int = BROADCAST) -> DataFrame:
-    """pages with the main text in column out.
+def attached(pages: DataFrame, known: DataFrame, size: Column, columns: list[str], limit: int) -> DataFrame:
+    """pages (with __host) with columns of their host's row of known, null where it has none.
 
-    Templates are broadcast if their counted size is within `limit` bytes; else those of the hosts with the most pages that
-    fit are, and only pages of smaller hosts move to their templates, so that no large host meets in one task.
+    known is broadcast if its counted size is within `limit` bytes; else the rows of the hosts with the most pages that
+    fit are, and only pages of smaller hosts move to theirs, so that no large host meets in one task.
     """
-    known = templates(pages.select(F.col(html_col).alias("html"), F.col(url_col).alias("url")))
-    size = F.lit(64) + 8 * F.size("texts") + F.length(F.array_join("containers", "")) + 16 * F.size("containers")
     by = known.groupBy(F.floor(F.log2("all_pages")).alias("e")).agg(F.sum(size).alias("bytes")).collect()  # one row a power of two
     least, total = 0, 0
     for e, n in sorted(map(tuple, by), reverse=True):
@@ -264,28 +343,37 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", out:
         if total > limit:
             least = 1 << (int(e) + 1)
             break
-    row = F.struct("containers", "texts", "main").alias("__template")
-    large = F.broadcast(known.filter(F.col("all_pages") >= least).select(F.col("host").alias("__h"), row))
-    found = pages.withColumn("__host", host_of(F.col(url_col))).join(large, F.col("__host") == F.col("__h"), "left").drop("__h")
+    row = F.struct(*columns)
+    large = F.broadcast(known.filter(F.col("all_pages") >= least).select(F.col("host").alias("__h"), row.alias("__row")))
+    found = pages.join(large, F.col("__host") == F.col("__h"), "left").drop("__h")
     if least:
         small = known.filter(F.col("all_pages") < least).select(F.col("host").alias("__h"), row.alias("__small"))
-        done = found.filter("__template is not null")
-        rest = found.filter("__template is null").drop("__template").join(small, F.col("__host") == F.col("__h"), "left").drop("__h")
-        found = done.unionByName(rest.withColumnRenamed("__small", "__template"))
+        done = found.filter("__row is not null")
+        rest = found.filter("__row is null").drop("__row").join(small, F.col("__host") == F.col("__h"), "left").drop("__h")
+        found = done.unionByName(rest.withColumnRenamed("__small", "__row"))
+    return found.withColumns({c: F.col(f"__row.{c}") for c in columns}).drop("__row")
+
+
+def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "text", limit: int = BROADCAST) -> DataFrame:
+    """pages with the main text in column out; templates reach them as `attached` says."""
+    known = templates(pages.select(F.col(html_col).alias("html"), F.col(url_col).alias("url")))
+    known = known.select("host", "all_pages", F.struct("containers", "texts", "always", "main").alias("__template"))
+    size = F.lit(64) + 16 * F.size("__template.texts") + F.length(F.array_join("__template.containers", "")) + 16 * F.size("__template.containers")
+    found = attached(pages.withColumn("__host", host_of(F.col(url_col))), known, size, ["__template"], limit)
 
     @F.pandas_udf("string")
     def text(html: pd.Series, template: pd.DataFrame) -> pd.Series:
         held: dict = {}
 
-        def of(page, containers, texts, main):
+        def of(page, containers, texts, always, main):
             if containers is None:
                 return main_text(page)
-            key = (main, len(texts), texts.tobytes(), len(containers), containers[-1] if len(containers) else "")
+            key = (main, texts.tobytes(), always.tobytes(), tuple(containers))
             if key not in held:
-                held[key] = (frozenset(containers), frozenset(texts.tolist()), tuple(filter(None, main.split(SEP))) if main is not None else None)
+                held[key] = (frozenset(containers), frozenset(texts.tolist()), tuple(filter(None, main.split(SEP))) if main is not None else None, frozenset(always.tolist()))
             return main_text(page, *held[key])
 
-        return pd.Series([of(*x) for x in zip(html, template["containers"], template["texts"], template["main"])], dtype="object")
+        return pd.Series([of(*x) for x in zip(html, template["containers"], template["texts"], template["always"], template["main"])], dtype="object")
 
     return found.withColumn(out, text(F.col(html_col), F.col("__template"))).drop("__host", "__template")
 

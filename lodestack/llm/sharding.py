@@ -1,11 +1,13 @@
 """7. Reproducible shuffle into shards: a Feistel permutation with cycle walking over global row numbers.
 
-Rows are numbered from 0 by id (ties by the text's hash); the number, split over a x b >= N, goes through
+Rows are numbered from 0 by a bucket, their id's and text's hash, then by id and text hash within it: buckets are counted first, so
+one exchange by bucket numbers the rows and nothing is written on the way. The number, split over a x b >= N, goes through
 alternating Feistel rounds and is walked again while it lies beyond N. Position p gives shard p mod S and slot
-p div S: counts differ by at most one and slots have no gaps (law `rows`).
+p div S: counts differ by at most one and slots have no gaps (law `rows`). Equal rows are alike, so it does not matter which of
+them gets which of their numbers.
 
 A cycle leaves the range at most a*b - N (less than a) times in a row, which for small N bounds the walk; for large
-N each step leaves with a chance below 2/sqrt(N), and the bound is 64 steps. Null ids come first, null texts have
+N each step leaves with a chance below 2/sqrt(N), and the bound is 64 steps. Null ids come first in their bucket, null texts have
 size 16, equal rows get positions of their own, an empty table gives an empty result. The added columns replace
 any of the same names.
 """
@@ -14,12 +16,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bind, documents, ranked
+from .common import bind, documents
 
-SHARDS, SEED, ROUNDS = 40, 7, 6
+SHARDS, SEED, ROUNDS, BUCKETS = 40, 7, 6, 8
 
 
 def permute(x: Column, n: int, seed: int = SEED) -> Column:
@@ -47,8 +49,16 @@ def permute(x: Column, n: int, seed: int = SEED) -> Column:
 
 def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """df with shard (int) and slot (long)."""
+    buckets = BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = df.drop("shard", "slot").withColumn("__tie", F.xxhash64(text_col))
-    rows, n = ranked(base, F.col(id_col), F.col("__tie"), name="__rn")
+    base = base.withColumn("__b", F.pmod(F.xxhash64(id_col, "__tie"), F.lit(buckets)).cast("int"))
+    starts, n = [], 0
+    for b, c in sorted((r[0], r[1]) for r in base.groupBy("__b").count().collect()):  # one row a bucket
+        starts.append((b, n))
+        n += c
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "__b int, __start long"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy(id_col, "__tie")) - 1
+    rows = base.withColumn("__rn", inside).join(starts, "__b").withColumn("__rn", F.col("__start") + F.col("__rn")).drop("__start", "__b")
     rows = rows.withColumn("__pos", permute(F.col("__rn"), n, seed))
     slot = F.when(F.col("__pos") < n, F.floor(F.col("__pos") / shards).cast("long")).otherwise(F.raise_error("the walk left the rows' range").cast("long"))
     return rows.withColumn("shard", (F.col("__pos") % shards).cast("int")).withColumn("slot", slot).drop("__rn", "__pos", "__tie")

@@ -207,6 +207,53 @@ def test_classes_against_brute_force(spark):
     assert all(len(v) == 1 for v in by.values()) and len(by) == len({tuple(v) for k, v in vectors.items() if (k[0], k[1]) in {(g["path"], g["text"]) for g in got}})
 
 
+def _site(order=lambda i: False):
+    """Twenty pages of one host: a head with a fixed and a changing box, the article, a foot; ten articles share a line of thanks."""
+    r = random.Random(6)
+    w = lambda n: " ".join(r.choice("abcdefgh") + str(r.randint(0, 999)) for _ in range(n))
+    out = []
+    for i in range(20):
+        boxes = ["<div class='one'><p>A fixed line</p></div>", f"<div class='two'><p>{w(4)}</p></div>"]
+        thanks = "<p>The author thanks the reviewers for their help.</p>" if i % 2 else ""
+        out.append((i, "http://s.x/p", _page(f"<div class='top'>{''.join(boxes[::-1] if order(i) else boxes)}</div><div class='text'><h1>{w(3)}</h1><p>{w(60)}</p>{thanks}</div><div class='end'><p>All rights</p></div>")))
+    return out
+
+
+def test_classes_decide(spark, monkeypatch):
+    one, two = (f"html{html_extract.SEP}body{html_extract.SEP}div.top{html_extract.SEP}div.{x}" for x in ("one", "two"))
+    site = spark.createDataFrame(_site(), PAGES)
+    t = html_extract.templates(site).first()
+    assert {one, two} < set(t["containers"]) and t["main"].endswith("div.text") and len(t["texts"]) == 3 and len(t["always"]) == 2
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(site).collect()}
+    for i, _, html in _site():
+        blocks = [b for b in html_extract.parse(html)[0] if b.path[-1] == "div.text"]
+        assert got[i] == "\n".join(b.text for b in blocks) and ("thanks the reviewers" in got[i]) == bool(i % 2)
+    # ends in two orders: the class is not valid, so neither its containers nor its texts are template
+    mixed = spark.createDataFrame(_site(lambda i: i % 3 == 0), PAGES)
+    assert html_extract.templates(mixed).filter("size(containers) > 0").count() == 0
+    # the same tokens under other classes: without the two boxes the class keeps one order
+    whole = html_extract.classes
+
+    def permuted(*a):
+        c = whole(*a)
+        return c.withColumn("class_id", F.when(F.col("path").rlike("div.(one|two)$"), F.xxhash64("path")).otherwise(F.col("class_id")))
+
+    monkeypatch.setattr(html_extract, "classes", permuted)
+    other = html_extract.templates(mixed).first()
+    assert other["main"].endswith("div.text") and two.rsplit(html_extract.SEP, 1)[0] in other["containers"]
+
+
+def test_arrangement():
+    page = _page("<div class='a'><p>x</p></div><div class='b'><section><p>y</p></section></div>")
+    path = lambda *x: html_extract.SEP.join(("html", "body", *x))
+    known = {"html": 1, path(): 1, path("div.a"): 1, path("div.b"): 1, path("div.b", "section"): 2}
+    got = {c: (o, p) for c, o, p in html_extract.arrangement(page, known)}
+    turned = {c: (o, p) for c, o, p in html_extract.arrangement(_page("<div class='b'><section><p>y</p></section></div><div class='a'><p>x</p></div>"), known)}
+    moved = {c: (o, p) for c, o, p in html_extract.arrangement(page.replace("<section><p>y</p></section>", "").replace("<p>x</p>", "<section></section>"), {**known, path("div.a", "section"): 2})}
+    assert got[1][0] != turned[1][0] and got[1][1] == turned[1][1] and got[2][0] == turned[2][0] and got[2][1] != turned[2][1]
+    assert moved[2][1] != got[2][1] and html_extract.arrangement(None, known) == []
+
+
 def test_articles_stay_whole():
     text = html_extract.main_text
     assert text(_page('<article class="lead"><p>one</p></article><article class="body"><p>two words</p></article><div class="ad">buy</div>')) == "one\ntwo words"

@@ -129,7 +129,7 @@ def parts(chunks: DataFrame, most: int = 10) -> DataFrame:
 
 def read_part(chunks: DataFrame, wanted: DataFrame, seen: DataFrame, most: int = 12) -> DataFrame:
     """Chunks of wanted ranges (doc_id, first, last) that are not among seen (chunk_id), the first few of each range."""
-    rows = chunks.join(F.broadcast(wanted), "doc_id").filter(F.col("chunk_index").between(F.col("first"), F.col("last"))).join(seen.select("chunk_id"), "chunk_id", "left_anti")
+    rows = chunks.join(wanted, "doc_id").filter(F.col("chunk_index").between(F.col("first"), F.col("last"))).join(seen.select("chunk_id"), "chunk_id", "left_anti")
     w = Window.partitionBy("doc_id", "first").orderBy("chunk_index")
     return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n", "first", "last")
 

@@ -123,12 +123,12 @@ def community_chunks(members: DataFrame, contains: DataFrame, least: int = 2) ->
 def review(ranked: DataFrame, decisions: DataFrame, again: DataFrame | None = None) -> DataFrame:
     """ranked (query_id, doc_id, score, rank) after a person's decisions (query_id, action, keep array): filter keeps the named rows,
     rephrase takes the new ranking `again`, expand_doc adds again's rows behind, abort and general and clarify leave none; others stay."""
-    d = ranked.join(F.broadcast(decisions), "query_id", "left")
+    d = ranked.join(decisions, "query_id", "left")
     action = F.coalesce("action", F.lit("continue"))
     kept = d.filter(~action.isin("abort", "general", "clarify", "rephrase") & ((action != "filter") | F.array_contains("keep", F.col("doc_id")))).select("query_id", "doc_id", "score", "rank")
     if again is None:
         return kept
-    new = again.join(F.broadcast(decisions.filter(F.col("action").isin("rephrase", "expand_doc")).select("query_id")), "query_id", "left_semi")
+    new = again.join(decisions.filter(F.col("action").isin("rephrase", "expand_doc")).select("query_id"), "query_id", "left_semi")
     return R.merge_results(kept, new)
 
 

@@ -239,7 +239,7 @@ def keyword_scores(texts: DataFrame, group: str) -> DataFrame:
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).otherwise(F.array().cast("array<string>"))
     n = rows.groupBy(group).agg(F.count("*").alias("n"))
     per = rows.select(group, "__t", F.explode(F.concat("w", pairs)).alias("term")).groupBy(group, "term", "__t").agg(F.count("*").alias("c"))
-    t = per.groupBy(group, "term").agg(F.sum("c").alias("tf"), F.count("*").alias("df")).join(F.broadcast(n), group)
+    t = per.groupBy(group, "term").agg(F.sum("c").alias("tf"), F.count("*").alias("df")).join(n, group)
     boost = F.when(F.contains("term", F.lit(" ")), 1.4).otherwise(1.0)
     return t.select(group, "term", "tf", "df", F.round(F.col("tf") * (1 - 0.5 * F.col("df") / F.col("n")) * boost * (1 + F.log1p("tf")), 6).alias("score"))
 

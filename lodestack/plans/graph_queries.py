@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from ..operators import leiden, similar
+from ..operators import similar, turn
 from ..operators import taxonomy as X
+from ..providers import HashEmbedder
 from ..sources.tables import table, written
 from . import views as V
 
@@ -102,12 +103,29 @@ def synonym_leaders(s, d):
     return similar.leaders(v, 0.55)
 
 
-def community_quality(s, d):
-    """Modularity of each level's communities and the number of them, beside the graph's size."""
-    g = G.undirected(V.graph(s, d))
-    found = written(leiden.leiden(g))
-    n = found.groupBy("level").agg(F.count("*").alias("nodes"), F.count_distinct("community").alias("communities"))
-    return n.join(leiden.modularity(g, found).select("level", F.round("modularity", 6).alias("modularity")), "level")
+def trade_triples(s, d):
+    """Trades that sell in nations, one a customer; nations have letters for names."""
+    c = table(s, d, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("chunk_id"), F.initcap("c_mktsegment").alias("head"), F.lit("sells in").alias("relation"), F.concat(F.lit("Nation "), F.char(65 + F.col("c_nationkey"))).alias("tail"))
+
+
+def trade_chunks(s, d):
+    """Customers as passages; every tenth is gone."""
+    return table(s, d, "customer").filter("c_custkey % 10 <> 3").select(F.col("c_custkey").cast("string").alias("chunk_id"), F.col("c_name").alias("text"))
+
+
+def trade_questions(s, d):
+    """A question a region, that names its nations and one trade."""
+    n = table(s, d, "nation").groupBy(F.col("n_regionkey").cast("long").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("Nation "), F.char(65 + F.col("n_nationkey"))))), " and ").alias("n"))
+    return n.select("query_id", F.concat(F.lit("Who buys in "), "n", F.lit(" from the Building trade?")).alias("text"))
+
+
+def kg_ppr_retrieve(s, d):
+    """From a question's names to passages: exact and near phrases, page rank, passage scores, hydration."""
+    t = trade_triples(s, d)
+    contains = G.contains_edges(t).withColumn("weight", F.lit(1.0))
+    found = turn.graph_retrieve(trade_questions(s, d), G.edges(t), contains, trade_chunks(s, d), HashEmbedder(4096), tolerance=0.0, steps=40)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "text")
 
 
 def leaf_centroids(s, d):
@@ -139,7 +157,7 @@ def taxonomy_retrieve(s, d):
     """The nearest vectors among the documents of each query's capped leaves."""
     allowed = X.allowed_documents(docs_cap(s, d), V.assignments(s, d))
     q = V.vector_queries(s, d)
-    pairs = allowed.join(V.vectors(s, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), "doc_id").join(F.broadcast(q), "query_id")
+    pairs = allowed.join(V.vectors(s, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), "doc_id").join(q, "query_id")
     scored = pairs.select("query_id", "doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(X.cosine(F.col("embedding"), F.col("v")), 5))).alias("score"))
     from ..operators.retrieval import top
 
@@ -201,7 +219,7 @@ def keyword_overlap(s, d):
 
 
 QUERIES = {f.__name__: f for f in (triple_reasons, canonical_triples, kg_edges, kg_contains, kg_edge_support, kg_degree_topn, kg_top_sources, kg_viewer, kg_bfs_2hop, kg_undirected, kg_components, ppr_unrolled, kg_ppr_passages, entity_jaccard,
-                                   communities, ppr_push, set_join, set_classes, synonym_leaders, community_quality, doc_assign_second, centroid_refresh, leaf_centroids, internal_centroids, doc_centroids, beam_descend, docs_cap, taxonomy_retrieve, doc_assign, subtree_docs, node_counts, keyword_scores, keyword_extract, keyword_overlap)}
+                                   communities, ppr_push, set_join, set_classes, synonym_leaders, kg_ppr_retrieve, doc_assign_second, centroid_refresh, leaf_centroids, internal_centroids, doc_centroids, beam_descend, docs_cap, taxonomy_retrieve, doc_assign, subtree_docs, node_counts, keyword_scores, keyword_extract, keyword_overlap)}
 
 _KEPT = f"{V.TRIPLES}, kept AS (SELECT * FROM reasons WHERE reason IS NULL)"
 
@@ -280,6 +298,14 @@ SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION
     "doc_assign": f"WITH {_ASSIGN} SELECT query_id AS doc_id, node_id, score, tied FROM k2 JOIN t USING (query_id) WHERE kept",
     "doc_assign_second": f"""WITH {_ASSIGN}, u AS (SELECT query_id, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS second FROM k2 WHERE NOT kept) WHERE second = 1)
 SELECT query_id AS doc_id, node_id, score, true AS is_primary FROM k2 WHERE kept UNION ALL SELECT u.query_id, u.node_id, u.score, false FROM u JOIN k2 ON k2.query_id = u.query_id AND kept WHERE u.score >= k2.score - 1e-1""",
+    "kg_ppr_retrieve": f"""WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS chunk_id, lower(c_mktsegment) AS head, concat('nation ', lower(chr(65 + c_nationkey))) AS tail, c_name FROM customer),
+contains AS (SELECT DISTINCT head AS src, chunk_id AS dst FROM t UNION SELECT tail, chunk_id FROM t), ph AS (SELECT DISTINCT unnest([head, tail]) AS node FROM t),
+a AS (SELECT CAST(n_regionkey AS BIGINT) AS query_id, concat('nation ', lower(chr(65 + n_nationkey))) AS name FROM nation UNION ALL SELECT DISTINCT CAST(n_regionkey AS BIGINT), 'building' FROM nation),
+nr AS (SELECT query_id, node, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY s DESC, node) AS r FROM (SELECT query_id, name, node, CASE WHEN name = node THEN 1e0 WHEN name LIKE 'nation %' AND node LIKE 'nation %' THEN 5e-1 ELSE 0e0 END AS s FROM a, ph) WHERE s > 0) WHERE r <= 3),
+seeds AS (SELECT query_id, node, max(s) AS weight FROM nr GROUP BY ALL), {_walk('SELECT DISTINCT head AS src, tail AS dst FROM t UNION ALL SELECT src, dst FROM contains', 40)},
+p AS (SELECT query_id, c.dst AS chunk_id, sum(x) AS said FROM x40 JOIN contains c ON c.src = node WHERE CAST(c.dst AS BIGINT) % 10 <> 3 GROUP BY ALL),
+k AS (SELECT p.query_id, chunk_id, round(5e-1 * coalesce(x, 0) + 5e-1 * said, 9) AS score FROM p LEFT JOIN x40 ON x40.query_id = p.query_id AND node = chunk_id)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank, c_name AS text FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM k) JOIN t USING (chunk_id) WHERE rank <= 10""",
     "ppr_push": f"WITH {V.GRAPH}, {V.SEEDS}, {_walk('SELECT src, dst FROM graph', 40)} SELECT query_id, node, score, true AS near FROM (SELECT query_id, node, round(x, 6) AS score FROM x40) WHERE score > 0",
     "set_join": f"""WITH {_SETS}, n AS (SELECT chunk_id, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT min(chunk_id) AS chunk_id FROM (SELECT chunk_id, list(name ORDER BY name) AS names FROM e GROUP BY chunk_id) GROUP BY names), f AS (SELECT e.* FROM e JOIN g USING (chunk_id)),
 p AS (SELECT u.chunk_id AS a, v.chunk_id AS b, count(*) AS shared FROM f u JOIN f v ON u.name = v.name AND u.chunk_id < v.chunk_id GROUP BY ALL)

@@ -8,7 +8,9 @@ from ..operators import chunking as C
 from ..operators import graph as G
 from ..operators import planning as L
 from ..operators import retrieval as R
-from ..sources.tables import table
+from ..operators import turn
+from ..operators.catalog import feedback_ema
+from ..sources.tables import table, written
 from . import retrieval_queries as RQ
 from . import text_queries as TQ
 from . import views as V
@@ -70,12 +72,23 @@ def community_passages(s, d):
     return L.community_chunks(G.communities(g), V.contains(s, d)).select("level", "community", F.size("chunks").alias("n"))
 
 
+def turn_plan(s, d):
+    """A turn for every question: policy by intent, lists by route, floor, feedback, rephrased retry, swap, memories first."""
+    lexical, dense = (written(x) for x in RQ._lists(s, d, 10))
+    q = V.questions(s, d).withColumn("route", F.element_at(F.array(*map(F.lit, R.ROUTES)), (F.col("query_id") % 4 + 1).cast("int")))
+    q = q.withColumn("intent", F.element_at(F.array(*[F.lit(x) for x in ("factual", "personal", "factual", "greeting", "general", "odd", "factual")]), (F.col("query_id") % 7 + 1).cast("int")))
+    kinds = table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "episodic").when(F.col("doc_id") % 3 == 0, "web").otherwise("document").alias("source_type"))
+    ema = feedback_ema(table(s, d, "events")).withColumnRenamed("user_id", "doc_id")
+    again = R.bm25(RQ._docs(s, d), q.withColumn("text", F.concat("text", F.lit(" (alternative phrasing)"))), 4)
+    return turn.turn(q, {"bm25": lexical, "vector": dense}, kinds, ema, again, least=0.02, retry=0.025, swap=0.033, k=10)
+
+
 def reflective(s, d):
     said = V.messages(s, d).withColumn("content", F.when(F.col("message_id") % 4 == 0, F.concat(F.lit("so what do  you think of ME, "), "content")).otherwise(F.col("content")))
     return said.select("message_id", L.is_reflective(F.col("content")).alias("reflective"))
 
 
-QUERIES = {f.__name__: f for f in (adaptive_topk, math_filter_retry, general_swap, uncertain_marks, uncertain_claims, detail_hint, contents_chunk, chapter_labels, review_actions, community_passages, reflective)}
+QUERIES = {f.__name__: f for f in (adaptive_topk, math_filter_retry, general_swap, uncertain_marks, uncertain_claims, detail_hint, contents_chunk, chapter_labels, review_actions, community_passages, reflective, turn_plan)}
 
 _I = "i AS (SELECT vec_id AS query_id, ['greeting', 'personal', 'factual', 'general', 'unclear', 'odd'][vec_id % 6 + 1] AS intent FROM embeddings WHERE vec_id % 20 = 0)"
 _P = "p AS (SELECT * FROM (VALUES ('greeting', 'none', NULL, 0), ('personal', 'full', 'document,episodic', 8), ('factual', 'full', NULL, 6), ('general', 'none', NULL, 4), ('unclear', 'ask_clarify', NULL, 4)) t(intent, scope, source_types, k))"
@@ -84,6 +97,22 @@ _S = TQ._strip
 _CUT = "CASE WHEN contains(b, '. ') THEN string_split(b, '. ')[-1] WHEN contains(b, '! ') THEN string_split(b, '! ')[-1] WHEN contains(b, '? ') THEN string_split(b, '? ')[-1] WHEN contains(b, chr(10)) THEN string_split(b, chr(10))[-1] ELSE b END"
 
 ORACLES = {
+    "turn_plan": f"""WITH {RQ._bm25()}, {RQ._bm25('2', 'concat(text, chr(32), chr(40), $$alternative phrasing)$$)')}, {RQ._DENSE}, {RQ._fuse(10)}, {RQ._EMA}, fu AS ({RQ._rank('f', 10)}),
+tq AS (SELECT item_id AS query_id, ['cross_document', 'global', 'ambiguous', 'entity'][item_id % 4 + 1] AS route, ['factual', 'personal', 'factual', 'greeting', 'general', 'odd', 'factual'][item_id % 7 + 1] AS intent FROM benchmark),
+pl AS (SELECT query_id, route, intent, CASE intent WHEN 'personal' THEN 8 WHEN 'general' THEN 4 ELSE 6 END AS k FROM tq WHERE intent <> 'greeting'),
+kinds AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'episodic' WHEN doc_id % 3 = 0 THEN 'web' ELSE 'document' END AS source_type FROM documents),
+ro AS (SELECT fu.* FROM fu JOIN pl USING (query_id) WHERE route IN ('cross_document', 'ambiguous') UNION ALL SELECT w.* FROM w JOIN pl USING (query_id) WHERE route = 'global' AND rank <= 10
+  UNION ALL SELECT r.* FROM r JOIN pl USING (query_id) WHERE route = 'entity' AND rank <= 10 UNION ALL SELECT w.* FROM w JOIN pl USING (query_id) WHERE route = 'entity' AND rank <= 10 AND query_id NOT IN (SELECT query_id FROM r)),
+ty AS (SELECT ro.*, source_type FROM ro JOIN kinds USING (doc_id) JOIN pl USING (query_id) WHERE intent <> 'personal' OR source_type <> 'web'),
+th AS (SELECT *, NOT max(score >= 2e-2) OVER (PARTITION BY query_id) AS fallback FROM ty),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN fallback THEN 0 ELSE -score END, rank) AS r FROM th WHERE score >= 2e-2 OR fallback) WHERE r <= 10),
+nu AS (SELECT query_id, doc_id, source_type, fallback, round(score + 3e-1 * coalesce(ema, 0), 6) AS score FROM cut LEFT JOIN ema ON doc_id = user_id),
+ne AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, doc_id) AS rank FROM nu),
+good AS (SELECT query_id FROM ne GROUP BY query_id HAVING max(score) >= 25e-3),
+kept AS (SELECT query_id, doc_id, source_type, score, rank, fallback FROM ne WHERE query_id IN (FROM good)
+  UNION ALL SELECT r2.query_id, doc_id, source_type, score, rank, false FROM r2 JOIN kinds USING (doc_id) JOIN pl USING (query_id) WHERE rank <= 4 AND (intent <> 'personal' OR source_type <> 'web') AND query_id NOT IN (FROM good)),
+sw AS (SELECT pl.query_id, k, CASE WHEN intent = 'factual' AND coalesce(best, -1) < 33e-3 THEN 'general' ELSE intent END AS intent FROM pl LEFT JOIN (SELECT query_id, max(score) AS best FROM kept GROUP BY query_id) USING (query_id))
+SELECT query_id, intent, doc_id, source_type, score, rank, fallback FROM (SELECT query_id, doc_id, source_type, score, fallback, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE source_type WHEN 'episodic' THEN 0 ELSE 1 END, rank) AS INTEGER) AS rank FROM kept) JOIN sw USING (query_id) WHERE rank <= k""",
     "adaptive_topk": f"WITH {_I}, {_P} SELECT query_id, intent, coalesce(scope, 'ask_clarify') AS scope, source_types, CASE WHEN coalesce(k, 6) > 0 THEN coalesce(k, 6) END AS final_k, CASE WHEN coalesce(k, 6) > 0 THEN greatest(2 * coalesce(k, 6), 12) END AS vector_k FROM i LEFT JOIN p USING (intent)",
     "math_filter_retry": f"WITH {RQ._knn('label = 3', 'SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 40 = 0')}, {RQ._knn(name='2')} SELECT query_id, vec_id AS doc_id, score, rank, true AS filtered FROM v WHERE rank <= 3 UNION ALL SELECT query_id, vec_id, score, rank, false FROM v2 WHERE rank <= 2 AND query_id NOT IN (SELECT query_id FROM v)",
     "general_swap": f"WITH {_I}, {RQ._knn('label = 9 AND vec_id % 20 <> 0')}, j AS (SELECT query_id, CASE intent WHEN 'odd' THEN 'factual' ELSE intent END AS intent FROM i) SELECT query_id, CASE WHEN intent = 'factual' AND coalesce((SELECT max(score) FROM v WHERE v.query_id = j.query_id), -1) < 25e-2 THEN 'general' ELSE intent END AS intent FROM j",

@@ -41,7 +41,8 @@ def graph_retrieve(questions: DataFrame, phrases: DataFrame, contains: DataFrame
     edges = phrases.select("src", "dst", "weight").unionByName(contains.select("src", "dst", "weight"))
     ranks = written(G.page_rank(edges, seeds, damping, **walk))
     found = G.passage_scores(ranks, live, k, alpha)
-    return found.join(chunks, "chunk_id").select("query_id", "chunk_id", "score", "rank", *[c for c in chunks.columns if c not in ("query_id", "chunk_id", "score", "rank")])
+    more = [c for c in chunks.columns if c not in ("query_id", "chunk_id", "score", "rank")]
+    return found.join(chunks.select("chunk_id", *more), "chunk_id").select("query_id", "chunk_id", "score", "rank", *more)
 
 
 def community_summaries(members: DataFrame, contains: DataFrame, chunks: DataFrame, most: int = 12, longest: int = 800) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import mutations as M
 from ..operators import planning as L
 from ..operators import quality as Q
 from ..operators import retrieval as R
+from ..operators.replies import tree_from_reply
 from ..sources.tables import table
 from . import retrieval_queries as RQ
 from . import text_queries as TQ
@@ -115,7 +116,19 @@ def edit_memory(s, d):
     return out.groupBy("kind", "doc_id", "v").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (quality_sections, doc_part_labels, chapter_fill, page_spans, target_document, memory_texts, profile_text, prefer, about_user, kg_cleanup, kg_passages_of, kg_find_phrases, community_search, edit_memory)}
+def tree_reply(s, d):
+    """The tree of a reply that files every fourth vector under its label, in a fence, with an invented document at each leaf and an empty leaf."""
+    leaf = V.vectors(s, d).filter("vec_id % 4 = 0").groupBy("label").agg(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")).alias("ids"))
+    leaf = leaf.select((F.col("label") % 2).alias("p"), F.struct("label", F.struct(F.concat(F.lit("l"), F.col("label").cast("string")).alias("label"), F.concat("ids", F.array(F.lit("invented"))).alias("doc_ids")).alias("n")).alias("x"))
+    inner = leaf.groupBy("p").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["n"]).alias("children"))
+    top = inner.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", F.struct(F.concat(F.lit("p"), F.col("p").cast("string")).alias("label"), "children").alias("n")))), lambda x: x["n"]).alias("children"))
+    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(F.struct("children").alias("tree"))), F.lit("\n```\nDone."))
+    nodes, filings = tree_from_reply(top.select(F.lit(1).alias("tree_id"), reply.alias("reply")), V.vectors(s, d).select(F.col("vec_id").alias("doc_id")))
+    n = filings.groupBy("node_id").agg(F.count("*").alias("n_docs"))
+    return nodes.join(n, "node_id", "left").select("node_id", "parent_id", "label", "depth", "is_leaf", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (quality_sections, doc_part_labels, chapter_fill, page_spans, target_document, memory_texts, profile_text, prefer, about_user, kg_cleanup, kg_passages_of, kg_find_phrases, community_search, edit_memory, tree_reply)}
 
 _S = TQ._strip
 _CH = f"""{TQ._MARKED}, l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, w[i] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM parts))),
@@ -125,6 +138,10 @@ _NEW = "concat('episodic:', substring(sha256(concat('7', chr(31), 'a new text'))
 _Z = TQ._reason("text", "l").replace("CASE WHEN greatest(1, length(s) // 4) < 30", "CASE WHEN chunk_index % 2 <> 0 AND greatest(1, length(s) // 4) < 30").replace("WHEN s <> '' AND length(regexp", "WHEN chunk_index % 2 <> 0 AND s <> '' AND length(regexp").replace("  WHEN len([x FOR x IN rows_ IF regexp_matches(x, '", "  WHEN chunk_index % 5 = 4 THEN 'references_section'\n  WHEN len([x FOR x IN rows_ IF regexp_matches(x, '", 1)
 
 ORACLES = {
+    "tree_reply": """WITH l AS (SELECT label, label % 2 AS p, count(*) AS n FROM embeddings WHERE vec_id % 4 = 0 GROUP BY ALL), p AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS i FROM (SELECT DISTINCT p FROM l)),
+k AS (SELECT label, n, i, row_number() OVER (PARTITION BY p ORDER BY label) - 1 AS j FROM l JOIN p USING (p))
+SELECT 'root' AS node_id, NULL AS parent_id, 'root' AS label, 0 AS depth, false AS is_leaf, 0 AS n_docs UNION ALL SELECT concat('root.', i), 'root', concat('p', p), 1, false, 0 FROM p
+UNION ALL SELECT concat('root.', i, '.', j), concat('root.', i), concat('l', label), 2, true, n FROM k""",
     "quality_sections": f"WITH {TQ._LINES}, {_Z} SELECT coalesce(reason, 'kept') AS reason, chunk_index % 2 = 0 AS has_math, count(*) AS n FROM z GROUP BY ALL",
     "doc_part_labels": f"""WITH {_CH}, n AS (SELECT doc_id, max(chunk_index) + 1 AS n, least(max(chunk_index) + 1, 10) AS k FROM c GROUP BY doc_id), p AS (SELECT *, unnest(range(k)) AS part FROM n),
 e AS (SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(round_even(part * n / CAST(k AS DOUBLE), 0) AS INTEGER) AS a, CAST(round_even((part + 1) * n / CAST(k AS DOUBLE), 0) - 1 AS INTEGER) AS b FROM p)

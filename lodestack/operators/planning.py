@@ -13,7 +13,8 @@ from ..providers import Model, complete_once
 from . import retrieval as R
 from .conversation import MATH_META
 
-# Scope, source types and final rows by intent; 0 rows skip retrieval.
+# Scope, source types and final rows by intent (0 rows skip retrieval); words that ask for detail, cues of contents, the doubt marker, and phrases
+# that ask about the asker: plain ones, and by tiers words that name the asker, that ask for an opinion, and that make the asker the subject.
 POLICY = [("greeting", "none", None, 0), ("personal", "full", ["document", "episodic"], 8), ("factual", "full", None, 6), ("general", "none", None, 4), ("unclear", "ask_clarify", None, 4)]
 DETAIL = ["in detail", "in depth", "in-depth", "elaborate", "walk me through", "thoroughly", "explain fully", "comprehensive", "step by step", "step-by-step", "deep dive", "full explanation"]
 TOC_CUE, TOC_CHAPTER = "(?i)table of contents|contents|فهرست مطالب|فهرست", "(?i)(chapter|فصل|بخش)"
@@ -24,6 +25,11 @@ REFLECTIVE = (r"(?i)(?:what\s+do\s+you\s+(?:think|reckon|feel|make)\s+(?:about|o
               r"your\s+(?:honest\s+)?(?:opinion|impression|thoughts?|take|read|assessment)\s+(?:on|of|about)\s+me)")
 REFLECTIVE_TEXT = ["درباره من چی فکر", "در مورد من چی فکر", "نظرت درباره من", "نظرت در مورد من", "منو چطور میبینی", "من چطور آدمی", "nazaret darbare man", "nazaret dar morede man", "man chetori", "darbare man chi fekr"]
 
+GIVE_ME = r"(?i)\b(?:tell|give|show|let|help|teach|find|get|bring|send|email|remind|ask|walk|point|hand|offer|fetch)\s+me\b"
+SELF, SELF_OBJECT = r"(?i)\b(?:me|myself|i|i'?m|my)\b|من|منو|خودم", r"(?i)\b(?:me|myself|my)\b|من|منو|خودم"
+OPINION = r"(?i)\b(?:think|thoughts?|opinion|impression|view|take|perceive|describe|personality|vibe|reckon|assessment|judge|judgement|read)\b"
+SUBJECT = r"(?i)\bwho\s+(?:i\s+am|am\s+i)\b|\bwhat\s+(?:i\s+am|i'?m|am\s+i)\b|\bas\s+a\s+(?:person|human|individual|man|woman|guy)\b|\babout\s+me\b"
+
 
 def _any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
@@ -60,12 +66,32 @@ def detail_hint(question: Column) -> Column:
     return F.when(_any(F.lower(question), DETAIL), "thorough").otherwise("to measure")
 
 
+def _plain(question: Column) -> Column:
+    return T.strip(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(question, F.lit(""))), r"\x{200C}", ""), r"\s+", " "))
+
+
 def is_reflective(question: Column) -> Column:
-    """A question about the asker, by unmistakable phrases."""
-    q = T.strip(F.regexp_replace(F.regexp_replace(F.lower(question), r"\x{200C}", ""), r"\s+", " "))
+    """A question about the asker, by unmistakable phrases: the strict tier, on which a verdict may be changed."""
+    q = _plain(question)
     return q.rlike(REFLECTIVE) | _any(q, REFLECTIVE_TEXT)
 
 
+def refers_to_self(question: Column) -> Column:
+    """Whether a question names the asker, but for requests of the kind "tell me"."""
+    return F.regexp_replace(_plain(question), GIVE_ME, " ").rlike(SELF)
+
+
+def reflective_recall(question: Column) -> Column:
+    """The loose tier, for turns that are personal already: the strict phrases, or the asker and an opinion both named."""
+    return is_reflective(question) | (refers_to_self(question) & _plain(question).rlike(OPINION))
+
+
+def reflective_anchor(question: Column) -> Column:
+    """Whether the words alone could support a model's "yes": an opinion, the asker as an object, or as the subject described; a bare "i" is none."""
+    q = _plain(question)
+    return q.rlike(OPINION) | F.regexp_replace(q, GIVE_ME, " ").rlike(SELF_OBJECT) | q.rlike(SUBJECT)
+
+
 def render_doubts(answer: Column) -> Column:
     return F.struct(F.regexp_replace(answer, DOUBT, F.lit(SHOWN)).alias("text"), F.regexp_count(answer, F.lit(DOUBT)).alias("n"))
 

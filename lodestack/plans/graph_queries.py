@@ -100,7 +100,7 @@ def set_classes(s, d):
 def synonym_leaders(s, d):
     """Vectors as phrases, seen in the order of a hash."""
     v = V.vectors(s, d).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("phrase"), F.crc32(F.col("vec_id").cast("string").cast("binary")).alias("place"), "embedding")
-    return similar.leaders(v, 0.55)
+    return similar.leaders(v, 0.7)
 
 
 def trade_triples(s, d):

@@ -88,7 +88,16 @@ def reflective(s, d):
     return said.select("message_id", L.is_reflective(F.col("content")).alias("reflective"))
 
 
-QUERIES = {f.__name__: f for f in (adaptive_topk, math_filter_retry, general_swap, uncertain_marks, uncertain_claims, detail_hint, contents_chunk, chapter_labels, review_actions, community_passages, reflective, turn_plan)}
+_SAID = ["Tell me about tides. ", "i want to test you ", "what is your read on my work? ", "who am I, as a person? ", "نظر من ", "give me my file ", "describe the image "]
+
+
+def reflective_tiers(s, d):
+    """Who is named, and the loose tiers without the strict phrases, over messages that begin in seven ways."""
+    said = V.messages(s, d).select("message_id", F.concat(F.element_at(F.array(*map(F.lit, _SAID)), (F.col("message_id") % 7 + 1).cast("int")), F.coalesce("content", F.lit(""))).alias("c"))
+    return said.select("message_id", L.refers_to_self(F.col("c")).alias("self"), (L.reflective_recall(F.col("c")) & ~L.is_reflective(F.col("c"))).alias("recall"), L.reflective_anchor(F.col("c")).alias("anchor"))
+
+
+QUERIES = {f.__name__: f for f in (adaptive_topk, math_filter_retry, general_swap, uncertain_marks, uncertain_claims, detail_hint, contents_chunk, chapter_labels, review_actions, community_passages, reflective, turn_plan, reflective_tiers)}
 
 _I = "i AS (SELECT vec_id AS query_id, ['greeting', 'personal', 'factual', 'general', 'unclear', 'odd'][vec_id % 6 + 1] AS intent FROM embeddings WHERE vec_id % 20 = 0)"
 _P = "p AS (SELECT * FROM (VALUES ('greeting', 'none', NULL, 0), ('personal', 'full', 'document,episodic', 8), ('factual', 'full', NULL, 6), ('general', 'none', NULL, 4), ('unclear', 'ask_clarify', NULL, 4)) t(intent, scope, source_types, k))"
@@ -96,7 +105,13 @@ _A = "a AS (SELECT doc_id AS answer_id, concat(substring(text, 1, 60), '[UNCERTA
 _S = TQ._strip
 _CUT = "CASE WHEN contains(b, '. ') THEN string_split(b, '. ')[-1] WHEN contains(b, '! ') THEN string_split(b, '! ')[-1] WHEN contains(b, '? ') THEN string_split(b, '? ')[-1] WHEN contains(b, chr(10)) THEN string_split(b, chr(10))[-1] ELSE b END"
 
+_GONE = f"regexp_replace(q, '{L.GIVE_ME}', ' ', 'g')".replace("i'?m", "i''?m")
+_RE = lambda p: p.replace("'", "''")
+
 ORACLES = {
+    "reflective_tiers": f"""WITH {V.MESSAGES}, c AS (SELECT message_id, {_S("regexp_replace(lower(concat(" + str(_SAID) + "[message_id % 7 + 1], coalesce(content, ''))), '[\\s]+', ' ', 'g')")} AS q FROM messages)
+SELECT message_id, regexp_matches({_GONE}, '{_RE(L.SELF)}') AS self, regexp_matches({_GONE}, '{_RE(L.SELF)}') AND regexp_matches(q, '{_RE(L.OPINION)}') AND NOT regexp_matches(q, '{_RE(L.REFLECTIVE.replace("describe" + chr(92) + "s+me(?!" + chr(92) + "s+(?:a|an|the|how|what|why|to|some|like" + chr(92) + "s+a))", "describe" + chr(92) + "s+me"))}') AS recall,
+  regexp_matches(q, '{_RE(L.OPINION)}') OR regexp_matches({_GONE}, '{_RE(L.SELF_OBJECT)}') OR regexp_matches(q, '{_RE(L.SUBJECT)}') AS anchor FROM c""",
     "turn_plan": f"""WITH {RQ._bm25()}, {RQ._bm25('2', 'concat(text, chr(32), chr(40), $$alternative phrasing)$$)')}, {RQ._DENSE}, {RQ._fuse(10)}, {RQ._EMA}, fu AS ({RQ._rank('f', 10)}),
 tq AS (SELECT item_id AS query_id, ['cross_document', 'global', 'ambiguous', 'entity'][item_id % 4 + 1] AS route, ['factual', 'personal', 'factual', 'greeting', 'general', 'odd', 'factual'][item_id % 7 + 1] AS intent FROM benchmark),
 pl AS (SELECT query_id, route, intent, CASE intent WHEN 'personal' THEN 8 WHEN 'general' THEN 4 ELSE 6 END AS k FROM tq WHERE intent <> 'greeting'),

@@ -70,7 +70,8 @@ def split(t):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_whole_and_empty_tables(spark, small, nothing, name):
     n = 8 if name.startswith("op3") else len(table()[0])
-    assert queries.QUERIES[name](spark, small).count() == n
+    got = queries.QUERIES[name](spark, small)
+    assert (got.filter("start = 0") if name.startswith("op11") else got).count() == n  # op11: a row a piece
     assert queries.QUERIES[name](spark, nothing).count() == 0
 
 

@@ -135,22 +135,47 @@ def page_rank(graph: DataFrame, seeds: DataFrame, damping: float = 0.5, toleranc
     """(query_id, node, score): personalised page rank of each query's seeds (query_id, node, weight).
 
     x' = d M^T x + d dangling p + (1 - d) p from x = p, until the query's change is below the tolerance; nodes of score 0 are left out. Of a seed given twice
-    the greatest weight counts. A graph of at most nodes_limit edges (counted) goes to the tasks as arrays, and queries are spread over them; beyond it
-    page_rank_joins does the same by joins. Damping lies in 0..1 and weights are not negative, else ValueError.
+    the greatest weight counts. A graph of at most nodes_limit edges (counted) goes to the tasks as arrays, and queries are spread over them. A larger one is
+    folded first (see folded); what is still beyond the limit is walked by page_rank_joins. Damping lies in 0..1 and weights are not negative, else ValueError.
     """
     if not 0 <= damping <= 1:
         raise ValueError("damping is between 0 and 1")
     if seeds.filter("weight < 0").limit(1).count():
         raise ValueError("weights are not negative")
     seeds = seeds.groupBy("query_id", "node").agg(F.max("weight").alias("weight"))
-    adj = adjacency(graph)
-    if adj.count() > nodes_limit:
-        return page_rank_joins(adj, seeds, damping, tolerance, steps)
+    adj = written(adjacency(graph))
+    if adj.count() <= nodes_limit:
+        return _page_rank_arrays(adj, seeds, damping, tolerance, steps)
+    few, members = folded(adj, seeds)
+    way = _page_rank_arrays if few.count() <= nodes_limit else page_rank_joins
+    ranks = way(few, seeds, damping, tolerance, steps)
+    ranks = ranks.join(members.withColumnRenamed("node", "__m"), F.col("node") == F.col("stand"), "left")
+    return ranks.select("query_id", F.coalesce("__m", "node").alias("node"), (F.col("score") / F.coalesce("n", F.lit(1))).alias("score"))
+
+
+def folded(adj: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """adj (src, dst, weight) with fewer sinks, and (node, stand, n): the sink that each sink is folded into, n sinks in all.
+
+    Sinks that start nothing and get the same weights from the same nodes have equal scores at every step, so one of them, with the sum of
+    their weights, has the sum of their scores. Whether the in-edges are the same is told by two 64-bit sums of their hashes and their number.
+    """
+    inner = adj.select(F.col("src").alias("node")).unionByName(seeds.select("node")).distinct()
+    sinks = adj.join(inner, adj["dst"] == inner["node"], "left_anti").groupBy(F.col("dst").alias("node"))
+    marks = sinks.agg(*[F.bit_xor(F.xxhash64(F.lit(i), "src", "weight")).alias(f"h{i}") for i in (1, 2)], F.count("*").alias("edges"))
+    marks = written(marks)
+    stands = marks.groupBy("h1", "h2", "edges").agg(F.min("node").alias("stand"), F.count("*").alias("n"))
+    members = written(marks.join(stands, ["h1", "h2", "edges"]).select("node", "stand", "n"))
+    few = adj.join(members.select(F.col("node").alias("dst"), "stand"), "dst", "left").groupBy("src", F.coalesce("stand", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
+    return written(few), members
+
+
+def _page_rank_arrays(adj: DataFrame, seeds: DataFrame, damping: float, tolerance: float, steps: int) -> DataFrame:
+    """page_rank of a graph that one task holds."""
     pdf = adj.toPandas()
     names, code = np.unique(np.concatenate([pdf["src"], pdf["dst"]]).astype(str), return_inverse=True)
     src, dst, w = code[:len(pdf)], code[len(pdf):], pdf["weight"].to_numpy(float)
     out = np.bincount(src, w, len(names))
-    held = graph.sparkSession.sparkContext.broadcast((names, src, dst, w / out[src], out == 0))
+    held = adj.sparkSession.sparkContext.broadcast((names, src, dst, w / out[src], out == 0))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         names, src, dst, share, dangling = held.value

@@ -21,8 +21,9 @@ def question_names(questions: DataFrame) -> DataFrame:
 
 def near_phrases(names: DataFrame, nodes: DataFrame, embedder: Embedder, k: int = 3) -> DataFrame:
     """(query_id, node, score): for each name of a question the k phrase nodes (node) of the best cosine above 0; each distinct name is searched once."""
-    asked = embed_texts(names.select(F.col("name").alias("query_id"), F.col("name").alias("text")).distinct(), embedder)
-    found = R.cosine_neighbours(embed_texts(nodes.select("node", F.col("node").alias("text")).distinct(), embedder), asked, k, "node").filter("score > 0")
+    # written, else the filter on embeddings moves below distinct() and every repeat is embedded
+    asked = embed_texts(written(names.select(F.col("name").alias("query_id"), F.col("name").alias("text")).distinct()), embedder)
+    found = R.cosine_neighbours(embed_texts(written(nodes.select("node", F.col("node").alias("text")).distinct()), embedder), asked, k, "node").filter("score > 0")
     return names.select("query_id", "name").distinct().join(found.withColumnRenamed("query_id", "name"), "name").groupBy("query_id", "node").agg(F.max("score").alias("score"))
 
 
@@ -33,10 +34,10 @@ def graph_retrieve(questions: DataFrame, phrases: DataFrame, contains: DataFrame
     are walked over phrase edges and contains edges; a passage scores alpha of its own rank and the rest from the phrases that name it. Chunks that are
     gone (not among chunks) are dropped before the ranking is cut. A question without a known name has no row; nulls are no names.
     """
-    nodes = phrases.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(contains.select(F.col("src").alias("node"))).distinct()
+    nodes = written(phrases.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(contains.select(F.col("src").alias("node"))).distinct())
     names = written(question_names(questions))
     exact = G.find_phrases(nodes, names)
-    seeds = G.seed_weights(exact, near_phrases(names, nodes, embedder, near) if embedder is not None else exact.select("query_id", "node", F.lit(0.0).alias("score")))
+    seeds = written(G.seed_weights(exact, near_phrases(names, nodes, embedder, near) if embedder is not None else exact.select("query_id", "node", F.lit(0.0).alias("score"))))
     live = contains.join(chunks.select(F.col("chunk_id").alias("dst")), "dst", "left_semi")
     edges = phrases.select("src", "dst", "weight").unionByName(contains.select("src", "dst", "weight"))
     ranks = written(G.page_rank(edges, seeds, damping, **walk))

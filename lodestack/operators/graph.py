@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,9 @@ PLACEHOLDERS = ["<empty>", "<none>", "<null>", "<n/a>", "<unknown>", "<>", "none
 STOP_RELATIONS = ["to", "of", "in", "on", "at", "by", "for", "from", "with", "is", "are", "was", "were", "be", "been", "being", "the", "a", "an", "and", "or", "but", "as", "this", "that", "these", "those", "it", "they", "has", "have", "had"]
 LONGEST = 200
 
+# Sets of a block, and the share of all pairs (one in so many) from which on blocks are compared whole.
+SETS, DENSE = 2048, 16
+
 
 def canonical(c: Column) -> Column:
     return F.lower(strip(F.coalesce(c, F.lit(""))))
@@ -304,7 +309,8 @@ def similar_sets(chunks: DataFrame, least: float, names: str = "names") -> DataF
 
     Names are ordered from the rarest on. Sets that are alike enough share a name among the first n - ceil(least n) + 1 of
     either, so only those names are joined, by rows, and a common name is joined only where sets have hardly any other; the sizes and what is left behind
-    the shared places bound the overlap before sets are compared. Copies meet as one class and empty sets are alike to none.
+    the shared places bound the overlap before sets are compared. Where those names would join as many rows as one in DENSE of all pairs, all pairs are
+    compared by matrices of two blocks of about SETS sets a task. Copies meet as one class and empty sets are alike to none.
     """
     if not 0 < least <= 1:
         raise ValueError("the likeness is above 0 and at most 1")
@@ -312,8 +318,12 @@ def similar_sets(chunks: DataFrame, least: float, names: str = "names") -> DataF
     flat = sets.select("id", F.size("names").alias("n"), F.explode("names").alias("name"))
     ranked = flat.join(flat.groupBy("name").agg(F.count("*").alias("df")), "name").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("t"))
     ranked = written(ranked.select("id", "n", F.transform("t", lambda x: x["name"]).alias("t")))
+    n = ranked.count()
     keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
     first = ranked.select("id", "n", F.posexplode(F.slice("t", 1, keep)).alias("p", "name"))
+    meet = first.groupBy("name").count().agg(F.sum(F.col("count") * (F.col("count") - 1.0) / 2)).first()[0] or 0.0
+    if meet * DENSE > n * (n - 1) / 2:
+        return _dense_sets(ranked, least, math.ceil(n / SETS))
     x, y = (first.select("name", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "p")]) for k in "ab")
     fits = (F.col("ida") < F.col("idb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9)
     # from the first shared name on, where the most is left, all shared names follow
@@ -323,3 +333,40 @@ def similar_sets(chunks: DataFrame, least: float, names: str = "names") -> DataF
     both = met.join(ranked.select(F.col("id").alias("ida"), F.col("t").alias("ta")), "ida").join(ranked.select(F.col("id").alias("idb"), F.col("t").alias("tb")), "idb")
     out = both.withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long")).withColumn("j", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
     return out.filter(F.col("j") >= least).select(F.col("ida").alias("a"), F.col("idb").alias("b"), "shared", F.round("j", 6).alias("jaccard"))
+
+
+def _dense_sets(ranked: DataFrame, least: float, blocks: int) -> DataFrame:
+    """similar_sets of (id, n, t) by all pairs of blocks; a task holds two of them and counts their shared names by matrix products."""
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, sizes, own = pdf["id"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["own"].to_numpy()
+        rows, code = np.repeat(np.arange(len(pdf)), sizes), pd.factorize(np.concatenate(pdf["t"].to_numpy()))[0]
+        some = np.bincount(code)[code] > 1  # a name of one set is shared by none
+        rows, code = rows[some], np.unique(code[some], return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        rows, code = rows[order], code[order]
+        x, y = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+        both = np.zeros((len(x), len(y)), np.float32)
+        for lo in range(0, int(code[-1]) + 1 if len(code) else 0, SETS):
+            i, j = np.searchsorted(code, (lo, lo + SETS))
+            m = np.zeros((len(pdf), SETS), np.float32)
+            m[rows[i:j], code[i:j] - lo] = 1
+            both += m[x] @ m[y].T
+        a, b, shared, likeness = [], [], [], []
+        for lo in range(0, len(x), 256):
+            part = both[lo:lo + 256].astype(np.int64)
+            jac = part / (sizes[x[lo:lo + 256], None] + sizes[None, y] - part)
+            near = jac >= least
+            if own.min() == own.max():
+                near &= np.arange(lo, lo + len(part))[:, None] < np.arange(len(y))[None]
+            p, q = np.nonzero(near)
+            a.append(ids[x[lo + p]])
+            b.append(ids[y[q]])
+            shared.append(part[p, q])
+            likeness.append(jac[p, q])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "shared": np.concatenate(shared), "j": np.concatenate(likeness)})
+
+    kind = ranked.schema["id"].dataType.simpleString()
+    rows = ranked.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.groupBy(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    return rows.applyInPandas(compare, f"a {kind}, b {kind}, shared long, j double").select("a", "b", "shared", F.round("j", 6).alias("jaccard"))

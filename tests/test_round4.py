@@ -38,3 +38,17 @@ def test_near_phrases_embed_each_name_once(spark, tmp_path):
     names = spark.createDataFrame([(1, 0, "ab")] * 200, "query_id long, place int, name string")
     assert turn.near_phrases(names, nodes, Counting()).count() == 2
     assert len((tmp_path / "asked").read_text().split()) <= 12
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_set_join_both_ways(spark, monkeypatch, dense):
+    monkeypatch.setattr(G, "DENSE", dense)
+    monkeypatch.setattr(G, "SETS", 16)
+    r = random.Random(4)
+    sets = {i: set(r.sample(range(12), r.randint(1, 6))) | {100 + i % 40} for i in range(70)}
+    first = {}
+    for i, x in sets.items():
+        first.setdefault(frozenset(x), i)
+    d = spark.createDataFrame([(i, [str(y) for y in x]) for i, x in sets.items()], "chunk_id long, names array<string>")
+    want = {(a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(first.values()), 2) if len(sets[a] & sets[b]) >= 0.4 * len(sets[a] | sets[b])}
+    assert {(x["a"], x["b"], x["shared"]) for x in G.similar_sets(d, 0.4).collect()} == want and want

@@ -28,12 +28,12 @@ def quality_sections(s, d):
 
 def doc_part_labels(s, d):
     """Parts of documents whose heading lines are sections: labels are the first clean one of each part."""
-    rows = C.line_chunks(TQ._marked(s, d)).withColumn("section", F.when(F.col("text").rlike("^(# |2.1|3\\. )"), F.col("text")))
+    rows = TQ._sectioned(s, d)
     return D.parts(rows.select("doc_id", "chunk_index", "section"))
 
 
 def chapter_fill(s, d):
-    rows = C.line_chunks(TQ._marked(s, d)).withColumn("section", F.when(F.col("text").rlike("^(# |2.1|3\\. )"), F.col("text")))
+    rows = TQ._sectioned(s, d)
     return C.chapter_fill(rows.select("doc_id", "chunk_index", "section")).select("doc_id", "chunk_index", "chapter")
 
 

@@ -57,7 +57,7 @@ def contents_chunk(s, d):
 
 
 def chapter_labels(s, d):
-    rows = C.line_chunks(TQ._marked(s, d)).withColumn("section", F.when(F.col("text").rlike("^(# |2.1|3\\. )"), F.col("text")))
+    rows = TQ._sectioned(s, d)
     return L.chapter_labels(rows).select("doc_id", F.array_join("labels", "|").alias("labels"))
 
 

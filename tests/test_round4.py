@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import graph as G
 from lodestack.operators import turn
+from lodestack.plans.registry import ORACLES, QUERIES
 
 
 def test_page_rank_folds_equal_sinks(spark):
@@ -52,3 +54,20 @@ def test_set_join_both_ways(spark, monkeypatch, dense):
     d = spark.createDataFrame([(i, [str(y) for y in x]) for i, x in sets.items()], "chunk_id long, names array<string>")
     want = {(a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(first.values()), 2) if len(sets[a] & sets[b]) >= 0.4 * len(sets[a] | sets[b])}
     assert {(x["a"], x["b"], x["shared"]) for x in G.similar_sets(d, 0.4).collect()} == want and want
+
+
+def same_as_sql(spark, tmp_path, name, **tables):
+    con = duckdb.connect()
+    for t, rows in tables.items():
+        rows.to_parquet(tmp_path / f"{t}.parquet")
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    cols = sorted(got.columns)
+    want = con.sql(f"select {', '.join(f'\"{c}\"' for c in cols)} from ({ORACLES[name]})").fetchall()
+    assert sorted(map(str, (tuple(x) for x in got.select(*[f"`{c}`" for c in cols]).collect()))) == sorted(map(str, want)) and want
+
+
+@pytest.mark.parametrize("name", ["chapter_fill", "chapter_labels", "doc_part_labels"])
+def test_lines_that_begin_like_a_heading(spark, tmp_path, name):
+    texts = ["a\n221.7.8.9 Sie kam.\nb", "201 years\n# odd\n3. Foo", None, "2.1"]
+    same_as_sql(spark, tmp_path, name, documents=pd.DataFrame({"doc_id": range(1, 5), "text": texts}))

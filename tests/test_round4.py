@@ -71,3 +71,9 @@ def same_as_sql(spark, tmp_path, name, **tables):
 def test_lines_that_begin_like_a_heading(spark, tmp_path, name):
     texts = ["a\n221.7.8.9 Sie kam.\nb", "201 years\n# odd\n3. Foo", None, "2.1"]
     same_as_sql(spark, tmp_path, name, documents=pd.DataFrame({"doc_id": range(1, 5), "text": texts}))
+
+
+def test_word_edges_as_in_the_sql(spark, tmp_path):
+    texts = ["éread ère", "même", "a read é", "tell mé", "nothing"] * 7
+    rows = pd.DataFrame({"conv_id": [i // 7 for i in range(35)], "turn": [i % 7 for i in range(35)], "role": "user", "text": texts})
+    same_as_sql(spark, tmp_path, "reflective_tiers", conversations=rows)

@@ -69,7 +69,10 @@ def candidates(keys: DataFrame) -> DataFrame:
     """(v, c): candidate components over __set, from keys (__set, __keys)."""
     keyed = keys.select("__set", F.posexplode("__keys").alias("band", "key"))
     stars = materialize(keyed.groupBy("band", "key").agg(F.min("__set").alias("a"), F.count("*").alias("n")).filter("n > 1"))
-    return components(keyed.join(stars, ["band", "key"]).filter("__set <> a").select("a", F.col("__set").alias("b")).distinct())
+    # a set's stars, at most one a band, are joined at their least root, so that a large group has about one edge a set and not one a band
+    roots = keyed.join(stars, ["band", "key"]).filter("__set <> a").groupBy("__set").agg(F.array_sort(F.collect_set("a")).alias("roots"))
+    ends = F.concat(F.array("__set"), F.slice("roots", 2, BANDS))
+    return components(roots.select(F.col("roots")[0].alias("a"), F.explode(ends).alias("b")).distinct())
 
 
 def _compare(groups: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack.llm import near_copies as N
+from lodestack.llm.simhash import components
 from lodestack.operators import graph as G
 from lodestack.operators import turn
 from lodestack.plans.registry import ORACLES, QUERIES
@@ -77,3 +79,13 @@ def test_word_edges_as_in_the_sql(spark, tmp_path):
     texts = ["éread ère", "même", "a read é", "tell mé", "nothing"] * 7
     rows = pd.DataFrame({"conv_id": [i // 7 for i in range(35)], "turn": [i % 7 for i in range(35)], "role": "user", "text": texts})
     same_as_sql(spark, tmp_path, "reflective_tiers", conversations=rows)
+
+
+def test_a_group_of_near_copies_has_about_one_edge_a_set(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(N, "components", lambda edges: made.append(edges) or components(edges))
+    # each band shares its key among all sets but one, so every band has another least set
+    rows = [(s, [-1 - s if s <= b else 0 for b in range(20)]) for s in range(100)] + [(200, [7] * 20), (201, [7] * 20)]
+    got = {(x["v"], x["c"]) for x in N.candidates(spark.createDataFrame(rows, "__set long, __keys array<long>")).collect()}
+    assert got == {(s, 1) for s in range(1, 100)} | {(200, 200), (201, 200)}
+    assert made[0].count() < 130

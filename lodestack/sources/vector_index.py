@@ -5,7 +5,8 @@ A row's residual to its cell is cut into parts of SUB numbers, each stored as on
 Files are sorted by cell, so a search of few cells reads few row groups, and vectors themselves only for the best
 candidates, which are scored exactly.
 
-A search sends every query to its `probes` nearest cells. Cells of more than PART rows are split by id and a cell's queries
+A search sends every query to its `probes` nearest cells: as many as the sample's own neighbours need (see probes_of). Where a quarter
+of the cells would not do, cells do not part these vectors and a search is exact. Cells of more than PART rows are split by id and a cell's queries
 are dealt in blocks of ASKED, so that no task holds more than PART rows and ASKED queries, however many share a cell. Conditions on kept
 columns act on the rows before any ranking; queries that still find fewer than k rows are searched exactly. Null vectors are
 not indexed, zero vectors score 0, another dimension raises ValueError; ties go to the smaller id.
@@ -13,6 +14,7 @@ not indexed, zero vectors score 0, another dimension raises ValueError; ties go
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +26,11 @@ from ..operators.retrieval import cosine_neighbours
 from ..operators.taxonomy import cosine
 from .tables import written
 
-SAMPLE, CELLS, PER_CELL, SUB, PART, ASKED, ROUNDS = 65_536, 4096, 64, 4, 1 << 16, 2048, 12
+SAMPLE, CELLS, PER_CELL, SUB, PART, ASKED, ROUNDS, STEP = 65_536, 4096, 64, 4, 1 << 16, 2048, 12, 1024
+# The probes at least, the share of a row's ten neighbours that the probed cells are to hold, and the rows it is measured on.
+PROBES, HELD, MEASURED = 12, 0.97, 256
 
-MODEL = "id_col string, dim int, centre binary, sizes array<int>, codes binary"
+MODEL = "id_col string, dim int, centre binary, sizes array<int>, codes binary, probes int"
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -39,20 +43,37 @@ def means(v: np.ndarray, k: int, seed: int, sphere: bool = False) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = v[rng.choice(len(v), min(k, len(v)), replace=False)].copy()
     for _ in range(ROUNDS):
-        far = (c ** 2).sum(1) - 2 * v @ c.T
-        near = far.argmin(1)
+        near, least = np.zeros(len(v), np.int64), np.zeros(len(v), v.dtype)
+        for at in range(0, len(v), STEP):  # distances of few rows at a time
+            far = (c ** 2).sum(1) - 2 * v[at:at + STEP] @ c.T
+            near[at:at + STEP], least[at:at + STEP] = far.argmin(1), far.min(1)
         size = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, v)
         c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
         lost = np.flatnonzero(size == 0)
         if len(lost):
-            c[lost] = v[np.argsort(-far[np.arange(len(v)), near], kind="stable")[:len(lost)]]
+            c[lost] = v[np.argsort(-least, kind="stable")[:len(lost)]]
         if sphere:
             c = unit(c)
     return c
 
 
+def probes_of(v: np.ndarray, centre: np.ndarray, cell: np.ndarray) -> int:
+    """The fewest nearest cells, PROBES at least, that hold the share HELD of ten neighbours of rows of v; all cells if a quarter of them does not do."""
+    asked = np.arange(0, len(v), max(1, len(v) // MEASURED))
+    place = []
+    for i in asked:
+        s = v @ v[i]
+        s[i] = -np.inf
+        near = np.argpartition(-s, min(10, len(s) - 1))[:10]
+        order = np.argsort(np.argsort(-(centre @ v[i]), kind="stable"))
+        place.append(order[cell[near[near != i]]])
+    place = np.sort(np.concatenate(place))
+    need = max(PROBES, int(place[math.ceil(HELD * len(place)) - 1]) + 1) if len(place) else PROBES
+    return need if need <= max(PROBES, len(centre) // 4) else len(centre)
+
+
 def stacked(vectors: pd.Series, dim: int | None = None) -> np.ndarray:
     if dim is not None and (vectors.map(len) != dim).any():
         raise ValueError("vectors of differing dimensions")
@@ -67,7 +88,7 @@ class VectorIndex:
         row = spark.read.parquet(f"{self.path}/model").first()
         self.id_col, self.dim = row["id_col"], row["dim"]
         self.centre = np.frombuffer(row["centre"], np.float32).reshape(-1, max(self.dim, 1))
-        self.sizes = list(row["sizes"])
+        self.sizes, self.probes = list(row["sizes"]), row["probes"]
         flat, at, self.codes = np.frombuffer(row["codes"], np.float32), 0, []
         for width, n in zip(self.widths(self.dim), self.sizes):
             self.codes.append(flat[at:at + width * n].reshape(n, width))
@@ -87,18 +108,19 @@ class VectorIndex:
         sample = rows.select("embedding", F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h")).filter(F.col("h") < bar).orderBy("h").limit(SAMPLE)
 
         if not n:
-            spark.createDataFrame([(id_col, 0, b"", [], b"")], MODEL).write.parquet(f"{path}/model")
+            spark.createDataFrame([(id_col, 0, b"", [], b"", PROBES)], MODEL).write.parquet(f"{path}/model")
 
         def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             all_ = pd.concat([p["embedding"] for p in batches if len(p)])
             v = stacked(all_, len(all_.iloc[0]))
             centre = means(v, cells, seed, sphere=True)
-            rest = v - centre[(v @ centre.T).argmax(1)]
+            cell = np.concatenate([(v[at:at + STEP] @ centre.T).argmax(1) for at in range(0, len(v), STEP)])
+            rest = v - centre[cell]
             codes, at = [], 0
             for width in cls.widths(v.shape[1]):
                 codes.append(means(rest[:, at:at + width], 256, seed))
                 at += width
-            yield pd.DataFrame({"id_col": [id_col], "dim": [v.shape[1]], "centre": [centre.astype(np.float32).tobytes()], "sizes": [[len(c) for c in codes]], "codes": [b"".join(c.astype(np.float32).tobytes() for c in codes)]})
+            yield pd.DataFrame({"id_col": [id_col], "dim": [v.shape[1]], "centre": [centre.astype(np.float32).tobytes()], "sizes": [[len(c) for c in codes]], "codes": [b"".join(c.astype(np.float32).tobytes() for c in codes)], "probes": [probes_of(v, centre, cell)]})
 
         if n:
             sample.select("embedding").coalesce(1).mapInPandas(fit, MODEL).write.parquet(f"{path}/model")
@@ -112,9 +134,7 @@ class VectorIndex:
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             centre, codes = held.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
+            for pdf in (p.iloc[a:a + STEP] for p in batches for a in range(0, len(p), STEP)):
                 v = stacked(pdf["embedding"], dim)
                 cell = (v @ centre.T).argmax(1)
                 rest, at, code = v - centre[cell], 0, np.zeros((len(v), len(codes)), np.uint8)
@@ -138,11 +158,12 @@ class VectorIndex:
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rows")
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 12, where: Column | None = None, candidates: int = 8) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, where: Column | None = None, candidates: int = 16) -> DataFrame:
         """(query_id, id_col, score, rank) of (query_id, embedding) queries: the nearest of at most candidates * k rows, scored exactly."""
         rows = self.rows() if where is None else self.rows().filter(where)
         asked = queries.filter("embedding is not null").select("query_id", "embedding")
-        if not self.dim:
+        probes = probes or self.probes
+        if not self.dim or PROBES < len(self.centre) <= probes:
             return cosine_neighbours(rows, asked, k, self.id_col)
         found = written(self._near(rows, asked, k * candidates, min(probes, len(self.centre))))
         scored = found.join(rows.select(F.col(self.id_col), F.col("embedding").alias("v")), self.id_col).join(asked, "query_id")
@@ -161,9 +182,7 @@ class VectorIndex:
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             centre, _ = held.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
+            for pdf in (p.iloc[a:a + STEP] for p in batches for a in range(0, len(p), STEP)):
                 cells = np.argsort(-(stacked(pdf["embedding"], dim) @ centre.T), axis=1, kind="stable")[:, :probes]
                 yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), probes), "embedding": pdf["embedding"].repeat(probes).to_numpy(), "cell": cells.ravel().astype(np.int32)})
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from lodestack.llm import near_copies as N
 from lodestack.llm.simhash import components
 from lodestack.operators import graph as G
+from lodestack.operators import retrieval as R
 from lodestack.operators import turn
 from lodestack.plans.registry import ORACLES, QUERIES
+from lodestack.sources.vector_index import VectorIndex
 
 
 def test_page_rank_folds_equal_sinks(spark):
@@ -89,3 +91,16 @@ def test_a_group_of_near_copies_has_about_one_edge_a_set(spark, monkeypatch):
     got = {(x["v"], x["c"]) for x in N.candidates(spark.createDataFrame(rows, "__set long, __keys array<long>")).collect()}
     assert got == {(s, 1) for s in range(1, 100)} | {(200, 200), (201, 200)}
     assert made[0].count() < 130
+
+
+def test_index_of_vectors_that_cells_do_not_part(spark, tmp_path):
+    v = np.random.default_rng(3).standard_normal((3000, 32))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    index = VectorIndex.build(rows, str(tmp_path / "i"))
+    asked = rows.filter("vec_id % 60 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(x["query_id"], x["vec_id"]) for x in R.cosine_neighbours(rows, asked).collect()}
+    found = {(x["query_id"], x["vec_id"]) for x in index.search(asked).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(q, int(i)) for q in range(0, 3000, 60) for i in np.lexsort((np.arange(3000), -np.round(u @ u[q], 5).clip(0, 1)))[:10]}
+    assert exact == want

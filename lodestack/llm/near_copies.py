@@ -1,8 +1,9 @@
-"""Near copies by the Jaccard likeness of word shingles: MinHash candidates, each verified over whole shingle sets.
+"""Near copies: SimHash links by covering tables and MinHash candidates, each verified by the Jaccard likeness of whole shingle sets.
 
 A row's set holds the distinct 64-bit hashes of its shingles (words as in simhash.py; fewer words than one shingle
-form one shingle, no words the empty set). Equal sets are merged first. BANDS bands of WIDTH minima are the
-candidate keys: a pair of likeness J shares a key with probability 1 - (1 - J^WIDTH)^BANDS, 0.9994 at 0.8.
+form one shingle, no words the empty set). Equal sets are merged first. Sets whose SimHash fingerprints differ in at most
+RADIUS bits are candidates by simhash.links, none of them missed. Copies of a likeness near 0.8 differ in more bits, so
+BANDS bands of WIDTH minima add their keys: a pair of likeness J shares one with probability 1 - (1 - J^WIDTH)^BANDS, 0.9994 at 0.8.
 Rows of a key are linked as a star, never as pairs, and the stars' components are only a bound: inside each of them
 all pairs of sets are compared exactly, but for pairs that verified links join already. Chance keys join nothing.
 No task holds more than about `block` sets. Cost is quadratic only in the sets of a candidate component that the
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .simhash import components, shingle_hashes
+from .simhash import RADIUS, components, fingerprint, links, shingle_hashes
 
 SIMILARITY, WIDTH, BANDS, BLOCK = 0.8, 8, 40, 128
 _r = np.random.default_rng(20)
@@ -65,14 +66,25 @@ def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.nda
     return a[near], b[near]
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """(v, c): candidate components over __set, from keys (__set, __keys)."""
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): stars over __set whose components are those of all pairs of (__set, __fp) rows with fingerprints within the radius."""
+    least = materialize(prints.groupBy("__fp").agg(F.min("__set").alias("root")))
+    same = prints.join(least, "__fp").filter("__set <> root").select(F.col("root").alias("a"), F.col("__set").alias("b"))
+    near = links(least.select("__fp"), radius)
+    for end in ("a", "b"):
+        near = near.join(least.select(F.col("__fp").alias(end), F.col("root").alias(f"{end}_")), end)
+    return same.unionByName(near.select(F.col("a_").alias("a"), F.col("b_").alias("b")))
+
+
+def candidates(keys: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """(v, c): candidate components over __set, from keys (__set, __keys) and links (a, b) of sets."""
     keyed = keys.select("__set", F.posexplode("__keys").alias("band", "key"))
     stars = materialize(keyed.groupBy("band", "key").agg(F.min("__set").alias("a"), F.count("*").alias("n")).filter("n > 1"))
     # a set's stars, at most one a band, are joined at their least root, so that a large group has about one edge a set and not one a band
     roots = keyed.join(stars, ["band", "key"]).filter("__set <> a").groupBy("__set").agg(F.array_sort(F.collect_set("a")).alias("roots"))
     ends = F.concat(F.array("__set"), F.slice("roots", 2, BANDS))
-    return components(roots.select(F.col("roots")[0].alias("a"), F.explode(ends).alias("b")).distinct())
+    edges = roots.select(F.col("roots")[0].alias("a"), F.explode(ends).alias("b"))
+    return components((edges if linked is None else edges.unionByName(linked)).distinct())
 
 
 def _compare(groups: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
@@ -135,10 +147,14 @@ def keep_one(df: DataFrame, words_per_shingle: int = 5, similarity: float = SIMI
     """
     k = words_per_shingle
 
-    @F.pandas_udf("digest binary, __keys array<long>")
+    @F.pandas_udf("digest binary, __fp long, __keys array<long>")
     def keys(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(t, k) for t in texts]
-        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in found], "__keys": [band_keys(s) for s in found]})
+        rows = []
+        for t in texts:
+            parts = list(shingle_hashes(t, k))
+            s = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            rows.append((xxhash.xxh3_128_digest(s.tobytes()), fingerprint(parts), band_keys(s)))
+        return pd.DataFrame(rows, columns=["digest", "__fp", "__keys"])
 
     @F.pandas_udf("binary")
     def hashes(texts: pd.Series) -> pd.Series:
@@ -150,7 +166,9 @@ def keep_one(df: DataFrame, words_per_shingle: int = 5, similarity: float = SIMI
     sets = rows.groupBy("__k.digest").agg(F.min(key).alias("least"))
     sets = materialize(sets.select("least", F.col("least.row").alias("__set")))
     firsts = rows.join(sets.select(F.col("__set").alias("__row")), "__row")
-    parts = materialize(candidates(materialize(firsts.select(F.col("__row").alias("__set"), "__k.__keys"))))
+    firsts = materialize(firsts.select(F.col("__row").alias("__set"), "__k.__fp", "__k.__keys"))
+    worded = firsts.filter(F.size("__keys") > 0)  # the empty set only equals itself
+    parts = materialize(candidates(firsts.select("__set", "__keys"), fingerprint_links(worded.select("__set", "__fp"))))
     texts = rows.select(F.col("__row").alias("v"), F.col(text_col).alias("__t")).join(parts, "v")
     whole = materialize(texts.select(F.col("v").alias("__set"), hashes("__t").alias("hashes")))
     linked = verified(parts.withColumnRenamed("v", "__set"), whole, similarity, block)

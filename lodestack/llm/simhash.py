@@ -16,7 +16,7 @@ general operator only adds __ columns.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,8 +40,13 @@ def shingle_hashes(text: str | None, words_per_shingle: int) -> Iterator[np.ndar
 
 def simhash(text: str | None, words_per_shingle: int) -> int:
     """Signed 64-bit fingerprint of one text."""
+    return fingerprint(shingle_hashes(text, words_per_shingle))
+
+
+def fingerprint(parts: Iterable[np.ndarray]) -> int:
+    """Signed 64-bit fingerprint of shingle hashes: a bit is set if it is in over half of them."""
     total, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, words_per_shingle):
+    for h in parts:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
     bits = np.packbits(total * 2 > n, bitorder="little")

@@ -5,6 +5,9 @@ from pathlib import Path
 
 import numpy as np
 
+import corpus_pipeline
+from lodestack.llm import near_copies as N
+from lodestack.llm.simhash import components, links
 from lodestack.operators import similar as S
 from lodestack.sources.tables import shared
 
@@ -32,3 +35,20 @@ def test_leaders_write_no_more_than_a_few_rows_a_phrase(spark):
             want[f"p{i}"] = f"p{i}", 1.0
     assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()} and len(heads) < 1300
     assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+
+
+def test_near_copies_have_the_links_of_their_fingerprints(spark, monkeypatch):
+    r = random.Random(3)
+    words = [[f"v{r.randrange(9000)}" for _ in range(600)] for _ in range(30)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:300], "x", *w[300:]]) for w in words]
+    prints = [N.fingerprint(N.shingle_hashes(t, 5)) for t in texts]
+    near = {(i, j) for i in range(60) for j in range(i) if ((prints[i] ^ prints[j]) & ((1 << 64) - 1)).bit_count() <= 4}
+    frame = spark.createDataFrame(list(enumerate(prints)), "__set long, __fp long")
+    parts = {x["v"]: x["c"] for x in components(N.fingerprint_links(frame)).collect()}
+    assert all(parts[i] == parts[j] for i, j in near) and set(parts) == {x for p in near for x in p} and len(near) >= 25
+    empty = spark.createDataFrame([(i, []) for i in range(60)], "__set long, __keys array<long>")
+    assert N.candidates(empty, N.fingerprint_links(frame)).count() == len(parts)
+    made = []
+    monkeypatch.setattr(N, "links", lambda fps, radius: made.append(fps.count()) or links(fps, radius))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    assert {x["doc_id"] for x in kept.collect()} == set(range(30)) and made == [len(set(prints))]

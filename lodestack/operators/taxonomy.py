@@ -92,17 +92,24 @@ def leaves_of(trace: DataFrame) -> DataFrame:
 
 def capped_leaves(leaves: DataFrame, assignments: DataFrame, share: float = 0.5) -> DataFrame:
     """leaves, best first, while the documents below them, each counted once, are at most the share of all documents; at least one."""
-    total = assignments.agg(F.count_distinct("doc_id")).first()[0] or 0
+    # documents filed under the same nodes are counted together, so no row is made for a query and a document
+    sets = written(node_sets(assignments).groupBy("nodes").agg(F.count("*").alias("n")))
+    total = sets.agg(F.sum("n")).first()[0] or 0
     most = max(1, int(total * share))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     ranked = leaves.withColumn("r", F.row_number().over(by))
-    first = ranked.join(assignments.select("node_id", "doc_id"), "node_id", "left").groupBy("query_id", "doc_id").agg(F.min("r").alias("r")).filter("doc_id is not null")
-    new = first.groupBy("query_id", "r").agg(F.count("*").alias("new"))
+    first = ranked.join(sets.select("nodes", "n", F.explode("nodes").alias("node_id")), "node_id").groupBy("query_id", "nodes").agg(F.min("r").alias("r"), F.max("n").alias("n"))
+    new = first.groupBy("query_id", "r").agg(F.sum("n").alias("new"))
     run = F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy("query_id").orderBy("r"))
     over = F.max((F.col("run") > most).cast("int")).over(Window.partitionBy("query_id").orderBy("r"))
     return ranked.join(new, ["query_id", "r"], "left").withColumn("run", run).withColumn("over", over).filter("r = 1 or over = 0").select("query_id", "node_id", "score")
 
 
+def node_sets(assignments: DataFrame) -> DataFrame:
+    """(doc_id, nodes): the sorted nodes that each document is filed under."""
+    return assignments.filter("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))
+
+
 def allowed_documents(leaves: DataFrame, assignments: DataFrame) -> DataFrame:
     """(query_id, doc_id): the documents of each query's leaves."""
     return leaves.select("query_id", "node_id").join(assignments.select("node_id", "doc_id"), "node_id").select("query_id", "doc_id").distinct()

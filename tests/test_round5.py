@@ -4,11 +4,15 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 
 import corpus_pipeline
 from lodestack.llm import near_copies as N
 from lodestack.llm.simhash import components, links
+from lodestack.operators import leiden as L
+from lodestack.operators import retrieval as R
 from lodestack.operators import similar as S
+from lodestack.operators import taxonomy as X
 from lodestack.sources.tables import shared
 
 
@@ -52,3 +56,11 @@ def test_near_copies_have_the_links_of_their_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(N, "links", lambda fps, radius: made.append(fps.count()) or links(fps, radius))
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
     assert {x["doc_id"] for x in kept.collect()} == set(range(30)) and made == [len(set(prints))]
+
+
+def test_caps_count_documents_of_the_same_nodes_together(spark):
+    filed = spark.createDataFrame([(f"d{i}", n) for i in range(40) for n in (["a", "b"] if i < 10 else ["b"] if i < 15 else ["c"])] + [(None, "a")], "doc_id string, node_id string")
+    leaves = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.8), (1, "c", 0.7), (2, "c", 0.9), (2, "a", 0.1), (3, "none", 0.5), (3, "a", 0.4)], "query_id long, node_id string, score double")
+    got = X.capped_leaves(leaves, filed, 0.4)
+    assert {(x["query_id"], x["node_id"]) for x in got.collect()} == {(1, "a"), (1, "b"), (2, "c"), (3, "none"), (3, "a")}
+    assert "doc_id" not in got._jdf.queryExecution().optimizedPlan().toString()

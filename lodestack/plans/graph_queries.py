@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import similar, turn
+from ..operators import retrieval as R
 from ..operators import taxonomy as X
 from ..providers import HashEmbedder
 from ..sources.tables import table, written
@@ -155,13 +156,8 @@ def docs_cap(s, d):
 
 def taxonomy_retrieve(s, d):
     """The nearest vectors among the documents of each query's capped leaves."""
-    allowed = X.allowed_documents(docs_cap(s, d), V.assignments(s, d))
-    q = V.vector_queries(s, d)
-    pairs = allowed.join(V.vectors(s, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), "doc_id").join(q, "query_id")
-    scored = pairs.select("query_id", "doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(X.cosine(F.col("embedding"), F.col("v")), 5))).alias("score"))
-    from ..operators.retrieval import top
-
-    return top(scored, 5)
+    vectors = V.vectors(s, d).select(F.col("vec_id").alias("doc_id"), "embedding")
+    return R.neighbours_below(written(X.node_sets(V.assignments(s, d)).join(vectors, "doc_id")), V.vector_queries(s, d), docs_cap(s, d), 5)
 
 
 def _open_tree(s, d):

@@ -64,3 +64,16 @@ def test_caps_count_documents_of_the_same_nodes_together(spark):
     got = X.capped_leaves(leaves, filed, 0.4)
     assert {(x["query_id"], x["node_id"]) for x in got.collect()} == {(1, "a"), (1, "b"), (2, "c"), (3, "none"), (3, "a")}
     assert "doc_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbours_below_the_nodes_of_a_query(spark):
+    g = np.random.default_rng(5)
+    v = {i: [float(x) for x in g.standard_normal(8)] for i in range(60)} | {60: [0.0] * 8, 61: None}
+    nodes = {i: ["a"] if i % 3 == 0 else ["b"] if i % 3 == 1 else ["a", "c"] for i in v}
+    scope = {1: {"a", "c"}, 2: {"b"}, 3: {"none"}}
+    asked = {q: [float(x) for x in g.standard_normal(8)] for q in (1, 2, 3, 4)}
+    got = R.neighbours_below(spark.createDataFrame([(i, nodes[i], v[i]) for i in v], "doc_id long, nodes array<string>, embedding array<double>"), spark.createDataFrame(list(asked.items()), "query_id long, embedding array<double>"),
+                             spark.createDataFrame([(q, n) for q, x in scope.items() for n in x], "query_id long, node_id string"), 30)
+    cos = lambda a, b: 0.0 if b is None or not any(b) else float(np.clip(round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 5), 0, 1))
+    want = {q: sorted((-cos(asked[q], v[i]), i) for i in v if scope[q] & set(nodes[i]))[:30] for q in scope}
+    assert sorted((x["query_id"], x["rank"], x["doc_id"], x["score"]) for x in got.collect()) == sorted((q, r + 1, i, -s) for q, x in want.items() for r, (s, i) in enumerate(x))

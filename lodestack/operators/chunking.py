@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .retrieval import portions
 
 CHUNK = "chunk_id string, doc_id string, user_id string, title string, text string, embedding_text string, section string, subsection string, chunk_index int, token_count int, source_type string, has_math boolean, excluded boolean"
 
@@ -174,9 +175,9 @@ def chunk_documents(docs: DataFrame, max_tokens: int = 400, overlap_tokens: int
     rows = rows.join(spans.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for part in (part for pdf in batches for part in portions(pdf)):
             out = []
-            for doc, text, user, title, kind, found in pdf[["doc_id", "text", "user_id", "title", "source_type", "spans"]].itertuples(index=False):
+            for doc, text, user, title, kind, found in part[["doc_id", "text", "user_id", "title", "source_type", "spans"]].itertuples(index=False):
                 made = [(s["section"], s["subsection"], c) for s in found for c in pack(paragraphs(text[s["start"]:s["end"]]), max_tokens, overlap_tokens)] or [(None, None, text.strip())]
                 for i, (section, sub, c) in enumerate(made):
                     head = " ".join(f"[{x}]" for x in (title, section, sub) if x)

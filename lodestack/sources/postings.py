@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import _TERM, EPSILON, K1, B, blocks_of, top
+from ..operators.retrieval import _TERM, EPSILON, K1, B, blocks_of, portions, top
 from .tables import written
 
 SHARD, BLOCK = 1 << 14, 128
@@ -30,9 +30,9 @@ SHARD, BLOCK = 1 << 14, 128
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, len, terms, tfs) of (doc_id, text)."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            bags = [Counter(_TERM.findall((t or "").lower())) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "len": [sum(b.values()) for b in bags], "terms": [list(b) for b in bags], "tfs": [list(b.values()) for b in bags]})
+        for rows in (part for pdf in batches for part in portions(pdf)):
+            bags = [Counter(_TERM.findall((t or "").lower())) for t in rows["text"]]
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "len": [sum(b.values()) for b in bags], "terms": [list(b) for b in bags], "tfs": [list(b.values()) for b in bags]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(count, f"doc_id {kind}, len int, terms array<string>, tfs array<int>")

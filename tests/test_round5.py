@@ -77,3 +77,29 @@ def test_neighbours_below_the_nodes_of_a_query(spark):
     cos = lambda a, b: 0.0 if b is None or not any(b) else float(np.clip(round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 5), 0, 1))
     want = {q: sorted((-cos(asked[q], v[i]), i) for i in v if scope[q] & set(nodes[i]))[:30] for q in scope}
     assert sorted((x["query_id"], x["rank"], x["doc_id"], x["score"]) for x in got.collect()) == sorted((q, r + 1, i, -s) for q, x in want.items() for r, (s, i) in enumerate(x))
+
+
+def test_portions_bound_what_is_made_of_a_batch():
+    texts = ["x" * n for n in (5, 5, 5, 30, 0, 1)] + [None] * 1200
+    parts = [p["text"].tolist() for p in R.portions(pd.DataFrame({"text": texts}), 10)]
+    assert [x for p in parts for x in p] == texts and max(map(len, parts)) <= 512
+    assert [len(p) for p in parts[:3]] == [2, 1, 1] and list(R.portions(pd.DataFrame({"text": []}, dtype=object))) == []
+
+
+def test_batches_are_tokenized_in_portions(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(R, "portions", lambda pdf, size=0, f=R.portions: (seen.append(len(p)) or p for p in f(pdf, 40)))
+
+    class Docs:  # the function given to mapInPandas, run here on one batch
+        schema = spark.createDataFrame([(1,)], "doc_id long").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, f, _):
+            self.made = list(f([pd.DataFrame({"text": ["ab cd ab " * 2] * 50})]))
+            return spark.createDataFrame(pd.concat(self.made).astype({"df": "int64", "tf": "int64"}), "term string, df long, tf long")
+
+    docs = Docs()
+    got = {x["term"]: (x["df"], x["tf"]) for x in R.document_frequencies(docs).collect()}
+    assert got == {None: (50, 300), "ab": (50, 200), "cd": (50, 100)} and len(docs.made) == 25 == len(seen)

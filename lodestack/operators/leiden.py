@@ -7,6 +7,9 @@ join a part of their own community whose nodes all stay (heads, or parts of two
 have an edge into it and never loses one, so parts are connected. Parts become the nodes of the next graph, each
 under its community; when nothing moves, communities themselves do, until nothing is left to join. Then nodes are moved once more in the first graph, communities
 in several pieces are split into them, and of a resolution's tries (other coins) the one of the greatest modularity stays.
+
+Nodes with a single neighbour gain nowhere but beside it, so they are folded into it before (see folded) and take its community at the end: supersteps cost
+what the other nodes' edges cost, for all resolutions and tries.
 """
 
 from __future__ import annotations
@@ -64,6 +67,22 @@ def _step(edges: DataFrame, labels: DataFrame, rate: Column, two_m: float, step:
     return written(out.withColumn("c", F.when(F.col("moved"), F.col("m.c")).otherwise(F.col("c"))).drop("m", "now", "size", "coin"))
 
 
+def folded(near: DataFrame, two_m: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """(node, k) that stay and (leaf, node, w) folded into them, from both directions (a, b, w) of the edges.
+
+    A leaf has one neighbour; of two leaves that only have each other the greater is folded. It gains w (1 - r K / 2m) by joining a community of the total K, so
+    a node's leaves are folded only if it and all of them together leave a gain at the greatest resolution `most`.
+    """
+    degree = written(near.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"), F.count("*").alias("n"), F.min("b").alias("hub")))
+    lone = degree.filter("n = 1").select(F.col("node").alias("leaf"), "hub", F.col("k").alias("w"))
+    star = lone.groupBy("hub").agg(F.sum("w").alias("s"), F.min("leaf").alias("first"), F.count("*").alias("leaves"))
+    star = star.join(degree.select(F.col("node").alias("hub"), "k", "n"), "hub").filter((F.lit(most) * (F.col("k") + F.col("s")) < two_m) & ((F.col("n") > 1) | (F.col("hub") < F.col("first"))))
+    star = written(star.select("hub", "s"))
+    leaves = written(lone.join(star.select("hub"), "hub", "left_semi").select("leaf", F.col("hub").alias("node"), "w"))
+    stay = degree.join(leaves.select(F.col("leaf").alias("node")), "node", "left_anti").join(star.withColumnRenamed("hub", "node"), "node", "left")
+    return written(stay.select("node", (F.col("k") + F.coalesce("s", F.lit(0.0))).alias("k"))), leaves
+
+
 def leiden(graph: DataFrame, resolutions: dict[int, float] | None = None, tries: int = 3, moves: int = 8, merges: int = 3, rounds: int = 6, last: int = 4) -> DataFrame:
     """(level, node, community) of an undirected (u, v, weight) graph; a community is named by its least node.
 
@@ -75,9 +94,14 @@ def leiden(graph: DataFrame, resolutions: dict[int, float] | None = None, tries:
     rate, level = _rate(tried), F.explode(F.array(*map(F.lit, sorted(tried))))
     sums = written(graph.filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("weight").cast("double").alias("weight")))
     both = sums.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("weight").alias("w")).unionByName(sums.select(F.col("v").alias("a"), F.col("u").alias("b"), F.col("weight").alias("w")))
+    two_m = 2 * (sums.agg(F.sum("weight")).first()[0] or 0.0)
+    stay, leaves = folded(both, two_m, max(resolutions.values()))
+    for end in ("u", "v"):
+        sums = sums.join(leaves.select(F.col("leaf").alias(end)), end, "left_anti")
+    sums = written(sums)
+    both = sums.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("weight").alias("w")).unionByName(sums.select(F.col("v").alias("a"), F.col("u").alias("b"), F.col("weight").alias("w")))
     first = edges = written(both.withColumn("level", level))
-    nodes = labels = written(edges.groupBy("level", F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("c", F.col("node")).withColumn("moved", F.lit(False)))
-    two_m = (labels.agg(F.sum("k")).first()[0] or 0.0) / len(tried)
+    nodes = labels = written(stay.withColumn("level", level).select("level", "node", "k", F.col("node").alias("c"), F.lit(False).alias("moved")))
     where = labels.select("level", "node", F.col("node").alias("at"))
     step = 0
 
@@ -112,11 +136,20 @@ def leiden(graph: DataFrame, resolutions: dict[int, float] | None = None, tries:
     found = where.join(labels.select("level", F.col("node").alias("at"), "c"), ["level", "at"]).select("level", "node", "c")
     found, _ = settle(written(found.join(nodes.select("level", "node", "k"), ["level", "node"])), first, last)
     found = _whole(first, found.select("level", "node", "c"))
-    if tries == 1:
-        return found
-    best = modularity(sums, found, tried).withColumn("of", F.floor(F.col("level") / tries).cast("int"))
-    best = F.broadcast(best.groupBy("of").agg(F.max_by("level", F.struct("modularity", "level")).alias("level")))  # one row a level
-    return found.join(best, "level").select(F.col("of").alias("level"), "node", "community")
+    if tries > 1:  # what is folded adds the same to all tries
+        best = _modularity(sums.withColumnRenamed("weight", "w"), stay, two_m, found, tried).withColumn("of", F.floor(F.col("level") / tries).cast("int"))
+        best = F.broadcast(best.groupBy("of").agg(F.max_by("level", F.struct("modularity", "level")).alias("level")))  # one row a level
+        found = found.join(best, "level").select(F.col("of").alias("level"), "node", "community")
+    return _unfolded(written(found), leaves)
+
+
+def _unfolded(found: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(level, node, community) with the leaves, each in its node's community, and communities named by their least node."""
+    # of a node's leaves the least alone can name a community
+    least = leaves.groupBy("node").agg(F.min("leaf").alias("leaf"))
+    names = found.join(least, "node", "left").groupBy("level", "community").agg(F.min(F.least("node", "leaf")).alias("name"))
+    found = written(found.join(names, ["level", "community"]).select("level", "node", F.col("name").alias("community")))
+    return found.unionByName(leaves.join(found, "node").select("level", F.col("leaf").alias("node"), "community"))
 
 
 def _named(labels: DataFrame) -> DataFrame:
@@ -143,9 +176,13 @@ def _whole(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def modularity(graph: DataFrame, communities: DataFrame, resolutions: dict[int, float] | None = None) -> DataFrame:
     """(level, modularity) of (level, node, community) over an undirected (u, v, weight) graph."""
     e = graph.filter("u <> v").select("u", "v", F.col("weight").cast("double").alias("w"))
-    two_m = 2 * (e.agg(F.sum("w")).first()[0] or 0.0)
-    rate, at = _rate(resolutions or RESOLUTIONS), lambda end: communities.select("level", F.col("node").alias(end), F.col("community").alias(f"{end}_"))
-    inner = e.join(at("u"), "u").join(at("v"), ["v", "level"]).filter("u_ = v_").groupBy("level").agg((2 * F.sum("w")).alias("x"))
     k = e.select(F.explode(F.array("u", "v")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("k"))
+    return _modularity(e, k, 2 * (e.agg(F.sum("w")).first()[0] or 0.0), communities, resolutions or RESOLUTIONS)
+
+
+def _modularity(e: DataFrame, k: DataFrame, two_m: float, communities: DataFrame, resolutions: dict[int, float]) -> DataFrame:
+    """(level, modularity) from edges (u, v, w) without loops and the nodes' (node, k)."""
+    rate, at = _rate(resolutions), lambda end: communities.select("level", F.col("node").alias(end), F.col("community").alias(f"{end}_"))
+    inner = e.join(at("u"), "u").join(at("v"), ["v", "level"]).filter("u_ = v_").groupBy("level").agg((2 * F.sum("w")).alias("x"))
     s = communities.join(k, "node").groupBy("level", "community").agg(F.sum("k").alias("s")).groupBy("level").agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
     return s.join(inner, "level", "left").select("level", ((F.coalesce("x", F.lit(0.0)) - rate * F.col("ss") / two_m) / two_m).alias("modularity"))

@@ -103,3 +103,17 @@ def test_batches_are_tokenized_in_portions(spark, monkeypatch):
     docs = Docs()
     got = {x["term"]: (x["df"], x["tf"]) for x in R.document_frequencies(docs).collect()}
     assert got == {None: (50, 300), "ab": (50, 200), "cd": (50, 100)} and len(docs.made) == 25 == len(seen)
+
+
+def test_leaves_of_a_graph_are_folded_before_the_supersteps(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(L, "_step", lambda edges, *a, f=L._step: made.append(edges.count()) or f(edges, *a))
+    hubs = [f"h{i}" for i in range(6)]
+    rows = [(a, b, 2.0) for i, a in enumerate(hubs) for j, b in enumerate(hubs) if i < j and i % 2 == j % 2] + [("h0", "h1", 1.0), ("y", "z", 1.0)]
+    rows += [(h, f"{'ab'[i % 2]}{h}{i}", 1.0) for h in hubs for i in range(30)]
+    got = {x["node"]: x["community"] for x in L.leiden(spark.createDataFrame(rows, "u string, v string, weight double"), {0: 1.0}, tries=1, moves=3, rounds=2, last=2).collect()}
+    assert set(got) == {x for a, b, _ in rows for x in (a, b)} and max(made) <= 14
+    assert all(got[v] == got[u] for u, v, w in rows if v[0] in "ab") and got["z"] == "y" == got["y"]
+    assert all(c == min(n for n in got if got[n] == c) for c in got.values())
+    star = spark.createDataFrame([("h", f"s{i}", 1.0) for i in range(9)], "u string, v string, weight double")
+    assert {x["node"] for x in L.leiden(star, {0: 2.0}, tries=1, moves=2, rounds=1, last=1).collect()} == {"h", *(f"s{i}" for i in range(9))}

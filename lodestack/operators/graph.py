@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,9 @@ PLACEHOLDERS = ["<empty>", "<none>", "<null>", "<n/a>", "<unknown>", "<>", "none
 STOP_RELATIONS = ["to", "of", "in", "on", "at", "by", "for", "from", "with", "is", "are", "was", "were", "be", "been", "being", "the", "a", "an", "and", "or", "but", "as", "this", "that", "these", "those", "it", "they", "has", "have", "had"]
 LONGEST = 200
 
-# Sets of a block, and the share of all pairs (one in so many) from which on blocks are compared whole.
-SETS, DENSE = 2048, 16
+# Sets of a block, the share of all pairs (one in so many) from which on names are not joined by rows, the names of a matrix, and how many compared
+# pairs take the time of one row that is dealt out.
+SETS, DENSE, WIDE, ROW = 2048, 16, 512, 500
 
 
 def canonical(c: Column) -> Column:
@@ -300,30 +302,39 @@ def merge_synonyms(phrases: DataFrame, least: float = 0.8) -> DataFrame:
 
 def set_classes(chunks: DataFrame, names: str = "names") -> DataFrame:
     """(chunk_id, class_id, names): chunks with equal sets of names form a class, named by its least chunk; null sets are empty ones."""
-    rows = chunks.select("chunk_id", F.array_sort(F.array_distinct(F.array_compact(F.coalesce(names, F.array().cast(chunks.schema[names].dataType))))).alias("names"))
+    rows = _name_sets(chunks, names)
     return rows.join(rows.groupBy("names").agg(F.min("chunk_id").alias("class_id")), "names").select("chunk_id", "class_id", "names")
 
 
+def _name_sets(chunks: DataFrame, names: str) -> DataFrame:
+    return chunks.select("chunk_id", F.array_sort(F.array_distinct(F.array_compact(F.coalesce(names, F.array().cast(chunks.schema[names].dataType))))).alias("names"))
+
+
 def similar_sets(chunks: DataFrame, least: float, names: str = "names") -> DataFrame:
     """(a, b, shared, jaccard): pairs of classes (set_classes) whose sets of names have a Jaccard likeness of at least `least` (above 0).
 
     Names are ordered from the rarest on. Sets that are alike enough share a name among the first n - ceil(least n) + 1 of
     either, so only those names are joined, by rows, and a common name is joined only where sets have hardly any other; the sizes and what is left behind
-    the shared places bound the overlap before sets are compared. Where those names would join as many rows as one in DENSE of all pairs, all pairs are
-    compared by matrices of two blocks of about SETS sets a task. Copies meet as one class and empty sets are alike to none.
+    the shared places bound the overlap before sets are compared. Where those names would join as many rows as one in DENSE of all pairs, sets meet at
+    the two rarest names they share (_pair_sets), or, where that would take longer, all pairs are compared by matrices of two blocks of about SETS sets
+    a task. Copies meet as one class and empty sets are alike to none.
     """
     if not 0 < least <= 1:
         raise ValueError("the likeness is above 0 and at most 1")
-    sets = set_classes(chunks, names).filter("size(names) > 0 and chunk_id = class_id").select(F.col("class_id").alias("id"), "names").dropDuplicates(["id"])
+    sets = _name_sets(chunks, names).filter("size(names) > 0").groupBy("names").agg(F.min("chunk_id").alias("id")).filter("id is not null").dropDuplicates(["id"])
     flat = sets.select("id", F.size("names").alias("n"), F.explode("names").alias("name"))
-    ranked = flat.join(flat.groupBy("name").agg(F.count("*").alias("df")), "name").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("t"))
-    ranked = written(ranked.select("id", "n", F.transform("t", lambda x: x["name"]).alias("t")))
+    # numbers stand for names: buckets of a hash number their own
+    bucket = F.pmod(F.xxhash64("name"), F.lit(64))
+    known = flat.groupBy("name").agg(F.count("*").alias("df")).withColumn("bucket", bucket)
+    known = known.select("name", "df", (F.row_number().over(Window.partitionBy("bucket").orderBy("name")).cast("long") * 64 + F.col("bucket")).cast("int").alias("code"))
+    ranked = flat.join(known, "name").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "code"))).alias("t"))
+    ranked = written(ranked.select("id", "n", F.transform("t", lambda x: x["code"]).alias("t")))
     n = ranked.count()
     keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
     first = ranked.select("id", "n", F.posexplode(F.slice("t", 1, keep)).alias("p", "name"))
     meet = first.groupBy("name").count().agg(F.sum(F.col("count") * (F.col("count") - 1.0) / 2)).first()[0] or 0.0
     if meet * DENSE > n * (n - 1) / 2:
-        return _dense_sets(ranked, least, math.ceil(n / SETS))
+        return _pair_sets(ranked, least, n * (n - 1) / 2) or _dense_sets(ranked, least, math.ceil(n / SETS))
     x, y = (first.select("name", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "p")]) for k in "ab")
     fits = (F.col("ida") < F.col("idb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9)
     # from the first shared name on, where the most is left, all shared names follow
@@ -346,9 +357,10 @@ def _dense_sets(ranked: DataFrame, least: float, blocks: int) -> DataFrame:
         rows, code = rows[order], code[order]
         x, y = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
         both = np.zeros((len(x), len(y)), np.float32)
-        for lo in range(0, int(code[-1]) + 1 if len(code) else 0, SETS):
+        wide = int(code[-1]) + 1 if len(code) else 0
+        for lo in range(0, wide, SETS):
             i, j = np.searchsorted(code, (lo, lo + SETS))
-            m = np.zeros((len(pdf), SETS), np.float32)
+            m = np.zeros((len(pdf), min(SETS, wide - lo)), np.float32)
             m[rows[i:j], code[i:j] - lo] = 1
             both += m[x] @ m[y].T
         a, b, shared, likeness = [], [], [], []
@@ -370,3 +382,100 @@ def _dense_sets(ranked: DataFrame, least: float, blocks: int) -> DataFrame:
     rows = ranked.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = rows.groupBy(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     return rows.applyInPandas(compare, f"a {kind}, b {kind}, shared long, j double").select("a", "b", "shared", F.round("j", 6).alias("jaccard"))
+
+
+def _pair_sets(ranked: DataFrame, least: float, pairs: float) -> DataFrame | None:
+    """similar_sets of (id, n, t) where sets meet at the two rarest names they share, or None where comparing all `pairs` takes less time.
+
+    Sets that share k names have the two rarest of these among the first n - k + 2 of either, so a set goes to the pairs of those names; sets that need share
+    only one name go to single names. A task holds at most two blocks of a pair's sets. It compares sizes that can be alike, only sets with enough names
+    behind the pair, and drops those that share a rarer name: they meet there.
+    """
+    short = math.floor(1 / least + 1e-9)
+    keep = (F.col("n") - F.greatest(F.ceil(F.lit(least) * F.col("n") - 1e-9), F.lit(2)) + 2).cast("int")
+    count = ranked.agg(F.sum(keep * (keep - 1.0) / 2 + F.when(F.col("n") <= short, F.col("n")).otherwise(0))).first()[0] or 0.0
+    if count * ROW > pairs:
+        return None
+    two = ranked.select("id", "n", "t", F.posexplode(F.slice("t", 1, keep)).alias("p", "h")).filter("p > 0").select(F.explode(F.slice("t", F.lit(1), F.col("p"))).alias("g"), "h", "id", "n", "p", "t")
+    one = ranked.filter(F.col("n") <= short).select("id", "n", "t", F.posexplode("t").alias("p", "g")).select("g", F.lit(-1).alias("h"), "id", "n", "p", "t")
+    rows = two.unionByName(one)
+    counts = written(rows.groupBy("g", "h").count())
+    if count * ROW + (counts.agg(F.sum(F.col("count") * (F.col("count") - 1.0) / 2)).first()[0] or 0.0) > pairs:
+        return None
+    size = 4 * SETS
+    large = counts.filter(F.col("count") > size).select("g", "h", F.ceil(F.col("count") / size).cast("int").alias("blocks"))
+    rows = rows.join(F.broadcast(large), ["g", "h"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "p", "t")
+    parts = max(2 * ranked.sparkSession.sparkContext.defaultParallelism, math.ceil(count / 65536))
+    wide, side = WIDE, SETS // 2
+
+    def needed(both: int) -> int:
+        """How many names two sets of `both` names together share at least if they are alike."""
+        t = max(int(least / (1 + least) * both) - 1, 0)
+        while t / (both - t) < least:
+            t += 1
+        return t
+
+    def compare(group: pa.Table) -> pa.Table:
+        g, h, lo, hi = (group[c][0].as_py() for c in ("g", "h", "x", "y"))
+        n, p, own = (group[c].to_numpy().astype(np.int64) for c in ("n", "p", "own"))
+        have = 1 if h < 0 else 2
+        room = n - 1 - p + have
+        order = np.lexsort((-room, n, own))
+        flat = group["t"].combine_chunks().flatten().to_numpy()
+        place, row = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.argsort(order), n)
+        at = np.repeat(p, n)
+        rest = (place != at) & (flat != g)  # the pair itself is shared by all
+        row, code, rarer = row[rest], pd.factorize(flat[rest])[0], (place < at)[rest]
+        some = np.bincount(code)[code] > 1 if len(code) else rarer  # a name of one set is shared by none
+        row, code, rarer = row[some], np.unique(code[some], return_inverse=True)[1], rarer[some]
+        by = np.argsort(row, kind="stable")
+        row, code, rarer = row[by], code[by], rarer[by]
+        n, room, own = n[order], room[order], own[order]
+        start, width = np.searchsorted(row, np.arange(len(n) + 1)), int(code.max()) + 1 if len(code) else 0
+        never = -2.0 * float(n.max())
+
+        def matrix(i: int, j: int, c: int, weight: float) -> np.ndarray:
+            m = np.zeros((j - i, min(wide, width - c)), np.float32)
+            r, k, w = (v[start[i]:start[j]] for v in (row, code, rarer))
+            if width > wide:
+                inside = (k >= c) & (k < c + wide)
+                r, k, w = r[inside], k[inside], w[inside]
+            m[r - i, k - c] = np.where(w, weight, 1)
+            return m
+
+        whole = [matrix(0, len(n), 0, w) for w in (1, never)] if width <= wide else None
+        runs = {}  # block and size: first row and rooms, the most first
+        edge = np.flatnonzero(np.diff(n, prepend=-1) | np.diff(own, prepend=-1)).tolist()
+        for i, j in zip(edge, [*edge[1:], len(n)]):
+            runs[int(own[i]), int(n[i])] = (i, -room[i:j])
+        found = []
+        for (bx, nx), (x, rx) in runs.items():
+            for (by, ny), (y, ry) in runs.items():
+                t = needed(nx + ny)
+                if bx != lo or by != hi or lo == hi and ny < nx or t > min(nx, ny) or (t == 1) != (have == 1):
+                    continue
+                ex, ey = x + int(np.searchsorted(rx, -t, "right")), y + int(np.searchsorted(ry, -t, "right"))
+                for i in range(x, ex, side):
+                    for j in range(i if x == y else y, ey, side):
+                        u, v = min(i + side, ex), min(j + side, ey)
+                        if whole:
+                            both = whole[0][i:u] @ whole[1][j:v].T
+                        else:
+                            both = np.zeros((u - i, v - j), np.float32)
+                            for c in range(0, width, wide):
+                                both += matrix(i, u, c, 1) @ matrix(j, v, c, never).T
+                        near = np.flatnonzero(both.ravel() >= t - have)
+                        if len(near):
+                            shared = both.ravel()[near].astype(np.int64) + have
+                            a, b = near // (v - j) + i, near % (v - j) + j
+                            if i == j:
+                                a, b, shared = (k[a < b] for k in (a, b, shared))
+                            found.append((a, b, shared, shared / (nx + ny - shared)))
+        a, b, shared, j = (np.concatenate(k) for k in zip(*found)) if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        ids = group["id"].to_numpy()[order]
+        a, b = ids[a], ids[b]
+        return pa.table({"a": pa.array(np.where(a < b, a, b), group["id"].type), "b": pa.array(np.where(a < b, b, a), group["id"].type), "shared": pa.array(shared, pa.int64()), "j": pa.array(j, pa.float64())})
+
+    kind = ranked.schema["id"].dataType.simpleString()
+    return rows.repartition(parts, "g", "h", "x", "y").groupBy("g", "h", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}, shared long, j double").select("a", "b", "shared", F.round("j", 6).alias("jaccard"))

@@ -104,3 +104,25 @@ def test_index_of_vectors_that_cells_do_not_part(spark, tmp_path):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = {(q, int(i)) for q in range(0, 3000, 60) for i in np.lexsort((np.arange(3000), -np.round(u @ u[q], 5).clip(0, 1)))[:10]}
     assert exact == want
+
+
+@pytest.mark.parametrize("least", [0.15, 0.4, 0.75, 1.0])
+@pytest.mark.parametrize("wide", [512, 7])
+def test_set_join_meets_at_the_two_rarest_names(spark, monkeypatch, least, wide):
+    """Where few names are in most sets, all pairs of sets are not compared; large groups are parted, names beyond a matrix's width added up."""
+    def never(*a):
+        raise AssertionError("all pairs compared")
+
+    monkeypatch.setattr(G, "DENSE", 10**9)
+    monkeypatch.setattr(G, "SETS", 8)
+    monkeypatch.setattr(G, "WIDE", wide, raising=False)
+    monkeypatch.setattr(G, "ROW", -(10**9), raising=False)
+    monkeypatch.setattr(G, "_dense_sets", never)
+    r = random.Random(8)
+    sets = {f"k{i}": set(r.sample(range(24), min(24, r.choice([1, 1, 2, 3, 5, 8, 8, 9, 13])))) | ({90} if i % 7 == 0 else set()) for i in range(400)}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    d = spark.createDataFrame([(i, [str(y) for y in x] + [None]) for i, x in sets.items()] + [("e", []), ("f", None)], "chunk_id string, names array<string>")
+    want = sorted((a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(first.values()), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least)
+    assert sorted((x["a"], x["b"], x["shared"]) for x in G.similar_sets(d, least).collect()) == want and (want or least == 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -323,12 +324,12 @@ def similar_sets(chunks: DataFrame, least: float, names: str = "names") -> DataF
         raise ValueError("the likeness is above 0 and at most 1")
     sets = _name_sets(chunks, names).filter("size(names) > 0").groupBy("names").agg(F.min("chunk_id").alias("id")).filter("id is not null").dropDuplicates(["id"])
     flat = sets.select("id", F.size("names").alias("n"), F.explode("names").alias("name"))
-    # numbers stand for names: buckets of a hash number their own
+    # numbers stand for names, in their order: how often, and what the buckets of a hash number on their own
     bucket = F.pmod(F.xxhash64("name"), F.lit(64))
     known = flat.groupBy("name").agg(F.count("*").alias("df")).withColumn("bucket", bucket)
-    known = known.select("name", "df", (F.row_number().over(Window.partitionBy("bucket").orderBy("name")).cast("long") * 64 + F.col("bucket")).cast("int").alias("code"))
-    ranked = flat.join(known, "name").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "code"))).alias("t"))
-    ranked = written(ranked.select("id", "n", F.transform("t", lambda x: x["code"]).alias("t")))
+    number = (F.row_number().over(Window.partitionBy("bucket").orderBy("name")).cast("long") * 64 + F.col("bucket")).cast("int")
+    known = known.select("name", (F.shiftleft(F.col("df").cast("int").cast("long"), 32) + number).alias("code"))
+    ranked = written(flat.join(known, "name").groupBy("id", "n").agg(F.array_sort(F.collect_list("code")).alias("t")))
     n = ranked.count()
     keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
     first = ranked.select("id", "n", F.posexplode(F.slice("t", 1, keep)).alias("p", "name"))
@@ -387,27 +388,30 @@ def _dense_sets(ranked: DataFrame, least: float, blocks: int) -> DataFrame:
 def _pair_sets(ranked: DataFrame, least: float, pairs: float) -> DataFrame | None:
     """similar_sets of (id, n, t) where sets meet at the two rarest names they share, or None where comparing all `pairs` takes less time.
 
-    Sets that share k names have the two rarest of these among the first n - k + 2 of either, so a set goes to the pairs of those names; sets that need share
-    only one name go to single names. A task holds at most two blocks of a pair's sets. It compares sizes that can be alike, only sets with enough names
-    behind the pair, and drops those that share a rarer name: they meet there.
+    Sets that share k names have the two rarest of these among the first n - k + 2 of either. A set goes to each of those names as the rarer one, where
+    many do once for each part of the other names, and a task takes the other names in turn; sets that need share only one name go to single names. A task
+    holds about 64 SETS sets at most and puts out pairs as it finds them. It compares sizes that can be alike, only sets with enough names behind the
+    two, and drops those that share a rarer name: they meet there.
     """
-    short = math.floor(1 / least + 1e-9)
+    short, size, wide, side = math.floor(1 / least + 1e-9), 32 * SETS, WIDE, 2 * WIDE
     keep = (F.col("n") - F.greatest(F.ceil(F.lit(least) * F.col("n") - 1e-9), F.lit(2)) + 2).cast("int")
     count = ranked.agg(F.sum(keep * (keep - 1.0) / 2 + F.when(F.col("n") <= short, F.col("n")).otherwise(0))).first()[0] or 0.0
     if count * ROW > pairs:
         return None
-    two = ranked.select("id", "n", "t", F.posexplode(F.slice("t", 1, keep)).alias("p", "h")).filter("p > 0").select(F.explode(F.slice("t", F.lit(1), F.col("p"))).alias("g"), "h", "id", "n", "p", "t")
-    one = ranked.filter(F.col("n") <= short).select("id", "n", "t", F.posexplode("t").alias("p", "g")).select("g", F.lit(-1).alias("h"), "id", "n", "p", "t")
-    rows = two.unionByName(one)
-    counts = written(rows.groupBy("g", "h").count())
-    if count * ROW + (counts.agg(F.sum(F.col("count") * (F.col("count") - 1.0) / 2)).first()[0] or 0.0) > pairs:
+    first = ranked.select("id", "n", "t", keep.alias("keep"), F.posexplode(F.slice("t", 1, keep - 1)).alias("i", "g"))
+    others = F.slice("t", F.col("i") + 2, F.col("keep") - F.col("i") - 1)
+    one = ranked.filter(F.col("n") <= short).select("id", "n", "t", F.posexplode("t").alias("i", "g")).select("g", F.lit(1).alias("of"), F.lit(-1).alias("part"), "id", "n", "i", "t")
+    met = first.select("g", F.explode(others).alias("h")).unionByName(one.select("g", F.lit(-1).alias("h"))).groupBy("g", "h").count().agg(F.sum(F.col("count") * (F.col("count") - 1.0) / 2)).first()[0] or 0.0
+    if count * ROW + met > pairs:
         return None
-    size = 4 * SETS
-    large = counts.filter(F.col("count") > size).select("g", "h", F.ceil(F.col("count") / size).cast("int").alias("blocks"))
-    rows = rows.join(F.broadcast(large), ["g", "h"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "p", "t")
-    parts = max(2 * ranked.sparkSession.sparkContext.defaultParallelism, math.ceil(count / 65536))
-    wide, side = WIDE, SETS // 2
+    common = first.groupBy("g").count().filter(F.col("count") > size).select("g", F.ceil(F.col("count") / size).cast("int").alias("of"))
+    two = first.join(F.broadcast(common), "g", "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    two = two.select("g", "of", F.explode(F.array_distinct(F.transform(others, lambda x: F.pmod(x, F.col("of")).cast("int")))).alias("part"), "id", "n", "i", "t")
+    rows = two.unionByName(one)
+    large = rows.groupBy("g", "part").count().filter(F.col("count") > size).select("g", "part", F.ceil(F.col("count") / size).cast("int").alias("blocks"))
+    rows = rows.join(F.broadcast(large), ["g", "part"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "part", "of", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "i", "t")
+    deals = max(2 * ranked.sparkSession.sparkContext.defaultParallelism, math.ceil(count / 65536))
 
     def needed(both: int) -> int:
         """How many names two sets of `both` names together share at least if they are alike."""
@@ -416,24 +420,9 @@ def _pair_sets(ranked: DataFrame, least: float, pairs: float) -> DataFrame | Non
             t += 1
         return t
 
-    def compare(group: pa.Table) -> pa.Table:
-        g, h, lo, hi = (group[c][0].as_py() for c in ("g", "h", "x", "y"))
-        n, p, own = (group[c].to_numpy().astype(np.int64) for c in ("n", "p", "own"))
-        have = 1 if h < 0 else 2
-        room = n - 1 - p + have
-        order = np.lexsort((-room, n, own))
-        flat = group["t"].combine_chunks().flatten().to_numpy()
-        place, row = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.argsort(order), n)
-        at = np.repeat(p, n)
-        rest = (place != at) & (flat != g)  # the pair itself is shared by all
-        row, code, rarer = row[rest], pd.factorize(flat[rest])[0], (place < at)[rest]
-        some = np.bincount(code)[code] > 1 if len(code) else rarer  # a name of one set is shared by none
-        row, code, rarer = row[some], np.unique(code[some], return_inverse=True)[1], rarer[some]
-        by = np.argsort(row, kind="stable")
-        row, code, rarer = row[by], code[by], rarer[by]
-        n, room, own = n[order], room[order], own[order]
-        start, width = np.searchsorted(row, np.arange(len(n) + 1)), int(code.max()) + 1 if len(code) else 0
-        never = -2.0 * float(n.max())
+    def meet(n: np.ndarray, own: np.ndarray, room: np.ndarray, row: np.ndarray, code: np.ndarray, rarer: np.ndarray, width: int, have: int, lo: int, hi: int) -> Iterator[tuple]:
+        """(a, b, shared, likeness) of sets that have the same one or two names and, at `row`, others of `code`; in order of block, size and room."""
+        start, never = np.searchsorted(row, np.arange(len(n) + 1)), -2.0 * float(n.max())
 
         def matrix(i: int, j: int, c: int, weight: float) -> np.ndarray:
             m = np.zeros((j - i, min(wide, width - c)), np.float32)
@@ -449,7 +438,6 @@ def _pair_sets(ranked: DataFrame, least: float, pairs: float) -> DataFrame | Non
         edge = np.flatnonzero(np.diff(n, prepend=-1) | np.diff(own, prepend=-1)).tolist()
         for i, j in zip(edge, [*edge[1:], len(n)]):
             runs[int(own[i]), int(n[i])] = (i, -room[i:j])
-        found = []
         for (bx, nx), (x, rx) in runs.items():
             for (by, ny), (y, ry) in runs.items():
                 t = needed(nx + ny)
@@ -471,11 +459,52 @@ def _pair_sets(ranked: DataFrame, least: float, pairs: float) -> DataFrame | Non
                             a, b = near // (v - j) + i, near % (v - j) + j
                             if i == j:
                                 a, b, shared = (k[a < b] for k in (a, b, shared))
-                            found.append((a, b, shared, shared / (nx + ny - shared)))
-        a, b, shared, j = (np.concatenate(k) for k in zip(*found)) if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
-        ids = group["id"].to_numpy()[order]
-        a, b = ids[a], ids[b]
-        return pa.table({"a": pa.array(np.where(a < b, a, b), group["id"].type), "b": pa.array(np.where(a < b, b, a), group["id"].type), "shared": pa.array(shared, pa.int64()), "j": pa.array(j, pa.float64())})
+                            yield a, b, shared, shared / (nx + ny - shared)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        group = group.take(np.lexsort((group["n"].to_numpy(), group["own"].to_numpy())))
+        g, part, of, lo, hi = (group[c][0].as_py() for c in ("g", "part", "of", "x", "y"))
+        n, i, own = (group[c].to_numpy().astype(np.int64) for c in ("n", "i", "own"))
+        flat, ids, kind = group["t"].combine_chunks().flatten().to_numpy(), group["id"].to_numpy(), group["id"].type
+        names, code = np.unique(flat, return_inverse=True)
+        start, member = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        place, rare, have = np.arange(len(flat)) - start[member], int(np.searchsorted(names, g)), 1 if part < 0 else 2
+        last = n - np.maximum(np.ceil(least * n - 1e-9).astype(np.int64), 2) + 2
+        at = start + i if part < 0 else np.flatnonzero((place > i[member]) & (place < last[member]) & (flat % of == part))
+        room = n[member[at]] - 1 - place[at] + have
+        by = np.lexsort((-room, n[member[at]], own[member[at]], code[at]))
+        at, room = at[by], room[by]
+        edge = np.flatnonzero(np.diff(code[at], prepend=-1)).tolist()
+        found, many = [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b, shared, j = (np.concatenate(k) for k in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(np.where(a < b, a, b), kind), pa.array(np.where(a < b, b, a), kind), pa.array(shared, pa.int64()), pa.array(j, pa.float64())], ["a", "b", "shared", "j"])
+
+        for x, y in zip(edge, [*edge[1:], len(at)]):
+            m, h = member[at[x:y]], int(code[at[x]])
+            if y - x < 2 or lo != hi and own[m[0]] == own[m[-1]]:
+                continue
+            row = np.repeat(np.arange(y - x), n[m])
+            col = code[np.arange(len(row)) + np.repeat(start[m] - (np.cumsum(n[m]) - n[m]), n[m])]
+            rest = (col != h) & (col != rare)  # these are shared by all
+            row, col, width = row[rest], col[rest], len(names)
+            rarer = col < h
+            if width > wide:
+                _, inverse, often = np.unique(col, return_inverse=True, return_counts=True)
+                some = often[inverse] > 1  # a name of one set is shared by none
+                row, rarer = row[some], rarer[some]
+                used, col = np.unique(col[some], return_inverse=True)
+                width = len(used)
+            for a, b, shared, j in meet(n[m], own[m], room[x:y], row, col, rarer, width, have, lo, hi):
+                found.append((ids[m[a]], ids[m[b]], shared, j))
+                many += len(a)
+                if many > 1 << 18:
+                    yield out()
+                    found, many = [], 0
+        if found:
+            yield out()
 
     kind = ranked.schema["id"].dataType.simpleString()
-    return rows.repartition(parts, "g", "h", "x", "y").groupBy("g", "h", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}, shared long, j double").select("a", "b", "shared", F.round("j", 6).alias("jaccard"))
+    return rows.repartition(deals, "g", "part", "x", "y").groupBy("g", "part", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}, shared long, j double").select("a", "b", "shared", F.round("j", 6).alias("jaccard"))

@@ -404,11 +404,11 @@ def _pair_sets(ranked: DataFrame, least: float, pairs: float) -> DataFrame | Non
     met = first.select("g", F.explode(others).alias("h")).unionByName(one.select("g", F.lit(-1).alias("h"))).groupBy("g", "h").count().agg(F.sum(F.col("count") * (F.col("count") - 1.0) / 2)).first()[0] or 0.0
     if count * ROW + met > pairs:
         return None
-    common = first.groupBy("g").count().filter(F.col("count") > size).select("g", F.ceil(F.col("count") / size).cast("int").alias("of"))
+    common = first.groupBy("g").count().filter(F.col("count") > 2 * size).select("g", F.ceil(F.col("count") / size).cast("int").alias("of"))
     two = first.join(F.broadcast(common), "g", "left").withColumn("of", F.coalesce("of", F.lit(1)))
     two = two.select("g", "of", F.explode(F.array_distinct(F.transform(others, lambda x: F.pmod(x, F.col("of")).cast("int")))).alias("part"), "id", "n", "i", "t")
     rows = two.unionByName(one)
-    large = rows.groupBy("g", "part").count().filter(F.col("count") > size).select("g", "part", F.ceil(F.col("count") / size).cast("int").alias("blocks"))
+    large = rows.groupBy("g", "part").count().filter(F.col("count") > 2 * size).select("g", "part", F.ceil(F.col("count") / size).cast("int").alias("blocks"))
     rows = rows.join(F.broadcast(large), ["g", "part"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "part", "of", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "i", "t")
     deals = max(2 * ranked.sparkSession.sparkContext.defaultParallelism, math.ceil(count / 65536))

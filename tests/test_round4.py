@@ -114,7 +114,7 @@ def test_set_join_meets_at_the_two_rarest_names(spark, monkeypatch, least, wide)
         raise AssertionError("all pairs compared")
 
     monkeypatch.setattr(G, "DENSE", 10**9)
-    monkeypatch.setattr(G, "SETS", 2)
+    monkeypatch.setattr(G, "SETS", 1)
     monkeypatch.setattr(G, "WIDE", wide, raising=False)
     monkeypatch.setattr(G, "ROW", -(10**9), raising=False)
     monkeypatch.setattr(G, "_dense_sets", never)
